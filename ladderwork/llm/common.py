@@ -36,6 +36,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id in Python code, where a null would turn the column to floats.
+NO_ID = -(2**63)
+
+
+def given_id(name: str, to: str | None = None) -> Column:
+    return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID)).alias(to or name)
+
+
+def null_id(name: str, to: str | None = None) -> Column:
+    return F.nullif(F.col(name), F.lit(NO_ID)).alias(to or name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderwork.llm import textscan
-from ladderwork.llm.common import components, written
+from ladderwork.llm.common import NO_ID, components, given_id, null_id, written
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,8 @@ def sketches(texts: DataFrame, p: NearDuplicateParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = multipliers(p.rows, p.seed + 1)
         for batch in batches:
+            if batch.empty:
+                continue
             texts_here = [textscan.as_bytes(t) for t in batch["text"]]
             rows = []
             for s in _text_sets(texts_here, p.shingle_words):
@@ -132,6 +134,8 @@ def shingle_sets(texts: DataFrame, p: NearDuplicateParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if batch.empty:
+                continue
             sets = _text_sets([textscan.as_bytes(t) for t in batch["text"]], p.shingle_words)
             yield pd.DataFrame({"id": batch["id"].to_numpy(), "set": [s.tobytes() for s in sets]})
 
@@ -161,7 +165,8 @@ def pruned(pairs: DataFrame, p: NearDuplicateParams) -> DataFrame:
             for upto, need in steps:
                 matches[alive] += (left[alive, done:upto] == right[alive, done:upto]).sum(axis=1)
                 alive, done = alive[matches[alive] >= need], upto
-            yield batch.iloc[alive][["a", "b"]]
+            if len(alive):
+                yield batch.iloc[alive][["a", "b"]]
 
     return pairs.select("a", "b", "sig_a", "sig_b").mapInPandas(run, "a long, b long")
 
@@ -175,7 +180,8 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataF
                 _linked(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), p)
                 for x, y in zip(batch["set_a"], batch["set_b"], strict=True)
             ]
-            yield batch.loc[good, ["a", "b"]]
+            if any(good):
+                yield batch.loc[good, ["a", "b"]]
 
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
@@ -222,21 +228,21 @@ def block_links(members: DataFrame, p: NearDuplicateParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_key = [], None
 
-        def flush() -> pd.DataFrame:
+        def flush() -> list[tuple[int, int]]:
             ids, comps, blocks = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2))
             sets = [np.frombuffer(r[3], dtype=np.uint64) for r in held]
-            return pd.DataFrame(list(_block_links(ids, comps, blocks, sets, p)), columns=["a", "b"], dtype="int64")
+            return list(_block_links(ids, comps, blocks, sets, p))
 
         for batch in batches:
             columns = (batch[c] for c in ("bucket", "pair", "id", "comp", "block", "set"))
             for bucket, pair, *row in zip(*columns, strict=True):
                 if (bucket, pair) != held_key:
-                    if len(held) > 1:
-                        yield flush()
+                    if len(held) > 1 and (found := flush()):
+                        yield pd.DataFrame(found, columns=["a", "b"])
                     held, held_key = [], (bucket, pair)
                 held.append(row)
-        if len(held) > 1:
-            yield flush()
+        if len(held) > 1 and (found := flush()):
+            yield pd.DataFrame(found, columns=["a", "b"])
 
     return members.select("bucket", "pair", "id", "comp", "block", "set").mapInPandas(run, "a long, b long")
 
@@ -250,10 +256,10 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParam
     with different texts they count as one document that has each text.
     Extra columns of docs are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = docs.select(given_id("doc_id", "id"), "text")
     sketch = written(sketches(texts, p), "sketches")
     classes = (
-        sketch.where("n_shingles > 0 and id is not null").groupBy("c1", "c2", "n_shingles").agg(F.min("id").alias("rep"))
+        sketch.where(f"n_shingles > 0 and id <> {NO_ID}").groupBy("c1", "c2", "n_shingles").agg(F.min("id").alias("rep"))
     )
     reps = sketch.join(classes.select(F.col("rep").alias("id"), "c1", "c2", "n_shingles"), ["id", "c1", "c2", "n_shingles"])
     reps = reps.dropDuplicates(["id"])
@@ -318,10 +324,11 @@ def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParam
         "c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component")
     )
     out = sketch.select("id", "n_shingles", "c1", "c2").join(placed_class, ["c1", "c2", "n_shingles"], "left")
+    known = F.col("id") != NO_ID
     component = F.coalesce(F.col("component"), F.col("id"))
     return out.select(
-        F.col("id").alias("doc_id"),
+        null_id("id", "doc_id"),
         "n_shingles",
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        F.when(known, component).alias("component_id"),
+        (~known | (component == F.col("id"))).alias("kept"),
     )
