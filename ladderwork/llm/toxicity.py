@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 from math import exp, log, log2, sqrt
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -244,6 +245,18 @@ def scored(docs: DataFrame, lexicon: Lexicon, p: ToxicityParams = ToxicityParams
     return out.withColumn("doc_id", null_id("doc_id"))
 
 
+def without_toxic(docs: DataFrame, lexicon: Lexicon, p: ToxicityParams = ToxicityParams()) -> DataFrame:
+    """The rows of docs, all columns, whose score is under one half."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _automaton(lexicon.weights)
+        for batch in batches:
+            x = (min(p.top, normalised(*_sum(text, machine))) for text in batch.column("text").to_pylist())
+            yield batch.filter(pa.array([lexicon.slope * v + lexicon.shift < 0 for v in x], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
     out = scored(docs, learn(docs, labels, p), p)
