@@ -24,8 +24,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts keep one line of each group of similar lines; n_chars follows the text."""
-    out = line_dedup.deduplicated(docs)
+    """Texts keep one line of each group of similar lines; n_chars follows the text.
+
+    A document that lost every line that was not blank has only copies of
+    lines kept elsewhere, and goes.
+    """
+    out = line_dedup.deduplicated(docs).where((F.col("n_removed") == 0) | (F.trim("text", F.lit(" \t\r\n\f\v")) != ""))
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(*COLUMNS)
 
