@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderwork.llm import decontamination, line_dedup, near_duplicates, packing, toxicity
+from ladderwork.llm import decontamination, extraction, line_dedup, near_duplicates, packing, toxicity
 from ladderwork.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

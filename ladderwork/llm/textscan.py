@@ -91,6 +91,11 @@ def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def scan(texts: list[bytes], word_bytes: np.ndarray = _SPACE_WORDS, lower: bool = True):
     """Words of some texts: (hash of each word, first word of each text, n texts + 1 long)."""
+    return scan_endings(texts, word_bytes, lower)[:2]
+
+
+def scan_endings(texts: list[bytes], word_bytes: np.ndarray = _SPACE_WORDS, lower: bool = True):
+    """scan(), and a hash of each word's last three bytes and bounded length."""
     lengths = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     text_at = np.concatenate([[0], np.cumsum(lengths)])
     buf = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
@@ -101,7 +106,11 @@ def scan(texts: list[bytes], word_bytes: np.ndarray = _SPACE_WORDS, lower: bool
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     hashes = mix(segment_hash(prefix_sums(buf), start, end))
-    return hashes, np.searchsorted(start, text_at)
+    ending = buf[end - 1].astype(np.uint64)
+    for back in (2, 3):
+        ending = ending * np.uint64(257) + np.where(end - back >= start, buf[end - back], 0).astype(np.uint64)
+    ending = mix(ending * np.uint64(8) + np.minimum((end - start) // 4, 3).astype(np.uint64))
+    return hashes, np.searchsorted(start, text_at), ending
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
