@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderwork.llm import decontamination, extraction, fingerprints, hidden_markov, line_dedup, near_duplicates, packing, toxicity
+from ladderwork.llm import decontamination, extraction, fingerprints, hidden_markov, line_dedup, near_duplicates, packing, toxicity, warc
 from ladderwork.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extracted(table(spark, sf_dir, "pages"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_derivatives(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_html_extraction": op5_html_extraction,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
