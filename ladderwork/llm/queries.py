@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderwork.llm import decontamination, extraction, fingerprints, hidden_markov, line_dedup, near_duplicates, packing, toxicity, warc
+from ladderwork.llm import decontamination, extraction, fingerprints, hidden_markov, line_dedup, near_duplicates, packing, repeats, toxicity, warc
 from ladderwork.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hidden_markov.scores(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_html_extraction": op5_html_extraction,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_repeated_spans": op8_repeated_spans,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
