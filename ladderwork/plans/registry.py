@@ -8,3 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame, and the SQL that must give the same rows."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"query {key} is registered twice")
+        QUERIES[key] = f
+        if sql:
+            ORACLES[key] = sql
+        return f
+
+    return add
+
+
+from ladderwork.plans import boards, curves, evaluation, folds, gate, ingest, performance, reports, timeline  # noqa: E402, F401
