@@ -46,7 +46,7 @@ class HiddenMarkovParams:
     ending_classes: int = 1024
     segment: int = 256
     #: tokens in a block, about; bounds a task's memory
-    block_tokens: int = 1_500_000
+    block_tokens: int = 600_000
     #: rows of (block, word) in a range of the exchange, about
     range_words: int = 600_000
     seed_texts: int = 256
@@ -284,7 +284,8 @@ def _train_classes(row, model: Model, p: HiddenMarkovParams) -> tuple[np.ndarray
 
 def _seeded(blocks: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
     """States that start from unlike texts of one block (a bounded sample)."""
-    rows = blocks.orderBy("block").limit(1).collect()
+    one = blocks.agg(F.min("block")).first()[0]
+    rows = blocks.where(F.col("block") == one).collect() if one is not None else []
     rng = np.random.default_rng(p.seed)
     emit = model.emit.copy()
     if rows:
