@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions.windows import centred_mean
@@ -24,21 +24,18 @@ def career_curves(log: DataFrame, least: int = 42, each_side: int = 10) -> DataF
     Players with fewer than `least` games or without spread have no curve.
     """
     smooth = centred_mean(F.col("rating_after"), ["player_id"], ["game_date", "game_id"], each_side)
-    rows = log.select("player_id", F.struct("game_date", "game_id", smooth.alias("v")).alias("row"))
-    series = rows.groupBy("player_id").agg(F.transform(F.sort_array(F.collect_list("row")), lambda r: r["v"]).alias("s"))
-    series = series.where(F.size("s") >= least)
-    place = lambda i: i * (F.size("s") - 1) / float(POINTS - 1)
-
-    def at(i: Column) -> Column:
-        low = F.floor(place(i)).cast("int")
-        a, b = F.get("s", low), F.coalesce(F.get("s", low + 1), F.get("s", low))
-        return a + (b - a) * (place(i) - low)
-
-    curve = series.select("player_id", F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), at).alias("c"))
-    total = lambda array, f: F.aggregate(array, F.lit(0.0), lambda s, x: s + f(x))
-    curve = curve.withColumn("m", total("c", lambda x: x) / POINTS)
-    curve = curve.withColumn("sd", F.sqrt(F.aggregate(F.transform("c", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda s, x: s + x) / POINTS))
-    return curve.where("sd >= 1e-9").select("player_id", F.transform("c", lambda x: (x - F.col("m")) / F.col("sd")).alias("curve"))
+    w = Window.partitionBy("player_id")
+    rows = log.select("player_id", "game_date", "game_id", smooth.alias("v"))
+    rows = rows.select(
+        "player_id", "v", F.lead("v").over(w.orderBy("game_date", "game_id")).alias("following"),
+        (F.row_number().over(w.orderBy("game_date", "game_id")) - 1).alias("low"), F.count("*").over(w).alias("n"),
+    ).where(F.col("n") >= least)
+    spine = rows.groupBy("player_id").agg(F.max("n").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(POINTS - 1))))
+    spine = spine.withColumn("x", F.col("i") * (F.col("n") - 1) / float(POINTS - 1)).withColumn("low", F.floor("x").cast("int"))
+    y = F.col("v") + (F.coalesce("following", "v") - F.col("v")) * (F.col("x") - F.floor("x"))
+    points = spine.select("player_id", "i", "x", "low").join(rows.drop("n"), ["player_id", "low"]).select("player_id", "i", y.alias("y"))
+    curve = points.groupBy("player_id").agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("sd"), F.array_sort(F.collect_list(F.struct("i", "y"))).alias("c"))
+    return curve.where("sd >= 1e-9").select("player_id", F.transform("c", lambda p: (p["y"] - F.col("m")) / F.col("sd")).alias("curve"))
 
 
 def squared_distance(a: Column, b: Column) -> Column:
