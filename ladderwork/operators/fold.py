@@ -24,35 +24,55 @@ _COLUMNS = [c.split()[0] for c in UPDATE_SCHEMA.split(", ")]
 _INPUT = ["variant", "game_id", "game_date", "season", "track", "player_id", "team_id", "home", "share", "s_team", "perf", "k_eff", "games_before", "start_rating"]
 
 
-def _game(rows: dict[str, np.ndarray], a: int, b: int, ratings: dict[int, float], league: list[float], p: RatingParams) -> tuple:
-    """One game: ratings are changed in place; what the log needs is returned."""
-    players, share, home = rows["player_id"][a:b], rows["share"][a:b], rows["home"][a:b]
-    before = np.empty(b - a)
-    for i, (player, start) in enumerate(zip(players.tolist(), rows["start_rating"][a:b].tolist(), strict=True)):
+def _game(rows: dict[str, list], a: int, b: int, ratings: dict[int, float], league: list[float], p: RatingParams, out: tuple[list, ...]) -> None:
+    """One game: ratings are changed in place; what the log needs goes to out.
+
+    Games have a handful of rows, so plain numbers are faster than arrays.
+    """
+    players, share, team = rows["player_id"][a:b], rows["share"][a:b], rows["team_id"][a:b]
+    expected, used_out, before_out, raw_out, offsets, deltas, after_out = out
+    before = []
+    for player, start in zip(players, rows["start_rating"][a:b], strict=True):
         known = ratings.get(player)
         if known is None:
             known = ratings[player] = start
             league[0] += start
             league[1] += 1
-        before[i] = known
-    first = rows["team_id"][a:b] == rows["team_id"][a]
-    t1 = float((before * share)[first].sum() / share[first].sum())
-    t2 = float((before * share)[~first].sum() / share[~first].sum())
-    h1, h2 = p.home_advantage * bool(home[first][0]), p.home_advantage * bool(home[~first][0])
-    e1, e2 = 1 / (1 + 10 ** (-(t1 - t2 + h1) / 400)), 1 / (1 + 10 ** (-(t2 - t1 + h2) / 400))
-    expected = np.where(first, e1, e2)
-    used = rows["perf"][a:b]
-    if p.anchor is not None:
-        anchor = p.fixed_anchor if p.anchor == "fixed" else before.mean() if p.anchor == "game" else league[0] / league[1]
-        used = used - (before - anchor) / p.surprise_scale
-    raw = rows["k_eff"][a:b] * share * (used + p.theta * (rows["s_team"][a:b] - expected))
-    offset = raw.mean()
-    delta = raw - offset
-    after = before + delta
-    for player, r in zip(players.tolist(), after.tolist(), strict=True):
-        ratings[player] = r
-    league[0] += float(delta.sum())
-    return expected, used, before, raw, np.full(b - a, offset), delta, after
+        before.append(known)
+    first, sums, home = team[0], [0.0, 0.0, 0.0, 0.0], [False, False]
+    for r, s, t, h in zip(before, share, team, rows["home"][a:b], strict=True):
+        k = 0 if t == first else 1
+        sums[k] += r * s
+        sums[k + 2] += s
+        home[k] = h
+    gap = sums[0] / sums[2] - sums[1] / sums[3]
+    e1 = 1 / (1 + 10 ** (-(gap + p.home_advantage * home[0]) / 400))
+    e2 = 1 / (1 + 10 ** (-(-gap + p.home_advantage * home[1]) / 400))
+    n = b - a
+    scale, anchor = (1.0, 0.0) if p.anchor is None else (p.surprise_scale, p.fixed_anchor)
+    if p.anchor == "game":
+        anchor = sum(before) / n
+    elif p.anchor == "league":
+        anchor = league[0] / league[1]
+    raw = []
+    for r, s, t, perf, k, won in zip(before, share, team, rows["perf"][a:b], rows["k_eff"][a:b], rows["s_team"][a:b], strict=True):
+        e = e1 if t == first else e2
+        used = perf if p.anchor is None else perf - (r - anchor) / scale
+        expected.append(e)
+        used_out.append(used)
+        raw.append(k * s * (used + p.theta * (won - e)))
+    offset = sum(raw) / n
+    moved = 0.0
+    for player, r, d in zip(players, before, raw, strict=True):
+        delta = d - offset
+        moved += delta
+        ratings[player] = r + delta
+        deltas.append(delta)
+        after_out.append(r + delta)
+    league[0] += moved
+    before_out += before
+    raw_out += raw
+    offsets += [offset] * n
 
 
 def _fold(params: dict[str, RatingParams], batches: Iterator[pd.DataFrame], reverse: bool) -> Iterator[pd.DataFrame]:
@@ -60,15 +80,16 @@ def _fold(params: dict[str, RatingParams], batches: Iterator[pd.DataFrame], reve
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nonlocal variant, ratings, league
-        rows = {c: frame[c].to_numpy() for c in ("variant", "game_id", "player_id", "team_id", "home", "share", "s_team", "perf", "k_eff", "start_rating")}
-        edge = np.flatnonzero((rows["game_id"][1:] != rows["game_id"][:-1]) | (rows["variant"][1:] != rows["variant"][:-1])) + 1
-        out = []
+        ids, names = frame["game_id"].to_numpy(), frame["variant"].to_numpy()
+        edge = (np.flatnonzero((ids[1:] != ids[:-1]) | (names[1:] != names[:-1])) + 1).tolist()
+        rows = {c: frame[c].tolist() for c in ("player_id", "team_id", "home", "share", "s_team", "perf", "k_eff", "start_rating")}
+        out: tuple[list, ...] = ([], [], [], [], [], [], [])
         for a, b in zip([0, *edge], [*edge, len(frame)], strict=True):
-            if rows["variant"][a] != variant:
-                variant, ratings, league = rows["variant"][a], {}, [0.0, 0.0]
-            out.append(_game(rows, a, b, ratings, league, params[variant]))
-        named = dict(zip(("e_team", "perf_used", "rating_before", "delta_raw", "zero_mean_offset", "delta", "rating_after"), map(np.concatenate, zip(*out)), strict=True))
-        return frame.assign(**named)[_COLUMNS]
+            if names[a] != variant:
+                variant, ratings, league = names[a], {}, [0.0, 0.0]
+            _game(rows, a, b, ratings, league, params[variant], out)
+        fields = ("e_team", "perf_used", "rating_before", "delta_raw", "zero_mean_offset", "delta", "rating_after")
+        return frame.assign(**dict(zip(fields, out, strict=True)))[_COLUMNS]
 
     for batch in batches:
         batch = batch if kept is None or kept.empty else pd.concat([kept, batch], ignore_index=True)
