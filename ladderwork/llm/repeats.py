@@ -47,8 +47,17 @@ class RepeatParams:
     length: int = 400
     core: int = 200
     #: suffixes that a task holds before it writes its runs, and in a range, about
-    run_entries: int = 40_000
-    range_entries: int = 25_000
+    run_entries: int = 15_000
+    range_entries: int = 12_000
+    #: strings that are resolved at once, about; a group of equal cores stays whole
+    group_strings: int = 200_000
+
+
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Smaller pieces of the batches, so that few texts are held twice."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
 
 
 def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -98,10 +107,10 @@ def anchors(texts: list[bytes], p: RepeatParams) -> tuple[np.ndarray, ...]:
 
 def _anchor_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [textscan.as_bytes(t) for t in batch["text"]]
             ids, hashes = batch["doc_id"].to_numpy(np.int64), batch["text_hash"].to_numpy(np.int64)
-            for a, b in textscan.chunks(texts):
+            for a, b in textscan.chunks(texts, 1 << 18):
                 text, spot, _, _, core = anchors(texts[a:b], p)
                 if len(text):
                     begin = np.concatenate([[0], np.cumsum([*map(len, texts[a:b])])])[text]
@@ -209,10 +218,10 @@ def _runs(docs: DataFrame, ranges: int, p: RepeatParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries: list = []
-        for batch in batches:
+        for batch in _slices(batches):
             texts = [textscan.as_bytes(t) for t in batch["text"]]
             ids, hashes, places = batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["places"]
-            for a, b in textscan.chunks(texts):
+            for a, b in textscan.chunks(texts, 1 << 18):
                 whole = b"".join(texts[a:b])
                 begin = np.concatenate([[0], np.cumsum([*map(len, texts[a:b])])])
                 text, spot, first, last, core = anchors(texts[a:b], p)
@@ -231,49 +240,76 @@ def _runs(docs: DataFrame, ranges: int, p: RepeatParams) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text", "places").mapInPandas(run, "range long, run binary")
 
 
+def _spans_of(lefts: list[bytes], rights: list[bytes], owners: list[list[np.ndarray]], p: RepeatParams) -> pd.DataFrame:
+    """What repeats in whole groups of suffixes with equal cores."""
+    strings = [a + b for a, b in zip(lefts, rights, strict=True)]
+    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
+    sums = textscan.prefix_sums(np.frombuffer(b"".join(strings), dtype=np.uint8))
+    many = lengths - p.length + 1
+    of = np.repeat(np.arange(len(strings)), many)
+    offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    start = (np.cumsum(lengths) - lengths)[of] + offset
+    h = textscan.mix(textscan.segment_hash(sums, start, start + p.length))
+    weight = np.fromiter((sum(map(len, o)) for o in owners), dtype=np.int64, count=len(owners))
+    _, back = np.unique(h, return_inverse=True)
+    twice = np.bincount(back, weights=weight[of])[back] >= 2
+    edge = np.ones(len(of), dtype=bool)
+    edge[1:] = (twice[1:] != twice[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(edge)
+    last = np.append(first[1:], len(of)) - 1
+    good = twice[first]
+    first, last = first[good], last[good]
+    entry, begin, end = of[first], offset[first], offset[last] + p.length
+    sizes = weight[entry]  # every span once for each owner of its suffix
+    own = np.concatenate([x for i in entry.tolist() for x in owners[i]]) if len(entry) else np.zeros(0, dtype=_OWNER)
+    return pd.DataFrame(
+        {
+            "doc_id": own["doc_id"], "text_hash": own["text_hash"],
+            "start": own["begin"] + np.repeat(begin, sizes), "end": own["begin"] + np.repeat(end, sizes),
+        }
+    )
+
+
+def _merged_spans(runs: list[bytes], p: RepeatParams) -> Iterator[pd.DataFrame]:
+    """Spans of one range; groups of equal cores are resolved as they come out of the merge."""
+    lefts, rights, owners, strings = [], [], [], 0
+    before: dict[bytes, int] = {}
+    for shared, key, left, own in merge_runs([decode_run(b) for b in runs]):
+        if shared < 8 + p.core and strings >= p.group_strings:
+            yield _spans_of(lefts, rights, owners, p)
+            lefts, rights, owners, strings = [], [], [], 0
+        if not rights or shared != len(key) or len(rights[-1]) + 8 != len(key):
+            before = {}
+        if left in before:  # the same suffix and left context again
+            owners[before[left]].append(own)
+            continue
+        before[left] = len(rights)
+        lefts.append(left)
+        rights.append(key[8:])
+        owners.append([own])
+        strings += len(left) + len(key) - 8 - p.length + 1
+    if rights:
+        yield _spans_of(lefts, rights, owners, p)
+
+
 def _repeated_spans(runs: DataFrame, p: RepeatParams) -> DataFrame:
     """doc_id, text_hash, start and end of what repeats, from all runs of each range."""
 
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        lefts, strings, owners = [], [], []
-        before: dict[bytes, int] = {}
-        for shared, key, left, own in merge_runs([decode_run(b) for b in rows["run"]]):
-            same = strings and shared == len(key) and shared == len(strings[-1]) - len(lefts[-1]) + 8
-            if not same:
-                before = {}
-            if left in before:  # the same suffix and left context again
-                owners[before[left]].append(own)
-                continue
-            before[left] = len(strings)
-            lefts.append(left)
-            strings.append(left + key[8:])
-            owners.append([own])
-        lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        sums = textscan.prefix_sums(np.frombuffer(b"".join(strings), dtype=np.uint8))
-        many = lengths - p.length + 1
-        of = np.repeat(np.arange(len(strings)), many)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-        start = at[of] + offset
-        h = textscan.mix(textscan.segment_hash(sums, start, start + p.length))
-        weight = np.fromiter((sum(map(len, o)) for o in owners), dtype=np.int64, count=len(owners))
-        _, back = np.unique(h, return_inverse=True)
-        twice = np.bincount(back, weights=weight[of])[back] >= 2
-        edge = np.ones(len(of), dtype=bool)
-        edge[1:] = (twice[1:] != twice[:-1]) | (of[1:] != of[:-1])
-        first = np.flatnonzero(edge)
-        last = np.append(first[1:], len(of)) - 1
-        good = twice[first]
-        first, last = first[good], last[good]
-        out = []
-        for i, a, b in zip(of[first].tolist(), offset[first].tolist(), (offset[last] + p.length).tolist(), strict=True):
-            for own in owners[i]:
-                out.append(pd.DataFrame({"doc_id": own["doc_id"], "text_hash": own["text_hash"], "start": own["begin"] + a, "end": own["begin"] + b}))
-        if not out:
-            return pd.DataFrame({c: np.zeros(0, dtype=np.int64) for c in ("doc_id", "text_hash", "start", "end")})
-        return pd.concat(out)
-
-    return runs.groupBy("range").applyInPandas(merge, "doc_id long, text_hash long, start long, end long")
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, held_range = [], None
+        for batch in batches:
+            for key, blob in zip(batch["range"].tolist(), batch["run"], strict=True):
+                if key != held_range and held:
+                    yield from _merged_spans(held, p)
+                    held = []
+                held_range = key
+                held.append(blob)
+        if held:
+            yield from _merged_spans(held, p)
+
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = runs.repartition(parts, "range").sortWithinPartitions("range")
+    return dealt.mapInPandas(merge, "doc_id long, text_hash long, start long, end long")
 
 
 def repeated_spans(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
@@ -295,7 +331,7 @@ def without_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFr
     rows = docs.select(given_id("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for doc_id, text, flat in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"], strict=True):
                 data = textscan.as_bytes(text)
