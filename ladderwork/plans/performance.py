@@ -41,6 +41,7 @@ def game_zscore(spark, sf):
     return performed(spark, sf).select("game_id", "player_id", F.round("z_score", 6).alias("z_score"))
 
 
+# Plus-minus has few decimals, so many rates are exact halves of the sixth digit; the factor moves them off it.
 def _on_court(expression: str) -> str:
     return f"""
 WITH {CLEAN_SQL}
