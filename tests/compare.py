@@ -24,7 +24,7 @@ def normal(frame):
         if frame[c].dtype.kind in "iuf":
             frame[c] = frame[c].astype(float).round(9)
         else:
-            frame[c] = frame[c].map(str)
+            frame[c] = frame[c].map(lambda v: str(v).removesuffix(" 00:00:00"))  # a date at either engine
     return frame.sort_values(list(frame.columns)).reset_index(drop=True)
 
 
