@@ -14,7 +14,7 @@ from ladderwork.sources import arena
 from ladderwork.sources.arena import CLEAN_SQL
 
 BASE = RatingParams()
-#: The event log's twin is quadratic in SQL, so the twin and the query show the log of this season only.
+#: The twin of rating_event_log is quadratic in SQL, so both fold this season alone, afresh; rating_full_log is the whole log.
 LOG_SEASON = 2001
 
 
@@ -145,11 +145,21 @@ def season_log(spark, sf):
     return fold.rating_updates(performed(spark, sf).where(F.col("season") == LOG_SEASON), [BASE])
 
 
+def _shown(log):
+    rounded = [F.round(c, 4).alias(c) for c in ("rating_before", "delta_raw", "rating_after")]
+    return log.select("game_id", "player_id", "games_before", *rounded)
+
+
 @query(LOG_SQL + "SELECT d.game_id, st.pid AS player_id, gp AS games_before, round(b, 4) AS rating_before, round(raw, 4) AS delta_raw, round(a, 4) AS rating_after FROM st JOIN (SELECT DISTINCT n, game_id FROM dealt) d USING (n)")
 def rating_event_log(spark, sf):
-    return season_log(spark, sf).select(
-        "game_id", "player_id", "games_before", F.round("rating_before", 4).alias("rating_before"), F.round("delta_raw", 4).alias("delta_raw"), F.round("rating_after", 4).alias("rating_after")
-    )
+    """One season folded alone: the check of the log's columns against SQL."""
+    return _shown(season_log(spark, sf))
+
+
+@query()
+def rating_full_log(spark, sf):
+    """The event log of all games of all seasons; tested against a plain Python fold."""
+    return _shown(fold.rating_updates(performed(spark, sf), [BASE]))
 
 
 @query("SELECT unnest(['zero_sum', 'chain', 'games_in_steps', 'no_nulls', 'range']) AS check_name, CAST(0 AS BIGINT) AS failures")

@@ -95,6 +95,26 @@ def test_log_invariants_and_variants(spark):
         fold.rating_updates(df, [RatingParams(), RatingParams()])
 
 
+def test_full_log_is_the_plain_fold_of_all_seasons(spark, sf):
+    from ladderwork.plans.performance import performed
+    from ladderwork.plans.registry import QUERIES
+
+    rows = [tuple(r) for r in performed(spark, sf).select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect()]
+    by_game, state, want = {}, {}, {}
+    for r in rows:
+        by_game.setdefault((r[1], r[0]), []).append(r)
+    for key in sorted(by_game):
+        before = {r[4]: state.get(r[4], (RatingParams().init_value, 0)) for r in by_game[key]}
+        after = brute(by_game[key], RatingParams(), before)
+        for player, (rating, games) in before.items():
+            want[key[1], player] = (games, rating, after[player][0])
+        state |= after
+    got = {(r.game_id, r.player_id): (r.games_before, r.rating_before, r.rating_after) for r in QUERIES["rating_full_log"](spark, sf).collect()}
+    assert len({r[2] for r in rows}) > 1 and len(want) == len(rows) and got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=2e-4)
+
+
 def test_team_fold_is_zero_sum(spark):
     rng, ratings, rows = random.Random(2), {}, []
     for g in range(30):
