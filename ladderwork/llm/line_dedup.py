@@ -1,18 +1,17 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations alone.
+"""Fuzzy line deduplication by MinHash.
 
 Lines of all texts are trimmed and lower-cased; equal lines make one class.
-A class has a set of character shingles: up to `width` characters of three
-pieces in a row (white space left out) from each piece start, a piece being a
-word or each `piece` characters of a long one, so that every character lies in
-a shingle.  One 64-bit hash per
-shingle is combined with `bands * rows` constants by XOR, which orders the
-hash values anew for each constant; the least values are the MinHash.  Classes
-that agree on a band are candidates: in each bucket the class with most
-bucket mates meets the others, pairs are verified by exact Jaccard similarity,
-links are joined by distributed union-find.  Buckets that still hold several
-components are finished exactly: their classes are dealt into blocks of
-bounded size, and each pair of blocks is compared inside one row, which gives
-only the pairs of components that a link joins.
+A class has the set of all strings of `width` characters at every position of
+its line, white space included; a shorter line is one such string.  Spark
+tasks compute `bands * rows` MinHashes of each class with numpy, the order for
+each from a product of one hash with an odd constant.  Classes that agree on a
+band are candidates: in each bucket the class with most bucket mates meets the
+others.  A sketch of 64 one-bit MinHashes drops pairs that are far from the
+threshold; the others are verified by exact Jaccard similarity of the strings
+themselves, and links are joined by distributed union-find.  Buckets that
+still hold several components are finished exactly: their classes are dealt
+into blocks of bounded size, and each pair of blocks is compared inside one
+row, which gives only the pairs of components that a link joins.
 
 Each component keeps one line, the first by (doc_id, place); the others go.
 
@@ -23,31 +22,36 @@ comes first in order.  Extra columns are kept or ignored as said below.
 
 from __future__ import annotations
 
-import random
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderwork.llm import textscan
 from ladderwork.llm.common import components, maybe_broadcast, written
 
 
 @dataclass(frozen=True)
 class LineDedupParams:
-    width: int = 12
-    piece: int = 8
-    bands: int = 12
-    rows: int = 3
+    width: int = 5
+    bands: int = 22
+    rows: int = 5
     at_least: tuple[int, int] = (4, 5)
     seed: int = 5
+    #: sketch bits of 64 in which a compared pair may differ; a pair at exactly 0.8 differs in more with probability 2.4e-8
+    differ: int = 22
     #: classes in a block, about, when a bucket's rest is compared
     block: int = 128
 
-    @property
-    def masks(self) -> list[int]:
-        rng = random.Random(self.seed)
-        return [rng.getrandbits(64) - 2**63 for _ in range(self.bands * self.rows)]
+
+@lru_cache
+def factors(n: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def normal(line: Column) -> Column:
@@ -64,14 +68,48 @@ def _place() -> Column:
     return F.struct("doc_id", "text_hash", "pos")
 
 
-def _pieces(p: LineDedupParams) -> Column:
-    return F.regexp_extract_all("norm", F.lit(rf"\S{{1,{p.piece}}}"), F.lit(0))
+def shingle_set(line: str, width: int) -> frozenset[str]:
+    return frozenset(line[i : i + width] for i in range(max(1, len(line) - width + 1)))
 
 
-def _shingle(pieces: str, at: str, p: LineDedupParams) -> str:
-    """SQL of the hash of the shingle that starts at a piece."""
-    parts = ", ".join(f"coalesce(get({pieces}, {at} + {j}), '')" for j in range(3))
-    return f"xxhash64(substr(concat({parts}), 1, {p.width}))"
+def alike(x: frozenset[str], y: frozenset[str], p: LineDedupParams) -> bool:
+    """Exact: Jaccard similarity of at least the threshold."""
+    less, of = p.at_least
+    if of * min(len(x), len(y)) < less * max(len(x), len(y)):
+        return False
+    return (of + less) * len(x & y) >= less * (len(x) + len(y))
+
+
+def signatures(lines: list[bytes], p: LineDedupParams) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys (lines x bands) and 64-bit sketches of some lines that are not blank."""
+    a = factors(p.bands * p.rows, p.seed)
+    keys, sketch = np.empty((len(lines), p.bands), dtype=np.int64), np.empty(len(lines), dtype=np.int64)
+    for first, last in textscan.chunks(lines, 1 << 16):
+        here = [x.decode("utf-8", "surrogateescape").ljust(p.width, "\U0010ffff") for x in lines[first:last]]
+        sizes = np.fromiter((len(x) for x in here), dtype=np.int64, count=len(here)) - p.width + 1
+        codes = np.frombuffer("".join(here).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        n = len(codes) - p.width + 1
+        h = np.zeros(n, dtype=np.uint64)
+        for j in range(p.width):
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h += codes[j : j + n] + np.uint64(1)
+        inside = np.ones(n, dtype=bool)  # windows that reach into the next line go
+        ends = np.cumsum(sizes + p.width - 1)[:-1]
+        for j in range(1, p.width):
+            inside[ends - j] = False
+        h = (textscan.mix(h[inside]) >> np.uint64(32)).astype(np.uint32)
+        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        least, work = np.empty((len(a), len(here)), dtype=np.uint32), np.empty_like(h)
+        for k, factor in enumerate(a):
+            np.minimum.reduceat(np.multiply(h, factor, out=work), at, out=least[k])
+        for b in range(p.bands):
+            key = np.full(len(here), b + 1, dtype=np.uint64)
+            for m in least[b * p.rows : (b + 1) * p.rows]:
+                key = textscan.mix(key) + m
+            keys[first:last, b] = textscan.mix(key).view(np.int64)
+        bits = (least[:64] * np.uint32(0x9E3779B1)) >> np.uint32(31)
+        sketch[first:last] = np.packbits(np.ascontiguousarray(bits.astype(np.uint8).T), axis=1).view(np.int64).ravel()
+    return keys, sketch
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -86,86 +124,119 @@ def _classes(docs: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _members(classes: DataFrame, p: LineDedupParams) -> DataFrame:
-    """(bucket, line): a row for every band of every class."""
-    placed = classes.select("line", _pieces(p).alias("pieces")).select("line", "pieces", F.posexplode("pieces").alias("pos", "piece"))
-    hashed = placed.select("line", F.expr(_shingle("pieces", "pos", p)).alias("h"))
-    mins = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(p.masks)]
-    signed = hashed.groupBy("line").agg(*mins)
-    keys = [F.xxhash64(F.lit(b), *[F.col(f"m{b * p.rows + r}") for r in range(p.rows)]) for b in range(p.bands)]
-    return signed.select("line", F.explode(F.array(*keys)).alias("bucket"))
+def _signed(classes: DataFrame, p: LineDedupParams) -> DataFrame:
+    """(line, buckets, sketch) of every class."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                keys, sketch = signatures([bytes(x) for x in batch["norm"]], p)
+                yield pd.DataFrame({"line": batch["line"].to_numpy(), "buckets": list(keys), "sketch": sketch})
 
-def _shingle_sets(classes: DataFrame, ids: DataFrame, p: LineDedupParams) -> DataFrame:
-    rows = classes.select("line", "norm").join(ids, "line", "left_semi").select("line", _pieces(p).alias("pieces"))
-    each = F.expr(f"array_distinct(transform(sequence(0, size(pieces) - 1), i -> {_shingle('pieces', 'i', p)}))")
-    return rows.select("line", each.alias("set"))
+    return classes.select("line", F.col("norm").cast("binary").alias("norm")).mapInPandas(run, "line long, buckets array<long>, sketch long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: LineDedupParams) -> DataFrame:
-    less, of = p.at_least
-    right = sets.select(F.col("line").alias("b"), F.col("set").alias("sb"))
-    left = sets.select(F.col("line").alias("a"), F.col("set").alias("sa"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    sizes = F.size("sa"), F.size("sb")
-    return (
-        pairs.join(right, "b").join(left, "a")
-        .where(of * F.least(*sizes) >= less * F.greatest(*sizes))
-        .where((of + less) * both >= less * (sizes[0] + sizes[1]))
-        .select("a", "b")
-    )
+def _far(x: Column, y: Column, p: LineDedupParams) -> Column:
+    return F.bit_count(x.bitwiseXOR(y)) > p.differ
+
+
+def _text(x: bytes) -> str:
+    return bytes(x).decode("utf-8", "surrogateescape")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, p: LineDedupParams) -> DataFrame:
+    norms = classes.select("line", F.col("norm").cast("binary").alias("norm"))
+    left = norms.select(F.col("line").alias("a"), F.col("norm").alias("x"))
+    right = norms.select(F.col("line").alias("b"), F.col("norm").alias("y"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, x = None, frozenset()
+        for batch in batches:
+            found = []
+            for r in batch.itertuples(index=False):
+                if r.a != a:
+                    a, x = r.a, shingle_set(_text(r.x), p.width)
+                found.append(alike(x, shingle_set(_text(r.y), p.width), p))
+            yield batch.loc[np.array(found, dtype=bool), ["a", "b"]]
+
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def line_components(classes: DataFrame, p: LineDedupParams) -> DataFrame:
     """(id, component) of every class that is linked with another."""
+    signed = written(_signed(classes, p), "line-signatures")
+    sketches = signed.select("line", "sketch")
     # one exchange of two longs a row; the window only counts and may spill
-    sized = _members(classes, p).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    shared = written(sized.where("n > 1"), "line-buckets")
+    sized = signed.select("line", F.explode("buckets").alias("bucket")).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
+    counted = sized.where("n > 1")
+    shared = written(counted.join(sketches, "line"), "line-buckets")
     weight = shared.groupBy("line").agg(F.sum("n").alias("w"))
-    sets = written(_shingle_sets(classes, weight.select("line"), p), "line-sets")
-    pivot = shared.join(weight, "line").groupBy("bucket").agg(F.max_by("line", F.struct("w", "line")).alias("pivot"))
-    first = shared.join(pivot, "bucket").where("line <> pivot").select(F.col("pivot").alias("a"), F.col("line").alias("b")).distinct()
-    links = written(_verified(first, sets, p), "line-links")
+    top = F.max_by(F.struct("line", "sketch"), F.struct("w", "line"))
+    pivot = shared.join(weight, "line").groupBy("bucket").agg(top.alias("pivot"))
+    first = (
+        shared.join(pivot, "bucket").where("line <> pivot.line").where(~_far(F.col("sketch"), F.col("pivot.sketch"), p))
+        .select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
+    )
+    links = written(_verified(first, classes, p), "line-links")
     found = written(components(links, "line-components"), "line-placed")
     placed = (
         shared.where("n > 2").join(found, shared["line"] == found["id"], "left")
-        .select("bucket", "n", "line", F.coalesce("component", "line").alias("comp"))
+        .select("bucket", "n", "line", "sketch", F.coalesce("component", "line").alias("comp"))
     )
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = placed.join(open_, "bucket").join(sets, "line")
-    return components(links.unionByName(_component_links(rest, p)).unionByName(
+    rest = _with_mates(placed.join(open_, "bucket"), p)
+    return components(links.unionByName(_component_links(rest, classes, p)).unionByName(
         found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     ), "line-components")
 
 
-def _component_links(rest: DataFrame, p: LineDedupParams) -> DataFrame:
-    """Pairs (a, b) of components with a link between their members in a bucket.
-
-    rest: bucket, n, line, comp, set.  No pair becomes a row: a row holds two
-    blocks and compares them by array functions.
-    """
-    less, of = p.at_least
+def _block_pairs(rest: DataFrame, held: list[str], p: LineDedupParams) -> DataFrame:
+    """A row (bucket, xs, ys) for each pair of blocks of a bucket's n members."""
     dealt = rest.withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.struct(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    held = dealt.groupBy("bucket", pair.alias("pair")).agg(
-        F.collect_list(F.when(F.col("block") == F.least("block", "other"), F.struct("comp", "set"))).alias("xs"),
-        F.collect_list(F.when(F.col("block") == F.greatest("block", "other"), F.struct("comp", "set"))).alias("ys"),
-    )
+    return dealt.groupBy("bucket", pair.alias("pair")).agg(
+        F.collect_list(F.when(F.col("block") == F.least("block", "other"), F.struct(*held))).alias("xs"),
+        F.collect_list(F.when(F.col("block") == F.greatest("block", "other"), F.struct(*held))).alias("ys"),
+    )
 
-    def linked(x: Column, y: Column) -> Column:
-        a, b = F.size(x["set"]), F.size(y["set"])
-        near = of * F.least(a, b) >= less * F.greatest(a, b)
-        # both * of >= less * (a + b - both), with the intersection taken once
-        enough = (of + less) * F.size(F.array_intersect(x["set"], y["set"])) >= less * (a + b)
-        return F.when((x["comp"] != y["comp"]) & near, enough).otherwise(False)
 
-    def of_one(x: Column) -> Column:
-        return F.array_distinct(F.transform(F.filter("ys", lambda y: linked(x, y)), lambda y: F.struct(F.least(x["comp"], y["comp"]).alias("a"), F.greatest(x["comp"], y["comp"]).alias("b"))))
+def _with_mates(rest: DataFrame, p: LineDedupParams) -> DataFrame:
+    """Members near to a bucket mate of another component by their sketches; the others have no link to find."""
+    held = _block_pairs(rest, ["comp", "sketch", "line"], p)
 
-    found = held.select(F.explode(F.array_distinct(F.flatten(F.transform("xs", of_one)))).alias("link"))
-    return written(found.select("link.a", "link.b").distinct(), "line-links")
+    def near(xs: str, ys: str) -> Column:
+        some = lambda x: F.exists(ys, lambda y: (x["comp"] != y["comp"]) & ~_far(x["sketch"], y["sketch"], p))
+        return F.transform(F.filter(xs, some), lambda x: x["line"])
+
+    lines = held.select("bucket", F.explode(F.array_union(near("xs", "ys"), near("ys", "xs"))).alias("line")).distinct()
+    found = written(rest.drop("n").join(lines, ["bucket", "line"]), "line-rest")
+    return found.join(found.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+
+
+def _component_links(rest: DataFrame, classes: DataFrame, p: LineDedupParams) -> DataFrame:
+    """Pairs (a, b) of components with a link between their members in a bucket.
+
+    rest: bucket, n, line, sketch, comp.  No pair becomes a row: a row holds
+    two blocks and compares them.
+    """
+    norms = classes.select("line", F.col("norm").cast("binary").alias("norm"))
+    held = _block_pairs(rest.join(norms, "line"), ["comp", "sketch", "norm"], p)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            links = set()
+            for xs, ys in zip(batch["xs"], batch["ys"], strict=True):
+                sets = [[shingle_set(_text(m["norm"]), p.width) for m in side] for side in (xs, ys)]
+                for x, sx in zip(xs, sets[0], strict=True):
+                    for y, sy in zip(ys, sets[1], strict=True):
+                        link = min(x["comp"], y["comp"]), max(x["comp"], y["comp"])
+                        if link[0] != link[1] and link not in links and ((x["sketch"] ^ y["sketch"]) & (2**64 - 1)).bit_count() <= p.differ and alike(sx, sy, p):
+                            links.add(link)
+            yield pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
+
+    return written(held.select("xs", "ys").mapInPandas(run, "a long, b long").distinct(), "line-links")
 
 
 def removals(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:

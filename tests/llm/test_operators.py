@@ -149,6 +149,21 @@ def test_line_dedup(docs, no_docs):
     assert out[12].band == "x" and line_dedup.line_dedup(no_docs).count() == 0
 
 
+def test_line_dedup_links_every_pair_with_one_letter_changed(spark):
+    rng, lines = random.Random(11), []
+    for n in list(range(8, 26)) * 4:
+        line = prose(n, rng.random())
+        at = next(i for i in range(len(line) // 2, len(line)) if line[i] != " ")
+        lines += [line, line[:at] + "z" + line[at + 1 :]]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    rows = [(i, x, "en", "s", len(x), "x", "y") for i, x in enumerate(lines)]
+    out = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    near = [5 * len(sets[i] & sets[i + 1]) >= 4 * len(sets[i] | sets[i + 1]) for i in range(0, len(lines), 2)]
+    assert sum(near) > 50
+    for i, same in enumerate(near):
+        assert out[2 * i] == 0 and out[2 * i + 1] == int(same)
+
+
 def test_packing(docs, no_docs):
     p = packing.default_params()
     out = packing.packed(docs, p).toPandas()
