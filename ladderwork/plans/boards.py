@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ladderwork.functions.scalar import season_start
 from ladderwork.functions.windows import gap_sessions, running_max_before
 from ladderwork.operators import leaderboard
 from ladderwork.plans.registry import query
@@ -133,10 +134,26 @@ pick AS (
 SELECT grp, day FROM pick UNION SELECT grp, max(day) FROM d GROUP BY grp
 """)
 def frame_sampling_7d(spark, sf):
+    """One event in three and ten groups of users; frame_sampling_season takes all days of a season."""
     days = read(spark, sf, "events").where("event_id % 3 = 0").select((F.col("user_id") % 10).alias("grp"), F.to_date("ts").alias("day"))
     return leaderboard.greedy_frames(days, ["grp"], 7)
 
 
+@query("""
+WITH RECURSIVE d AS (
+  SELECT DISTINCT CAST(CASE WHEN year(ts) = 2020 AND month(ts) BETWEEN 7 AND 9 THEN 2019 WHEN month(ts) < 7 THEN year(ts) - 1 ELSE year(ts) END AS BIGINT) AS season, CAST(ts AS DATE) AS day FROM events),
+pick AS (
+  SELECT season, min(day) AS day FROM d GROUP BY season
+  UNION ALL
+  SELECT p.season, (SELECT min(day) FROM d WHERE d.season = p.season AND d.day >= p.day + 7) FROM pick p WHERE EXISTS (SELECT 1 FROM d WHERE d.season = p.season AND d.day >= p.day + 7))
+SELECT season, day FROM pick UNION SELECT season, max(day) FROM d GROUP BY season
+""")
+def frame_sampling_season(spark, sf):
+    """Days of a season at least a week apart, from all events; the season's last day is always in."""
+    days = read(spark, sf, "events").select(season_start(F.col("ts")).alias("season"), F.to_date("ts").alias("day"))
+    return leaderboard.greedy_frames(days, ["season"], 7)
+
+
 @query(f"WITH {BOARD_SQL} SELECT board_day, count(*) AS entries, CAST(sum(place) AS BIGINT) AS places FROM top10 GROUP BY board_day")
 def frame_json(spark, sf):
     """One nested JSON frame per date; read back and counted."""

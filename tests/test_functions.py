@@ -106,3 +106,26 @@ def test_parameters_are_checked():
 def test_grid_forms():
     assert [p.k for p in parameter_grid('{"k": [20.0, 45.0], "theta": [0.5]}')] == [20.0, 45.0]
     assert parameter_grid('[{"variant": "a", "k": 30.0}]')[0].variant == "a"
+
+
+def test_entries_exits_of_absent_players(spark):
+    from ladderwork.plans.evaluation import entries_exits
+
+    rows = [("all", g, f"{s}-11-01", s, p, r) for g, (s, p, r) in enumerate([(1, 1, 10.0), (1, 2, 20.0), (2, 1, 30.0), (3, 1, 40.0), (3, 2, 50.0)])]
+    log = spark.createDataFrame(rows, "variant string, game_id long, game_date string, season long, player_id long, rating_after double")
+    got = {r.season: (r.players, r.entries, r.exits, r.exit_median) for r in entries_exits(log).collect()}
+    assert got == {1: (2, 2, 1, 20.0), 2: (1, 0, 0, None), 3: (2, 0, 2, 45.0)}
+
+
+def test_whole_table_queries_use_every_row(spark, sf):
+    from ladderwork.operators import leaderboard
+    from ladderwork.plans.registry import QUERIES
+    from ladderwork.plans.timeline import events
+
+    want = events(spark, sf).select("season", "player_id").distinct().count()
+    assert QUERIES["entry_exit_all"](spark, sf).agg({"players": "sum"}).first()[0] == want
+    got = QUERIES["frame_sampling_season"](spark, sf)
+    days = spark.read.parquet(f"{sf}/events.parquet").selectExpr("min(to_date(ts)) AS a", "max(to_date(ts)) AS b").first()
+    assert {days.a, days.b} <= {r.day for r in got.collect()}
+    sparse = spark.createDataFrame([(1, d) for d in (1, 3, 8, 20, 22)], "season int, d int").selectExpr("season", "date_add(date'2000-01-01', d) AS day")
+    assert sorted(r.day.day - 1 for r in leaderboard.greedy_frames(sparse, ["season"], 7).collect()) == [1, 8, 20, 22]
