@@ -13,8 +13,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes up to which a side may be broadcast once it has been counted.
+#: Rows, and values in them, up to which a side may be broadcast once both have been counted.
 BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,14 +58,20 @@ def text_key(text: Column) -> Column:
     return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most `rows` rows; counts no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, values: Column | None = None) -> bool:
+    """Whether df may be broadcast: few rows, and few values where rows hold arrays or texts.
+
+    `values` says how many numbers (or eight bytes of text) a row holds; rows
+    of plain columns need none.  Counts no further than the bound on rows.
+    """
+    part = df.limit(BROADCAST_ROWS + 1)
+    n, held = part.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if values is None else values), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and held <= BROADCAST_VALUES
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, values: Column | None = None) -> DataFrame:
     """A broadcast hint only behind a count; otherwise the join shuffles."""
-    return F.broadcast(df) if small_enough(df, rows) else df
+    return F.broadcast(df) if small_enough(df, values) else df
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:

@@ -7,19 +7,27 @@ a string the one with the least hash (the leftmost of equal ones) is its
 anchor.  Equal strings have equal anchors at equal places, so only suffixes at
 anchors whose core occurs twice can matter.
 
-1. Anchors' core hashes are counted over the corpus; unique ones end there.
+1. Anchors are found once and written beside the texts; their cores are
+   counted over the corpus, and unique ones end there.
 2. Every task sorts the suffixes at its other anchors, merges equal ones and
    writes them front-coded (length of the prefix shared with the one before,
    and the rest), cut into ranges of the core hash.
 3. A range's runs are combined by a loser tree that knows each contender's
    common prefix with the last one out and never compares those bytes again;
    suffixes that come out equal, with equal left context, are one.
-4. Each suffix brings the bytes to its left that its strings need.  All its
-   strings get a hash; those that occur twice in the range mark what goes.
+4. A string with `d` bytes left of its anchor repeats if another suffix shares
+   `length - d` bytes with its suffix and `d` bytes with its left context.  The
+   prefixes are those that the merge has found, the left contexts are sorted
+   likewise, so the bytes themselves decide.  Groups are resolved as they
+   stream out of the merge, and a group has at most `hot_core` suffixes.
+5. A core with more occurrences never meets in one task.  Its strings are
+   told apart by 128-bit hashes: equal surroundings are combined in the task
+   that holds them, and Spark counts the strings with map-side sums.
 
 Defined results: null counts as empty; texts under `length` bytes lose
-nothing; strings never cross texts; copies of a text remove each other; rows
-with equal doc_id and text count as two texts.  Extra columns are ignored.
+nothing; strings never cross texts; copies of a text remove each other; each
+row of docs is a text of its own, whatever its doc_id.  Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -29,17 +37,20 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderwork.llm import textscan
-from ladderwork.llm.common import given_id, maybe_broadcast, null_id, written
+from ladderwork.llm.common import maybe_broadcast, written
 
 _ENTRY = struct.Struct("<HHHI")
-_OWNER = np.dtype([("doc_id", "<i8"), ("text_hash", "<i8"), ("begin", "<i8")])
+_OWNER = np.dtype([("row", "<i8"), ("begin", "<i8")])
+SPANS = "row long, start long, end long"
 
 
 @dataclass(frozen=True)
@@ -49,8 +60,10 @@ class RepeatParams:
     #: suffixes that a task holds before it writes its runs, and in a range, about
     run_entries: int = 15_000
     range_entries: int = 12_000
-    #: strings that are resolved at once, about; a group of equal cores stays whole
-    group_strings: int = 200_000
+    #: suffixes that are resolved at once, about
+    merged_entries: int = 8_000
+    #: occurrences from which a core's strings are counted by hash
+    hot_core: int = 2_000
 
 
 def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
@@ -105,18 +118,31 @@ def anchors(texts: list[bytes], p: RepeatParams) -> tuple[np.ndarray, ...]:
     return text[spot], spot, start[first], start[last], h[spot]
 
 
-def _anchor_rows(docs: DataFrame, p: RepeatParams) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _slices(batches):
-            texts = [textscan.as_bytes(t) for t in batch["text"]]
-            ids, hashes = batch["doc_id"].to_numpy(np.int64), batch["text_hash"].to_numpy(np.int64)
-            for a, b in textscan.chunks(texts, 1 << 18):
-                text, spot, _, _, core = anchors(texts[a:b], p)
-                if len(text):
-                    begin = np.concatenate([[0], np.cumsum([*map(len, texts[a:b])])])[text]
-                    yield pd.DataFrame({"doc_id": ids[a:b][text], "text_hash": hashes[a:b][text], "place": spot - begin, "core": core.view(np.int64)})
-
-    return docs.mapInPandas(run, "doc_id long, text_hash long, place long, core long")
+def _marked(docs: DataFrame, p: RepeatParams) -> DataFrame:
+    """Every row with an id of its own and its anchors: place, first and last string start, core."""
+    ints = pa.list_(pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                texts = [textscan.as_bytes(t) for t in batch.column("text").to_pylist()]
+                bounds, found = [np.zeros(1, dtype=np.int64)], [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
+                for lo, hi in textscan.chunks(texts, 1 << 18):
+                    text, spot, first, last, core = anchors(texts[lo:hi], p)
+                    begin = np.concatenate([[0], np.cumsum([*map(len, texts[lo:hi])])])[text]
+                    for out, x in zip(found, (spot - begin, first - begin, last - begin, core.view(np.int64)), strict=True):
+                        out.append(x)
+                    bounds.append(bounds[-1][-1] + np.searchsorted(text, np.arange(1, hi - lo + 1)))
+                at = pa.array(np.concatenate(bounds), pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x), t)) for x, t in zip(found, [pa.int32()] * 3 + [pa.int64()], strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *lists], schema=pa.schema([*batch.schema, *((n, ints) for n in ("place", "first", "last")), ("core", pa.list_(pa.int64()))])
+                )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    anchors_type = "place array<int>, first array<int>, last array<int>, core array<long>"
+    return rows.mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, {anchors_type}")
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -200,11 +226,24 @@ def merge_runs(runs: list[Iterator[tuple[int, bytes, bytes, np.ndarray]]]) -> It
             node //= 2
 
 
+def _suffixes(batches: Iterator[pd.DataFrame], which: str, p: RepeatParams) -> Iterator[tuple[int, bytes, bytes, bytes, int]]:
+    """(row, core name, left context, suffix, first string start) of the wanted anchors."""
+    columns = ("row", "text", which, "place", "first", "last", "core")
+    for batch in _slices(batches):
+        for row, text, wanted, place, first, last, core in zip(*(batch[c] for c in columns), strict=True):
+            if wanted is None or not len(wanted):
+                continue
+            data, k = textscan.as_bytes(text), np.asarray(wanted)
+            names = np.asarray(core)[k].astype(">u8").tobytes()
+            for j, (s, lo, hi) in enumerate(zip(*(np.asarray(x)[k].tolist() for x in (place, first, last)), strict=True)):
+                yield row, names[8 * j : 8 * j + 8], data[lo:s], data[s : hi + p.length], lo
+
+
 def _runs(docs: DataFrame, ranges: int, p: RepeatParams) -> DataFrame:
-    """(range, run) of the suffixes at the places listed in docs."""
+    """(range, run) of the suffixes at the anchors listed in `cool`."""
     shift = (1 << 64) // ranges + 1
 
-    def flush(entries: list[tuple[bytes, bytes, tuple[int, int, int]]]) -> pd.DataFrame:
+    def flush(entries: list[tuple[bytes, bytes, tuple[int, int]]]) -> pd.DataFrame:
         entries.sort()
         out: dict[int, list[tuple[bytes, bytes, list]]] = {}
         for key, left, owner in entries:
@@ -218,82 +257,87 @@ def _runs(docs: DataFrame, ranges: int, p: RepeatParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries: list = []
-        for batch in _slices(batches):
-            texts = [textscan.as_bytes(t) for t in batch["text"]]
-            ids, hashes, places = batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["places"]
-            for a, b in textscan.chunks(texts, 1 << 18):
-                whole = b"".join(texts[a:b])
-                begin = np.concatenate([[0], np.cumsum([*map(len, texts[a:b])])])
-                text, spot, first, last, core = anchors(texts[a:b], p)
-                wanted = np.concatenate([np.asarray(x, dtype=np.int64) + begin[i] for i, x in enumerate(places.iloc[a:b])])
-                keep = np.flatnonzero(np.isin(spot, wanted))
-                names = core[keep].astype(">u8").tobytes()
-                for j, (i, s, lo, hi) in enumerate(zip(*(x[keep].tolist() for x in (text, spot, first, last)), strict=True)):
-                    owner = (ids[a + i], hashes[a + i], int(lo - begin[i]))
-                    entries.append((names[8 * j : 8 * j + 8] + whole[s : hi + p.length], whole[lo:s], owner))
-                if len(entries) >= p.run_entries:
-                    yield flush(entries)
-                    entries = []
+        for row, name, left, suffix, begin in _suffixes(batches, "cool", p):
+            entries.append((name + suffix, left, (row, begin)))
+            if len(entries) >= p.run_entries:
+                yield flush(entries)
+                entries = []
         if entries:
             yield flush(entries)
 
-    return docs.select("doc_id", "text_hash", "text", "places").mapInPandas(run, "range long, run binary")
+    return docs.mapInPandas(run, "range long, run binary")
+
 
+def _repeated(shared: np.ndarray, lefts: list[bytes], sizes: np.ndarray, weight: np.ndarray, p: RepeatParams) -> np.ndarray:
+    """Whether the string with d bytes left of its anchor occurs twice, by suffix and d.
 
-def _spans_of(lefts: list[bytes], rights: list[bytes], owners: list[list[np.ndarray]], p: RepeatParams) -> pd.DataFrame:
-    """What repeats in whole groups of suffixes with equal cores."""
-    strings = [a + b for a, b in zip(lefts, rights, strict=True)]
-    lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
-    sums = textscan.prefix_sums(np.frombuffer(b"".join(strings), dtype=np.uint8))
-    many = lengths - p.length + 1
-    of = np.repeat(np.arange(len(strings)), many)
-    offset = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-    start = (np.cumsum(lengths) - lengths)[of] + offset
-    h = textscan.mix(textscan.segment_hash(sums, start, start + p.length))
+    Suffixes come in order; shared is the prefix of each with the one before,
+    sizes their lengths and weight how often each is there.
+    """
+    n, width = len(lefts), p.length - p.core
+    shared = shared.copy()
+    shared[:1] = 0
+    turned = [x[::-1] for x in lefts]
+    order = sorted(range(n), key=turned.__getitem__)
+    place = np.empty(n, dtype=np.int64)
+    place[order] = np.arange(n)
+    with_last = np.array([0, *(common_prefix(turned[a], turned[b]) for a, b in zip(order, order[1:]))])
+    longest, least = np.fromiter(map(len, lefts), dtype=np.int64, count=n), p.length - sizes
+    out = np.zeros((n, width + 1), dtype=bool)
+    for d in range(width + 1):
+        i = np.flatnonzero((least <= d) & (d <= longest))
+        if len(i):
+            same = np.cumsum(shared < p.length - d)[i] * (n + 1) + np.cumsum(with_last < d)[place[i]]
+            _, back = np.unique(same, return_inverse=True)
+            out[i, d] = np.bincount(back, weights=weight[i])[back] >= 2
+    return out
+
+
+def _stretches(twice: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last column of each maximal run of true cells."""
+    edge = np.diff(np.pad(twice, ((0, 0), (1, 1))).view(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def _spans_of(found: list[tuple[int, bytes, int]], owners: list[list[np.ndarray]], p: RepeatParams) -> pd.DataFrame:
+    """What repeats in whole groups of suffixes (prefix shared, left context, size) with equal cores."""
+    shared, lefts, sizes = zip(*found, strict=True)
     weight = np.fromiter((sum(map(len, o)) for o in owners), dtype=np.int64, count=len(owners))
-    _, back = np.unique(h, return_inverse=True)
-    twice = np.bincount(back, weights=weight[of])[back] >= 2
-    edge = np.ones(len(of), dtype=bool)
-    edge[1:] = (twice[1:] != twice[:-1]) | (of[1:] != of[:-1])
-    first = np.flatnonzero(edge)
-    last = np.append(first[1:], len(of)) - 1
-    good = twice[first]
-    first, last = first[good], last[good]
-    entry, begin, end = of[first], offset[first], offset[last] + p.length
-    sizes = weight[entry]  # every span once for each owner of its suffix
+    twice = _repeated(np.array(shared), list(lefts), np.array(sizes), weight, p)
+    entry, low, high = _stretches(twice)
+    left = np.fromiter(map(len, lefts), dtype=np.int64, count=len(lefts))[entry]
+    many = weight[entry]  # every span once for each owner of its suffix
     own = np.concatenate([x for i in entry.tolist() for x in owners[i]]) if len(entry) else np.zeros(0, dtype=_OWNER)
     return pd.DataFrame(
-        {
-            "doc_id": own["doc_id"], "text_hash": own["text_hash"],
-            "start": own["begin"] + np.repeat(begin, sizes), "end": own["begin"] + np.repeat(end, sizes),
-        }
-    )
+        {"row": own["row"], "start": own["begin"] + np.repeat(left - high, many), "end": own["begin"] + np.repeat(left - low + p.length, many)}
+    )
 
 
 def _merged_spans(runs: list[bytes], p: RepeatParams) -> Iterator[pd.DataFrame]:
     """Spans of one range; groups of equal cores are resolved as they come out of the merge."""
-    lefts, rights, owners, strings = [], [], [], 0
+    found: list[tuple[int, bytes, int]] = []
+    owners: list[list[np.ndarray]] = []
     before: dict[bytes, int] = {}
+    size = -1
     for shared, key, left, own in merge_runs([decode_run(b) for b in runs]):
-        if shared < 8 + p.core and strings >= p.group_strings:
-            yield _spans_of(lefts, rights, owners, p)
-            lefts, rights, owners, strings = [], [], [], 0
-        if not rights or shared != len(key) or len(rights[-1]) + 8 != len(key):
-            before = {}
+        if shared < 8 + p.core and len(found) >= p.merged_entries:
+            yield _spans_of(found, owners, p)
+            found, owners = [], []
+        if not found or shared != len(key) or size != len(key):
+            before, size = {}, len(key)
         if left in before:  # the same suffix and left context again
             owners[before[left]].append(own)
             continue
-        before[left] = len(rights)
-        lefts.append(left)
-        rights.append(key[8:])
+        before[left] = len(found)
+        found.append((shared - 8, left, len(key) - 8))
         owners.append([own])
-        strings += len(left) + len(key) - 8 - p.length + 1
-    if rights:
-        yield _spans_of(lefts, rights, owners, p)
+    if found:
+        yield _spans_of(found, owners, p)
 
 
-def _repeated_spans(runs: DataFrame, p: RepeatParams) -> DataFrame:
-    """doc_id, text_hash, start and end of what repeats, from all runs of each range."""
+def _merged(runs: DataFrame, p: RepeatParams) -> DataFrame:
+    """Spans of what repeats, from all runs of each range."""
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_range = [], None
@@ -308,46 +352,114 @@ def _repeated_spans(runs: DataFrame, p: RepeatParams) -> DataFrame:
             yield from _merged_spans(held, p)
 
     parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = runs.repartition(parts, "range").sortWithinPartitions("range")
-    return dealt.mapInPandas(merge, "doc_id long, text_hash long, start long, end long")
-
-
-def repeated_spans(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
-    """doc_id, text_hash and spans (a flat array of starts and ends) of what goes."""
-    rows = docs.select(given_id("doc_id"), F.xxhash64("text").alias("text_hash"), "text").where(F.octet_length("text") >= p.length)
-    again = written(_anchor_rows(rows, p).groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "repeated-cores")
-    places = _anchor_rows(rows, p).join(again, "core").groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
-    places = written(places, "repeat-places")
-    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
+    return runs.repartition(parts, "range").sortWithinPartitions("range").mapInPandas(merge, SPANS)
+
+
+@lru_cache
+def _byte_codes() -> np.ndarray:
+    """Two random 64-bit numbers for each byte."""
+    return np.random.default_rng(29).integers(0, 2**64, (2, 256), dtype=np.uint64)
+
+
+def _string_hashes(data: bytes, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the n strings that start in data."""
+    start, buf = np.arange(n), np.frombuffer(data, dtype=np.uint8)
+    sums = (textscan.code_sums(codes[buf]) for codes in _byte_codes())
+    one, two = (textscan.mix(textscan.segment_hash(s, start, start + length)).view(np.int64) for s in sums)
+    return one, two
+
+
+def _counted(docs: DataFrame, p: RepeatParams) -> DataFrame:
+    """Spans of what repeats at the anchors listed in `hot`: strings are counted, not gathered."""
+
+    def hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[bytes] = set()
+        out: list[tuple] = []
+        for row, _, left, suffix, begin in _suffixes(batches, "hot", p):
+            name = hashlib.blake2b(left + b"|" + suffix, digest_size=16, salt=len(left).to_bytes(2, "little")).digest()
+            out.append((*struct.unpack("<qq", name), row, begin, None if name in told else left + suffix, len(left)))
+            told.add(name)
+            if len(out) >= 5_000:
+                yield pd.DataFrame(out, columns=["e1", "e2", "row", "begin", "body", "left"])
+                out = []
+            if len(told) >= 50_000:
+                told.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["e1", "e2", "row", "begin", "body", "left"])
+
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches, 200):
+            parts = []
+            for e1, e2, body, n in zip(batch["e1"], batch["e2"], batch["body"], batch["n"], strict=True):
+                many = len(body) - p.length + 1
+                one, two = _string_hashes(bytes(body), many, p.length)
+                parts.append(pd.DataFrame({"e1": e1, "e2": e2, "h1": one, "h2": two, "offset": np.arange(many, dtype=np.int32), "n": n}))
+            if parts:
+                yield pd.concat(parts)
+
+    def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in _slices(batches, 5_000):
+            out = []
+            for row, begin, offsets in zip(batch["row"].tolist(), batch["begin"].tolist(), batch["offsets"], strict=True):
+                x = np.sort(np.asarray(offsets, dtype=np.int64))
+                first = np.flatnonzero(np.diff(x, prepend=-2) > 1)
+                last = np.append(first[1:], len(x)) - 1
+                out += [(row, begin + a, begin + b + p.length) for a, b in zip(x[first].tolist(), x[last].tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=["row", "start", "end"], dtype="int64")
+
+    owned = written(docs.mapInPandas(hot, "e1 long, e2 long, row long, begin long, body binary, left int"), "hot-suffixes")
+    many = owned.groupBy("e1", "e2").agg(F.count("*").alias("n"))
+    bodies = owned.where("body is not null").dropDuplicates(["e1", "e2"]).select("e1", "e2", "body")
+    told = written(bodies.join(many, ["e1", "e2"]).mapInPandas(strings, "e1 long, e2 long, h1 long, h2 long, offset int, n long"), "hot-strings")
+    twice = told.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
+    where = told.join(twice, ["h1", "h2"]).groupBy("e1", "e2").agg(F.collect_list("offset").alias("offsets"))
+    return owned.join(where, ["e1", "e2"]).select("row", "begin", "offsets").mapInPandas(spans, SPANS)
+
+
+def _listed(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame]:
+    """Marked rows, and by row the anchors (their numbers) whose core occurs twice: `cool`, or `hot`."""
+    marked = written(_marked(docs, p), "marked-texts")
+    again = marked.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    each = marked.select("row", F.posexplode("core").alias("k", "core")).join(again, "core")
+    cool = F.col("n") <= p.hot_core
+    places = each.groupBy("row").agg(F.collect_list(F.when(cool, F.col("k"))).alias("cool"), F.collect_list(F.when(~cool, F.col("k"))).alias("hot"))
+    return marked, written(places, "repeat-places")
+
+
+def _spans(marked: DataFrame, places: DataFrame, p: RepeatParams) -> DataFrame:
+    """row and spans (a flat array of starts and ends) of what goes."""
+    total = places.agg(F.sum(F.size("cool"))).first()[0] or 0
     ranges = max(1, -(-total // p.range_entries))
-    runs = _runs(rows.join(maybe_broadcast(places), ["doc_id", "text_hash"]), ranges, p)
-    spans = _repeated_spans(runs, p).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
-    return written(spans, "repeat-spans")
+    wanted = marked.join(maybe_broadcast(places, F.size("cool") + F.size("hot")), "row")
+    found = _merged(_runs(wanted, ranges, p), p).unionByName(_counted(wanted.where(F.size("hot") > 0), p))
+    return written(found.groupBy("row").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans")), "repeat-spans")
 
 
 def without_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (bytes) and kept_sha256 for every row of docs."""
-    spans = repeated_spans(docs, p)
-    rows = docs.select(given_id("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in _slices(batches):
-            out = []
-            for doc_id, text, flat in zip(batch["doc_id"].tolist(), batch["text"], batch["spans"], strict=True):
-                data = textscan.as_bytes(text)
-                kept, at, removed, count, end = [], 0, 0, 0, -1
-                for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat is not None else ():
-                    count += a > end
-                    if b > end:
-                        kept.append(data[at : max(at, a)])
-                        removed += b - max(a, at)
-                        at = end = b
-                kept.append(data[at:])
-                body = b"".join(kept)
-                out.append((doc_id, len(data), int(removed), int(count), body, hashlib.sha256(body).hexdigest()))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    joined = rows.join(maybe_broadcast(spans), ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
-    return out.withColumn("doc_id", null_id("doc_id"))
+    marked, places = _listed(docs, p)
+    spans = _spans(marked, places, p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                out = []
+                for text, flat in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                    data = textscan.as_bytes(text)
+                    kept, at, removed, count, end = [], 0, 0, 0, -1
+                    for x, y in sorted(zip(flat[::2], flat[1::2], strict=True)) if flat is not None else ():
+                        count += x > end
+                        if y > end:
+                            kept.append(data[at : max(at, x)])
+                            removed += y - max(x, at)
+                            at = end = y
+                    kept.append(data[at:])
+                    body = b"".join(kept)
+                    out.append((len(data), int(removed), int(count), body, hashlib.sha256(body).hexdigest()))
+                columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    joined = marked.select("row", "doc_id", "text").join(maybe_broadcast(spans, F.size("spans")), "row", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")

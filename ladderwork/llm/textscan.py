@@ -60,9 +60,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def prefix_sums(buf: np.ndarray) -> np.ndarray:
     """Polynomial prefix sums; segment_hash() turns any segment into a hash."""
-    up, _ = _power_tables(len(buf))
-    out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=out[1:])
+    return code_sums(buf.astype(np.uint64) + np.uint64(1))
+
+
+def code_sums(codes: np.ndarray) -> np.ndarray:
+    """prefix_sums() of 64-bit codes."""
+    up, _ = _power_tables(len(codes))
+    out = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(codes * up[: len(codes)], out=out[1:])
     return out
 
 
