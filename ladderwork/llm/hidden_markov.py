@@ -2,18 +2,22 @@
 
 Texts are tokenised once into blocks, written to the shared folder: the
 block's distinct words (64-bit hashes), a small hash of each word's ending and
-the tokens as indexes.  Word counts are exchanged by ranges of the hash: each
-block sends a packed slice to each range and gets the corpus counts back, so
-no vocabulary is ever gathered or broadcast.
+the tokens as indexes.  Each block tells how often it has each of its words;
+Spark sums them by word, with a map-side sum, and a join on the word brings the
+corpus counts back, so no vocabulary is ever gathered or broadcast and a word
+of every block is no group of its own.
 
 Model: the `own_classes` most frequent words (a bounded list) have a class
 each, other known words share classes by ending, unknown words have one.
 p(word | state) = p(class | state) * p(word | class), the second factor by
-add-one counts.  The states are trained by Baum-Welch: every task adds up
-expected counts for its blocks, Spark sums them over tasks, and the next
-iteration starts from the sums.  For training a text longer than `segment`
-tokens counts as several sequences; the score of a text is its exact
-likelihood by the scaled forward recursion over all its tokens.
+add-one counts.  The states start from the training texts of least hash (a
+bounded sample, the same for the same texts however they are dealt out) and
+are trained by Baum-Welch: every task adds up expected counts for its blocks,
+Spark sums them over tasks, and the next iteration starts from the sums.
+
+Texts are trained and scored whole.  For training a long text is cut into
+stretches that run side by side: products of the transition steps of each
+stretch carry the exact forward and backward values over the cuts.
 
 Defined results: a null or empty text is the end token alone; a null doc_id
 is not held out; repeated rows are learned from and scored once each; without
@@ -22,12 +26,12 @@ training tokens every score is 0.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ from ladderwork.llm import textscan
 from ladderwork.llm.common import given_id, null_id, written
 
 END = np.uint64(0x51AB_7E0F_11D3_C0DE)
-BLOCKS = "block long, doc_ids binary, at binary, held binary, words binary, endings binary, codes binary, n_words long"
+BLOCKS = "block long, doc_ids binary, at binary, held binary, words binary, endings binary, codes binary"
 
 
 @dataclass(frozen=True)
@@ -44,11 +48,11 @@ class HiddenMarkovParams:
     iterations: int = 4
     own_classes: int = 1024
     ending_classes: int = 1024
-    segment: int = 256
+    #: tokens of a text that one step of the vectorised recursion covers; does not change the result
+    stretch: int = 256
     #: tokens in a block, about; bounds a task's memory
     block_tokens: int = 600_000
-    #: rows of (block, word) in a range of the exchange, about
-    range_words: int = 600_000
+    #: distinct training texts, of least hash, from which the states start
     seed_texts: int = 256
     seed: int = 3
 
@@ -63,35 +67,44 @@ class Model:
     log_total: float  # log10(N + V + 1)
 
 
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and endings of all tokens, the end token after each text, and each text's number of tokens."""
+    h, at, e = textscan.scan_endings(texts)
+    return np.insert(h, at[1:], END), np.insert(e, at[1:], np.uint64(0)), np.diff(at) + 1
+
+
+def _small(endings: np.ndarray, p: HiddenMarkovParams) -> np.ndarray:
+    return (endings % np.uint64(p.ending_classes)).astype(np.uint16)
+
+
 def token_blocks(docs: DataFrame, p: HiddenMarkovParams) -> DataFrame:
     """Dictionary-encoded tokens of about `block_tokens` tokens a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, held, lengths, hashes, endings, total = [], [], [], [], [], 0
+        block = TaskContext.get().partitionId() << 32
 
         def flush() -> pd.DataFrame:
-            h = np.concatenate(hashes)
-            words, first, codes = np.unique(h, return_index=True, return_inverse=True)
+            words, first, codes = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             ends = np.concatenate(endings)[first]
             at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            doc_ids = np.array(ids, dtype=np.int64)
-            key = uuid.uuid4().int >> 65  # the table is written once, so the name stays
-            parts = (doc_ids, at, np.array(held, dtype=bool), words, (ends % np.uint64(p.ending_classes)).astype(np.uint16), codes.astype(np.uint32))
-            return pd.DataFrame([[key, *(x.tobytes() for x in parts), len(words)]], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            parts = (np.array(ids, dtype=np.int64), at, np.array(held, dtype=bool), words, _small(ends, p), codes.astype(np.uint32))
+            return pd.DataFrame([[block, *(x.tobytes() for x in parts)]], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
             texts = [textscan.as_bytes(t) for t in batch["text"]]
             some_ids, some_held = batch["doc_id"].tolist(), batch["held"].tolist()
             for a, b in textscan.chunks(texts):
-                h, at, e = textscan.scan_endings(texts[a:b])
-                hashes.append(np.insert(h, at[1:], END))
-                endings.append(np.insert(e, at[1:], np.uint64(0)))
-                lengths.append(np.diff(at) + 1)
+                h, e, n = _tokens(texts[a:b])
+                hashes.append(h)
+                endings.append(e)
+                lengths.append(n)
                 ids += some_ids[a:b]
                 held += some_held[a:b]
-                total += len(hashes[-1])
+                total += len(h)
                 if total >= p.block_tokens:
                     yield flush()
+                    block += 1
                     ids, held, lengths, hashes, endings, total = [], [], [], [], [], 0
         if total:
             yield flush()
@@ -115,84 +128,38 @@ def _arrays(row) -> tuple[np.ndarray, ...]:
     )
 
 
-def corpus_counts(blocks: DataFrame, p: HiddenMarkovParams) -> tuple[DataFrame, DataFrame]:
-    """Corpus counts of every block's words, by hash range; and the ranges' totals."""
-    ranges = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // p.range_words))
-    width = (1 << 64) // ranges + 1
+def block_words(blocks: DataFrame) -> DataFrame:
+    """A row for each block and distinct word of it: its place there and its count in the training texts."""
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 _, at, held, words, endings, codes = _arrays(row)
-                n = np.bincount(codes[_token_mask(at, held)], minlength=len(words)).astype(np.uint32)
-                cut = np.searchsorted(words, np.arange(1, ranges, dtype=object).astype(object) * width if ranges > 1 else [])
-                cut = [0, *np.asarray(cut, dtype=np.int64).tolist(), len(words)]
-                yield pd.DataFrame(
-                    [
-                        (row.block, k, words[a:b].tobytes(), n[a:b].tobytes(), endings[a:b].tobytes())
-                        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-                        if b > a
-                    ],
-                    columns=["block", "range", "words", "n", "endings"],
-                )
+                n = np.bincount(codes[_token_mask(at, held)], minlength=len(words))
+                for a in range(0, len(words), 50_000):
+                    part = slice(a, a + 50_000)
+                    yield pd.DataFrame(
+                        {
+                            "block": row.block, "place": np.arange(len(words), dtype=np.int32)[part],
+                            "word": words[part].view(np.int64), "ending": endings[part].astype(np.int32), "n": n[part],
+                        }
+                    )
 
-    def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(b"".join(rows["words"]), np.uint64)
-        n = np.frombuffer(b"".join(rows["n"]), np.uint32)
-        endings = np.frombuffer(b"".join(rows["endings"]), np.uint16)
-        distinct, first, back = np.unique(words, return_index=True, return_inverse=True)
-        total = np.bincount(back, weights=n).astype(np.int64)
-        known = total > 0
-        ends = endings[first]
-        top = np.argsort(-total, kind="stable")[: p.own_classes]
-        top = top[known[top]]
-        stats = {
-            "v": int(known.sum()), "n": int(total.sum()),
-            "top_words": distinct[top].tobytes(), "top_counts": total[top].tobytes(), "top_endings": ends[top].tobytes(),
-            "ending_sums": np.bincount(ends[known], weights=total[known] + 1, minlength=p.ending_classes).tobytes(),
-        }
-        counts, out, at = total[back], [], 0
-        for i, size in enumerate(map(len, rows["words"])):
-            here = counts[at : at + size // 8]
-            at += size // 8
-            out.append([rows["block"].iloc[i], key[0], here.tobytes(), *(stats.values() if i == 0 else [0, 0, b"", b"", b"", b""])])
-        return pd.DataFrame(out, columns=["block", "range", "counts", *stats])
-
-    asks = blocks.select("block", "doc_ids", "at", "held", "words", "endings", "codes").mapInPandas(
-        ask, "block long, range int, words binary, n binary, endings binary"
-    )
-    schema = "block long, range int, counts binary, v long, n long, top_words binary, top_counts binary, top_endings binary, ending_sums binary"
-    answers = written(asks.groupBy("range").applyInPandas(answer, schema), "word-counts")
-    return answers.select("block", "range", "counts"), answers.where("n > 0").drop("block", "counts")
+    return blocks.mapInPandas(run, "block long, place int, word long, ending int, n long")
 
 
-def _frame(totals: DataFrame, p: HiddenMarkovParams) -> tuple[Model, int]:
-    """A model without trained states; the frequent words are a bounded list."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples():
-                yield pd.DataFrame(
-                    {
-                        "word": np.frombuffer(row.top_words, np.uint64).view(np.int64),
-                        "count": np.frombuffer(row.top_counts, np.int64),
-                        "ending": np.frombuffer(row.top_endings, np.uint16).astype(np.int64),
-                    }
-                )
+def corpus_counts(words: DataFrame) -> DataFrame:
+    """word, ending and corpus count (over training texts) of every word that they hold."""
+    return words.where("n > 0").groupBy("word", "ending").agg(F.sum("n").alias("count"))
 
-    def endings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(p.ending_classes)
-        for batch in batches:
-            for row in batch.itertuples():
-                total += np.frombuffer(row.ending_sums, np.float64)
-        yield pd.DataFrame({"ending": np.arange(p.ending_classes), "total": total})
 
-    sizes = totals.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    v, n = int(sizes[0]), int(sizes[1])
-    own = totals.mapInPandas(unpack, "word long, count long, ending long").orderBy(F.desc("count"), "word").limit(p.own_classes).toPandas()
-    sums = totals.mapInPandas(endings, "ending long, total double").groupBy("ending").agg(F.sum("total").alias("total")).toPandas()
+def _frame(counts: DataFrame, p: HiddenMarkovParams) -> tuple[Model, int]:
+    """A model without trained states; the frequent words are a bounded list."""
+    v, n = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
+    own = counts.orderBy(F.desc("count"), "word").limit(p.own_classes).toPandas()
+    sums = counts.groupBy("ending").agg(F.sum(F.col("count") + 1).alias("total")).toPandas()
     by_ending = np.zeros(p.ending_classes)
-    by_ending[sums["ending"].to_numpy()] = sums["total"].to_numpy()
+    by_ending[sums["ending"].to_numpy(np.int64)] = sums["total"].to_numpy(np.float64)
     words = own["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     mass = (own["count"].to_numpy(np.float64) + 1)[order]
@@ -204,7 +171,7 @@ def _frame(totals: DataFrame, p: HiddenMarkovParams) -> tuple[Model, int]:
     flat = class_mass / class_mass.sum() * (1 - unknown)
     emit = np.tile(np.append(flat, unknown), (p.states, 1))
     even = np.full(p.states, 1 / p.states)
-    return Model(words[order], even, np.tile(even, (p.states, 1)), emit, np.log10(class_mass), log_total), n
+    return Model(words[order], even, np.tile(even, (p.states, 1)), emit, np.log10(class_mass), log_total), int(n)
 
 
 def _classes(words: np.ndarray, endings: np.ndarray, model: Model, p: HiddenMarkovParams) -> np.ndarray:
@@ -235,40 +202,92 @@ def _forward(classes: np.ndarray, at: np.ndarray, model: Model) -> np.ndarray:
     return out
 
 
+def _carried(x: np.ndarray, begin: np.ndarray, size: np.ndarray, classes: np.ndarray, model: Model) -> np.ndarray:
+    """Row vectors x (n, r, states) carried over size tokens from begin on, up to a factor for each of the n."""
+    emit = np.ascontiguousarray(model.emit.T)
+    order = np.argsort(-size, kind="stable")
+    begin, size, out = begin[order], size[order], x[order]
+    for t in range(int(size[0]) if len(size) else 0):
+        n = int(np.searchsorted(-size, -t, side="left"))
+        here = (out[:n] @ model.move) * emit[classes[begin[:n] + t]][:, None, :]
+        if t % 8 == 7:
+            here /= here.max(axis=(1, 2), keepdims=True)
+        out[:n] = here
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(axis=-1, keepdims=True)
+
+
+def _stretched(classes: np.ndarray, at: np.ndarray, model: Model, p: HiddenMarkovParams) -> tuple[np.ndarray, ...]:
+    """Begin and size of each stretch, whether it is its text's first, the state before it and what follows it."""
+    lengths = np.diff(at)
+    many = -(-lengths // p.stretch)
+    text = np.repeat(np.arange(len(lengths)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    begin = at[text] + k * p.stretch
+    size = np.minimum(begin + p.stretch, at[text + 1]) - begin
+    before, after = np.tile(model.start, (len(text), 1)), np.ones((len(text), p.states))
+    if len(many) and many.max() > 1:
+        ends = np.zeros_like(before)
+        heads = np.flatnonzero((k == 0) & (many[text] > 1))
+        x = (model.start * model.emit.T[classes[begin[heads]]])[:, None, :]
+        ends[heads] = _unit(_carried(x, begin[heads] + 1, size[heads] - 1, classes, model)[:, 0])
+        later = np.flatnonzero(k > 0)
+        step = np.empty((len(text), p.states, p.states))
+        for a in range(0, len(later), 2048):
+            i = later[a : a + 2048]
+            step[i] = _carried(np.tile(np.eye(p.states), (len(i), 1, 1)), begin[i], size[i], classes, model)
+        by_k = np.argsort(k[later], kind="stable")
+        groups = np.split(later[by_k], np.flatnonzero(np.diff(k[later][by_k])) + 1)
+        for i in groups:
+            before[i] = ends[i - 1]
+            ends[i] = _unit(np.einsum("ns,nst->nt", before[i], step[i]))
+        for i in reversed(groups):
+            after[i - 1] = _unit(np.einsum("nst,nt->ns", step[i], after[i]))
+    return begin, size, k == 0, before, after
+
+
 def _expected(classes: np.ndarray, at: np.ndarray, model: Model, p: HiddenMarkovParams) -> tuple[np.ndarray, ...]:
-    """Expected starts, moves and emissions of the sequences (forward-backward)."""
+    """Expected starts, moves and emissions of whole sequences (forward-backward)."""
     s = p.states
-    starts = np.concatenate([np.arange(a, b, p.segment) for a, b in zip(at[:-1], at[1:], strict=True)] or [[]]).astype(np.int64)
-    ends = np.concatenate([np.minimum(np.arange(a, b, p.segment) + p.segment, b) for a, b in zip(at[:-1], at[1:], strict=True)] or [[]]).astype(np.int64)
-    order = np.argsort(starts - ends, kind="stable")
-    starts, left = starts[order], (ends - starts)[order]
+    begins, sizes, firsts, befores, afters = _stretched(classes, at, model, p)
+    order = np.argsort(-sizes, kind="stable")
     emit = np.ascontiguousarray(model.emit.T)
     first, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, model.emit.shape[1]))
-    for a in range(0, len(starts), 1024):
-        begin, size = starts[a : a + 1024], left[a : a + 1024]
+    for a in range(0, len(order), 1024):
+        i = order[a : a + 1024]
+        begin, size, head = begins[i], sizes[i], firsts[i]
         steps = int(size[0])
-        active = [int(np.searchsorted(-size, -t, side="left")) for t in range(steps)]
+        active = [int(np.searchsorted(-size, -t, side="left")) for t in range(steps)] + [0]
         alphas, scales, seen = [], [], []
         for t in range(steps):
-            n = active[t] if t else len(begin)
+            n = active[t]
             c = classes[begin[:n] + t]
             e = emit[c]
-            alpha = model.start * e if not t else (alphas[-1][:n] @ model.move) * e
+            alpha = np.where(head[:, None], model.start, befores[i] @ model.move) * e if not t else (alphas[-1][:n] @ model.move) * e
             scale = alpha.sum(axis=1, keepdims=True)
             alphas.append(alpha / scale)
             scales.append(scale)
             seen.append((c, e))
-        beta, gammas = np.ones_like(alphas[-1]), [None] * steps
+        gammas, beta = [None] * steps, np.zeros((0, s))
         for t in range(steps - 1, -1, -1):
-            gammas[t] = alphas[t] * beta
+            n, later = active[t], active[t + 1]
+            whole = np.empty((n, s))
+            whole[:later] = beta
+            ending = afters[i[later:n]]
+            whole[later:] = ending / (alphas[t][later:] * ending).sum(axis=1, keepdims=True)
+            gammas[t] = alphas[t] * whole
+            right = seen[t][1] * whole / scales[t]
             if t:
-                right = seen[t][1] * beta / scales[t]
-                n = len(right)
                 move += alphas[t - 1][:n].T @ right
-                back = np.ones_like(alphas[t - 1])
-                back[:n] = right @ model.move.T
-                beta = back
-        first += gammas[0].sum(axis=0)
+            else:
+                move += befores[i][~head].T @ right[~head]
+            beta = right @ model.move.T
+        first += gammas[0][head].sum(axis=0)
         c, g = np.concatenate([x[0] for x in seen]), np.concatenate(gammas)
         for k in range(s):
             out[k] += np.bincount(c, weights=g[:, k], minlength=out.shape[1])
@@ -282,25 +301,39 @@ def _train_classes(row, model: Model, p: HiddenMarkovParams) -> tuple[np.ndarray
     return classes, np.concatenate([[0], np.cumsum(np.diff(at)[~held])])
 
 
-def _seeded(blocks: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
-    """States that start from unlike texts of one block (a bounded sample)."""
-    one = blocks.agg(F.min("block")).first()[0]
-    rows = blocks.where(F.col("block") == one).collect() if one is not None else []
+def _seed_histograms(docs: DataFrame, model: Model, p: HiddenMarkovParams) -> np.ndarray:
+    """Class counts of the distinct training texts of least hash, in order of the hash."""
+    hashed = docs.where(~_held_out()).where(F.length("text") > 200).select(F.xxhash64("text").alias("h"), "text")
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(p.seed_texts).collect()]
+    texts = hashed.where(F.col("h").isin(least)).dropDuplicates(["h"]) if least else hashed.limit(0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for h, text in zip(batch["h"].tolist(), batch["text"], strict=True):
+                words, endings, _ = _tokens([textscan.as_bytes(text)])
+                n = np.bincount(_classes(words, _small(endings, p), model, p), minlength=model.emit.shape[1])
+                cell = np.flatnonzero(n)
+                yield pd.DataFrame({"h": h, "cell": cell, "n": n[cell]})
+
+    found = texts.mapInPandas(run, "h long, cell long, n long").toPandas()
+    out = np.zeros((len(least), model.emit.shape[1]))
+    out[np.searchsorted(np.array(least), found["h"].to_numpy(np.int64)), found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
+    return out
+
+
+def _seeded(docs: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
+    """States that start from unlike texts of a bounded sample."""
     rng = np.random.default_rng(p.seed)
-    emit = model.emit.copy()
-    if rows:
-        classes, at = _train_classes(rows[0], model, p)
-        long_ones = [i for i in range(len(at) - 1) if at[i + 1] - at[i] > 40][: p.seed_texts]
-        if long_ones:
-            hist = np.stack([np.bincount(classes[at[i] : at[i + 1]], minlength=emit.shape[1]) for i in long_ones]).astype(float)
-            unit = np.sqrt(hist / hist.sum(axis=1, keepdims=True))
-            chosen = [0]
-            while len(chosen) < p.states:
-                near = (unit @ unit[chosen].T).max(axis=1)
-                chosen.append(int(np.argmin(near)))
-            for k, i in enumerate(chosen):
-                own = unit[(unit @ unit[i]) >= (unit @ unit[chosen].T).max(axis=1) - 1e-12] ** 2
-                emit[k] = 0.5 * emit[k] + 0.5 * own.mean(axis=0)
+    emit, hist = model.emit.copy(), _seed_histograms(docs, model, p)
+    if len(hist):
+        unit = np.sqrt(hist / hist.sum(axis=1, keepdims=True))
+        chosen = [0]
+        while len(chosen) < p.states:
+            near = (unit @ unit[chosen].T).max(axis=1)
+            chosen.append(int(np.argmin(near)))
+        for k, i in enumerate(chosen):
+            own = unit[(unit @ unit[i]) >= (unit @ unit[chosen].T).max(axis=1) - 1e-12] ** 2
+            emit[k] = 0.5 * emit[k] + 0.5 * own.mean(axis=0)
     emit[:, :-1] *= 1 + 0.05 * rng.random((p.states, emit.shape[1] - 1))
     return _normal(model, np.full(p.states, 1.0), np.eye(p.states) * 8 + 1, emit[:, :-1])
 
@@ -312,7 +345,7 @@ def _normal(model: Model, first: np.ndarray, move: np.ndarray, out: np.ndarray)
 
 
 def baum_welch(blocks: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
-    model = _seeded(blocks, model, p)
+    """model (with unlike states) after `iterations` rounds over all blocks."""
     prior = model.emit[:, :-1].mean(axis=0)
     for _ in range(p.iterations):
         now = model
@@ -341,17 +374,21 @@ def baum_welch(blocks: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
 def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text)."""
     blocks = written(token_blocks(docs, p), "token-blocks")
-    counts, totals = corpus_counts(blocks, p)
-    model, train_tokens = _frame(totals, p)
+    words = block_words(blocks)
+    counts = written(corpus_counts(words), "word-counts")
+    model, train_tokens = _frame(counts, p)
     if train_tokens:
-        model = baum_welch(blocks, model, p)
-    back = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "counts"))).alias("parts"))
+        model = baum_welch(blocks, _seeded(docs, model, p), p)
+    told = words.select("block", "place", "word").join(counts.select("word", "count"), "word")
+    back = told.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("count").alias("counts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 ids, at, held, words, endings, codes = _arrays(row)
-                count = np.frombuffer(b"".join(part["counts"] for part in row.parts), np.int64)
+                count = np.zeros(len(words), dtype=np.int64)
+                if row.places is not None:
+                    count[np.asarray(row.places)] = np.asarray(row.counts)
                 known = count > 0
                 classes = np.where(known, _classes(words, endings, model, p), model.emit.shape[1] - 1)
                 base = np.log10(count + 1.0)
@@ -369,7 +406,7 @@ def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> Dat
                     }
                 )
 
-    out = blocks.join(back, "block").mapInPandas(
+    out = blocks.join(back, "block", "left").mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select(
