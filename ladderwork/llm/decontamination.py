@@ -8,9 +8,11 @@ join on it.  The place of the shingle in window and document then fixes where
 the window would start; it has to fit there (positional and length bound), and
 the words are compared one by one.
 
-Everything runs in the JVM.  The windows are broadcast only behind a count;
-otherwise the same join shuffles on the shingle and adaptive execution splits
-hot ones.
+Everything runs in the JVM.  The windows are broadcast only behind a count of
+their words.  Otherwise a shingle of a document travels as three numbers (a
+hash of the row, place, shingle); the places that the bounds leave go back to
+their texts, and the words are compared there.  Hot shingles are left to the
+splits of adaptive execution.
 
 Defined results: null texts have no words; items with null or wordless text
 or null item_id are left out; repeated items count once; every row of docs
@@ -26,7 +28,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderwork.llm.common import maybe_broadcast, text_key, written
+from ladderwork.llm.common import maybe_broadcast, small_enough, text_key, written
 
 #: Fixed value: what separates words once A-Z are lower case.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -92,13 +94,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = Decon
     ranked = tokens.join(counts, "shingle", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = ranked.withColumn("rank", F.row_number().over(rarest)).where("rank = 1 and n > 0")
     prefix = written(prefix.select("shingle", "at", "len", "window", "window_id"), "window-prefixes")
-    found = (
-        _shingled(texts, widths)
-        .join(maybe_broadcast(prefix), "shingle")
-        .where("pos >= at and pos - at + len <= size(words)")
-        .where("slice(words, pos - at + 1, len) = window")
-    )
-    return found.select("doc_id", text_key(F.col("text")).alias("text_key"), (F.col("pos") - F.col("at")).alias("start"), "len", "window_id")
+    if small_enough(prefix, 2 * F.size("window")):
+        met = _shingled(texts, widths).join(F.broadcast(prefix), "shingle").where("pos >= at and pos - at + len <= size(words)")
+        found = met.where("slice(words, pos - at + 1, len) = window").withColumn("text_key", text_key(F.col("text")))
+    else:
+        found = _met_by_shuffle(docs, texts, prefix, widths)
+    return found.select("doc_id", "text_key", (F.col("pos") - F.col("at")).alias("start"), "len", "window_id")
+
+
+def _met_by_shuffle(docs: DataFrame, texts: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
+    """doc_id, text_key, pos, at, len and window_id of verified occurrences, without a broadcast.
+
+    Two rows with one hash only cost a comparison: the words decide.
+    """
+    row = F.xxhash64("doc_id", "text")
+    places = _shingled(texts.select(row.alias("row"), "words"), widths).select("row", "pos", "shingle")
+    met = places.join(prefix.select("shingle", "at", "len", "window_id"), "shingle").where("pos >= at")
+    by_row = met.groupBy("row").agg(F.collect_list(F.struct("pos", "at", "len", "window_id")).alias("met"))
+    rows = docs.select(row.alias("row"), "doc_id", "text").join(by_row, "row").withColumn("words", words(F.col("text")))
+    each = rows.select("doc_id", "text", "words", F.explode("met").alias("m")).select("doc_id", "text", "words", "m.*")
+    fits = each.where("pos - at + len <= size(words)").withColumn("seen", F.expr("slice(words, pos - at + 1, len)"))
+    # the text stays behind: its key and the words in question go to the window
+    fits = fits.select("doc_id", text_key(F.col("text")).alias("text_key"), "pos", "at", "len", "window_id", "seen")
+    return fits.join(prefix.select("window_id", "window"), "window_id").where("seen = window")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = DecontaminationParams()) -> DataFrame:
