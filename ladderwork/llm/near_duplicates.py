@@ -9,9 +9,11 @@
    the posterior probability that its similarity reaches the threshold falls
    below the chosen miss probability.  Survivors are verified on full sets.
 4. Links give components.  Buckets that still hold several components are
-   then finished exactly: all pairs across components for small buckets,
-   blocks of bounded size for large ones, which are compared on full sets
-   inside a task and report only links that join components.
+   then finished: their members are dealt into blocks of bounded size, and
+   each pair of blocks is compared inside a task, signatures first, by the same
+   Bayesian bounds.  Only members that have a mate in another component bring
+   their sets; the sets are verified in blocks again, and what comes out are
+   links that join components.  All buckets go this one way.
 
 Band and row counts make the chance that a pair at the threshold shares no
 band below one in a million (see `miss_probability`).
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderwork.llm import textscan
-from ladderwork.llm.common import NO_ID, components, given_id, null_id, written
+from ladderwork.llm.common import NO_ID, components, given_id, maybe_broadcast, null_id, written
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,6 @@ class NearDuplicateParams:
     rows: int = 5
     batch: int = 25
     miss: float = 1e-6
-    small_bucket: int = 24
     block: int = 384
     seed: int = 11
 
@@ -102,7 +103,7 @@ def _text_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
 
 
 def sketches(texts: DataFrame, p: NearDuplicateParams) -> DataFrame:
-    """(id, text) -> id, n_shingles, set key (c1, c2), band keys and signature bytes."""
+    """(id, t, text) -> id, t, n_shingles, set key (c1, c2), band keys and signature bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = multipliers(p.rows, p.seed + 1)
@@ -122,10 +123,11 @@ def sketches(texts: DataFrame, p: NearDuplicateParams) -> DataFrame:
                 rows.append((len(s), c1, c2, keys.view(np.int64), (textscan.mix(sig) & np.uint64(255)).astype(np.uint8).tobytes()))
             out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "bands", "sig"])
             out.insert(0, "id", batch["id"].to_numpy())
+            out.insert(1, "t", batch["t"].to_numpy())
             yield out
 
-    return texts.select("id", "text").mapInPandas(
-        run, "id long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"
+    return texts.select("id", "t", "text").mapInPandas(
+        run, "id long, t long, n_shingles long, c1 long, c2 long, bands array<long>, sig binary"
     )
 
 
@@ -150,6 +152,18 @@ def _linked(a: np.ndarray, b: np.ndarray, p: NearDuplicateParams) -> bool:
     return of * both >= less * (len(a) + len(b) - both)
 
 
+def _alive(left: np.ndarray, right: np.ndarray, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Rows of two signature tables (the left may be one row) that survive every batch."""
+    alive, matches, done = np.arange(len(right)), np.zeros(len(right), dtype=np.int64), 0
+    for upto, need in steps:
+        ours = left[:, done:upto] if len(left) == 1 else left[alive, done:upto]
+        matches[alive] += (ours == right[alive, done:upto]).sum(axis=1)
+        alive, done = alive[matches[alive] >= need], upto
+        if not len(alive):
+            break
+    return alive
+
+
 def pruned(pairs: DataFrame, p: NearDuplicateParams) -> DataFrame:
     """(a, b, sig_a, sig_b) -> pairs that survive every batch of signatures."""
     steps = least_matches(p)
@@ -161,10 +175,7 @@ def pruned(pairs: DataFrame, p: NearDuplicateParams) -> DataFrame:
                 continue
             left = np.frombuffer(b"".join(batch["sig_a"]), dtype=np.uint8).reshape(n, -1)
             right = np.frombuffer(b"".join(batch["sig_b"]), dtype=np.uint8).reshape(n, -1)
-            alive, matches, done = np.arange(n), np.zeros(n, dtype=np.int64), 0
-            for upto, need in steps:
-                matches[alive] += (left[alive, done:upto] == right[alive, done:upto]).sum(axis=1)
-                alive, done = alive[matches[alive] >= need], upto
+            alive = _alive(left, right, steps)
             if len(alive):
                 yield batch.iloc[alive][["a", "b"]]
 
@@ -189,146 +200,212 @@ def verified(pairs: DataFrame, sets: DataFrame, p: NearDuplicateParams) -> DataF
     return pairs.join(right, "b").join(left, "a").mapInPandas(run, "a long, b long")
 
 
-def _block_links(ids: np.ndarray, comps: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], p: NearDuplicateParams):
-    """Links across components between two blocks (or inside one); a forest of them."""
-    parent = {c: c for c in comps.tolist()}
-
-    def root(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    lengths = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    owner = np.repeat(np.arange(len(sets)), lengths)
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    token, owner = token[order], owner[order]
-    first = np.searchsorted(token, np.arange(token[-1] + 2))
-    less, of = p.at_least
-    two = len(np.unique(blocks)) > 1
-    for i in range(len(sets)):
-        mine = np.searchsorted(_, sets[i])
-        spans = [owner[first[t] : first[t + 1]] for t in mine]
-        both = np.bincount(np.concatenate(spans), minlength=len(sets))
-        ok = of * both >= less * (lengths + lengths[i] - both)
-        ok[: i + 1] = False
-        if two:
-            ok &= blocks != blocks[i]
-        for j in np.flatnonzero(ok):
-            x, y = root(int(comps[i])), root(int(comps[j]))
-            if x != y:
-                parent[x] = y
-                yield int(ids[i]), int(ids[j])
+def _dealt(members: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """Members (bucket, n, id, ...) once for each pair of blocks that holds theirs, by bucket and pair."""
+    many = members.withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    return many.withColumn("pair", pair.cast("long")).drop("n", "blocks", "other")
 
 
-def block_links(members: DataFrame, p: NearDuplicateParams) -> DataFrame:
-    """Rows (bucket, pair, block, id, comp, set), sorted by bucket and pair, to links."""
+def _by_pair(dealt: DataFrame, compare, out: str) -> DataFrame:
+    """compare(rows of one pair of blocks) -> list of rows, for each pair; a pair's rows are bounded."""
+    names = [c.split()[0] for c in out.split(", ")]
+    columns = [c for c in dealt.columns if c not in ("bucket", "pair")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, held_key = [], None
-
-        def flush() -> list[tuple[int, int]]:
-            ids, comps, blocks = (np.array([r[k] for r in held], dtype=np.int64) for k in (0, 1, 2))
-            sets = [np.frombuffer(r[3], dtype=np.uint64) for r in held]
-            return list(_block_links(ids, comps, blocks, sets, p))
-
         for batch in batches:
-            columns = (batch[c] for c in ("bucket", "pair", "id", "comp", "block", "set"))
-            for bucket, pair, *row in zip(*columns, strict=True):
+            found = []
+            for bucket, pair, *row in zip(batch["bucket"].tolist(), batch["pair"].tolist(), *(batch[c] for c in columns), strict=True):
                 if (bucket, pair) != held_key:
-                    if len(held) > 1 and (found := flush()):
-                        yield pd.DataFrame(found, columns=["a", "b"])
+                    if len(held) > 1:
+                        found += compare(held_key[0], dict(zip(columns, zip(*held, strict=True), strict=True)))
                     held, held_key = [], (bucket, pair)
                 held.append(row)
-        if len(held) > 1 and (found := flush()):
-            yield pd.DataFrame(found, columns=["a", "b"])
+            if found:
+                yield pd.DataFrame(found, columns=names)
+        if len(held) > 1 and (found := compare(held_key[0], dict(zip(columns, zip(*held, strict=True), strict=True)))):
+            yield pd.DataFrame(found, columns=names)
 
-    return members.select("bucket", "pair", "id", "comp", "block", "set").mapInPandas(run, "a long, b long")
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair").mapInPandas(run, out)
 
 
-def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+def _candidates(i: int, roots: np.ndarray, blocks: np.ndarray, sizes: np.ndarray, p: NearDuplicateParams) -> np.ndarray:
+    """Later rows of a pair of blocks that i has to meet: other component, other block, fitting size."""
+    less, of = p.at_least
+    here = sizes[i + 1 :]
+    ok = (roots[i + 1 :] != roots[i]) & (of * np.minimum(here, sizes[i]) >= less * np.maximum(here, sizes[i]))
+    if blocks[0] != blocks[-1]:  # rows come with the blocks in order
+        ok &= blocks[i + 1 :] != blocks[i]
+    return np.flatnonzero(ok) + i + 1
 
-    Null and empty texts and texts of white space have no shingles and are
-    linked with nothing.  A null doc_id keeps a row of its own: its class id
-    is null and it is kept.  Repeated doc_ids with equal text give equal rows;
-    with different texts they count as one document that has each text.
-    Extra columns of docs are ignored.
+
+def members_with_mates(members: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """(bucket, id) of members that a member of another component may be linked with, by signatures.
+
+    members: bucket, n, id, n_shingles, comp and sig.
     """
-    texts = docs.select(given_id("doc_id", "id"), "text")
-    sketch = written(sketches(texts, p), "sketches")
-    classes = (
-        sketch.where(f"n_shingles > 0 and id <> {NO_ID}").groupBy("c1", "c2", "n_shingles").agg(F.min("id").alias("rep"))
-    )
-    reps = sketch.join(classes.select(F.col("rep").alias("id"), "c1", "c2", "n_shingles"), ["id", "c1", "c2", "n_shingles"])
-    reps = reps.dropDuplicates(["id"])
-    members = reps.select("id", "n_shingles", "sig", F.posexplode("bands").alias("band", "key")).select(
+    steps = least_matches(p)
+
+    def compare(bucket: int, rows: dict) -> list[tuple[int, int]]:
+        order = np.argsort(np.array(rows["block"]), kind="stable")
+        ids, roots, blocks, sizes = (np.array(rows[c], dtype=np.int64)[order] for c in ("id", "comp", "block", "n_shingles"))
+        sigs = np.frombuffer(b"".join(rows["sig"][k] for k in order), dtype=np.uint8).reshape(len(ids), -1)
+        open_ = np.zeros(len(ids), dtype=bool)
+        for i in range(len(ids) - 1):
+            j = _candidates(i, roots, blocks, sizes, p)
+            if len(j) and len(alive := j[_alive(sigs[i : i + 1], sigs[j], steps)]):
+                open_[i] = True
+                open_[alive] = True
+        return [(bucket, x) for x in ids[open_].tolist()]
+
+    return _by_pair(_dealt(members, p), compare, "bucket long, id long").distinct()
+
+
+def block_links(members: DataFrame, p: NearDuplicateParams) -> DataFrame:
+    """Links between components: a forest of them for each pair of blocks.
+
+    members: bucket, n, id, n_shingles, comp, sig and set.
+    """
+    steps, (less, of) = least_matches(p), p.at_least
+
+    def compare(_: int, rows: dict) -> list[tuple[int, int]]:
+        order = np.argsort(np.array(rows["block"]), kind="stable")
+        ids, roots, blocks, sizes = (np.array(rows[c], dtype=np.int64)[order] for c in ("id", "comp", "block", "n_shingles"))
+        sigs = np.frombuffer(b"".join(rows["sig"][k] for k in order), dtype=np.uint8).reshape(len(ids), -1)
+        sets = [np.frombuffer(rows["set"][k], dtype=np.uint64) for k in order]
+        names, token = np.unique(np.concatenate(sets), return_inverse=True)
+        tokens, mine = np.split(token, np.cumsum([*map(len, sets)])[:-1]), np.zeros(len(names), dtype=bool)
+        out = []
+        for i in range(len(ids) - 1):
+            j = _candidates(i, roots, blocks, sizes, p)
+            if not len(j):
+                continue
+            mine[tokens[i]] = True
+            for k in j[_alive(sigs[i : i + 1], sigs[j], steps)].tolist():
+                if roots[k] != roots[i]:
+                    both = int(np.count_nonzero(mine[tokens[k]]))
+                    if of * both >= less * (sizes[i] + sizes[k] - both):
+                        out.append((int(ids[i]), int(ids[k])))
+                        roots[roots == roots[k]] = roots[i]
+            mine[tokens[i]] = False
+        return out
+
+    return _by_pair(_dealt(members, p), compare, "a long, b long")
+
+
+def _class_components(texts: DataFrame, sketch: DataFrame, p: NearDuplicateParams) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal sets (class, c1, c2, n_shingles, rep) and links between classes as (class, component)."""
+    less, of = p.at_least
+    classes = sketch.where(f"n_shingles > 0 and id <> {NO_ID}").groupBy("c1", "c2", "n_shingles").agg(F.min(F.struct("id", "t")).alias("rep"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    chosen = classes.select("class", "c1", "c2", "n_shingles", "rep.*")
+    reps = sketch.join(chosen, ["id", "t", "c1", "c2", "n_shingles"]).dropDuplicates(["class"])
+    reps = written(reps.select(F.col("class").alias("id"), "n_shingles", "bands", "sig"), "class-sketches")
+    members = reps.select("id", "n_shingles", F.posexplode("bands").alias("band", "key")).select(
         F.xxhash64("band", "key").alias("bucket"), "id", "n_shingles"
     )
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(buckets, "bucket"), "buckets")
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    ranked = shared.join(weight, "id")
-    pivot = ranked.groupBy("bucket").agg(F.max_by("id", F.struct("w", "n_shingles", "id")).alias("pivot"))
+    pivot = shared.join(weight, "id").groupBy("bucket").agg(F.max_by(F.struct("id", "n_shingles"), F.struct("w", "n_shingles", "id")).alias("pivot"))
     signed = written(reps.join(weight, "id", "left_semi").select("id", "sig"), "signed")
-    wanted = weight.select("id")
-    sets = written(
-        shingle_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"]), p), "sets"
-    )
-
-    def survivors(pairs: DataFrame) -> DataFrame:
-        left = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
-        right = signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
-        return pruned(pairs.join(right, "b").join(left, "a"), p)
+    wanted = chosen.join(weight.select(F.col("id").alias("class")), "class", "left_semi").select("id", "t", "class")
+    sets = texts.join(wanted, ["id", "t"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), "text")
+    sets = written(shingle_sets(sets, p), "sets")
 
-    less, of = p.at_least
-    sized = lambda x, y: (F.least(x, y) * of >= F.greatest(x, y) * less)
-    pivot_size = pivot.join(reps.select(F.col("id").alias("pivot"), F.col("n_shingles").alias("pn")), "pivot")
+    sized = F.least("n_shingles", "pivot.n_shingles") * of >= F.greatest("n_shingles", "pivot.n_shingles") * less
     first = (
-        shared.join(pivot_size, "bucket")
-        .where((F.col("id") != F.col("pivot")) & sized(F.col("n_shingles"), F.col("pn")))
-        .select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-        .distinct()
-    )
-    links = written(verified(survivors(first), sets, p), "pivot-links")
+        shared.join(pivot, "bucket").where(F.col("id") != F.col("pivot.id")).where(sized)
+        .select(F.col("pivot.id").alias("a"), F.col("id").alias("b")).distinct()
+    )
+    left = signed.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"))
+    right = signed.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"))
+    links = written(verified(pruned(first.join(right, "b").join(left, "a"), p), sets, p), "pivot-links")
     found = written(components(links, "pivot-components"), "found")
 
     # the rest: buckets of three or more that hold more than one component
     placed = shared.where("n > 2").join(found, "id", "left").select(
         "bucket", "n", "id", "n_shingles", F.coalesce("component", "id").alias("comp")
     )
-    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    rest = written(placed.join(open_.select("bucket"), "bucket").join(pivot, "bucket"), "rest")
-    few = rest.where(F.col("n") <= p.small_bucket)
-    x = few.select("bucket", "pivot", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n_shingles").alias("na"))
-    y = few.select("bucket", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n_shingles").alias("nb"))
-    cross = (
-        x.join(y, "bucket")
-        .where("a < b and ca <> cb and a <> pivot and b <> pivot")
-        .where(sized(F.col("na"), F.col("nb")))
-        .select("a", "b")
-        .distinct()
-    )
-    many = rest.where(F.col("n") > p.small_bucket).withColumn("blocks", F.ceil(F.col("n") / p.block).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), "block", "id", "comp"
-    )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.join(sets, "id").repartition(parts, "bucket", "pair").sortWithinPartitions("bucket", "pair")
-    more = verified(survivors(cross), sets, p).unionByName(block_links(dealt, p))
-    final = components(links.unionByName(more), "components")
+    open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+    rest = written(placed.join(open_, "bucket").join(signed, "id"), "rest")
+    mates = written(members_with_mates(rest, p), "mates")
+    n_mates = mates.groupBy("bucket").agg(F.count("*").alias("n"))
+    few = rest.drop("n").join(mates, ["bucket", "id"]).join(n_mates, "bucket").join(sets, "id")
+    return classes, links.unionByName(block_links(few, p))
 
-    placed_class = classes.join(final.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "c1", "c2", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    out = sketch.select("id", "n_shingles", "c1", "c2").join(placed_class, ["c1", "c2", "n_shingles"], "left")
+
+def _sketched(docs: DataFrame, p: NearDuplicateParams) -> tuple[DataFrame, DataFrame]:
+    texts = docs.select(given_id("doc_id", "id"), F.xxhash64("text").alias("t"), "text")
+    return texts, written(sketches(texts, p), "sketches")
+
+
+def near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
+
+    Null and empty texts and texts of white space have no shingles and are
+    linked with nothing.  A null doc_id keeps a row of its own: its class id
+    is null and it is kept.  Repeated doc_ids with equal text give equal rows;
+    with different texts they count as one document that has each text, so
+    what is linked with either of them is linked with both.  Extra columns of
+    docs are ignored.
+    """
+    texts, sketch = _sketched(docs, p)
+    classes, links = _class_components(texts, sketch, p)
+    rows = sketch.select("id", "n_shingles", "c1", "c2").join(classes.drop("rep"), ["c1", "c2", "n_shingles"], "left")
+    rows = written(rows.select("id", "n_shingles", "class"), "classed-rows")
+    known = (F.col("id") != NO_ID) & F.col("class").isNotNull()
+    per_id = rows.where(known).groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b").select("id", "a")
+    same_id = rows.where(known).join(per_id, "id").select("a", F.col("class").alias("b")).where("a <> b").distinct()
+    joined = components(links.unionByName(same_id), "components")
+    placed = classes.select("class", F.col("rep.id").alias("least")).join(joined.withColumnRenamed("id", "class"), "class", "left")
+    placed = written(placed.select("class", F.coalesce("component", "class").alias("component"), "least"), "placed-classes")
+    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = placed.select("class", "component").join(least, "component").select("class", "component_id")
+    # a text without shingles that shares its doc_id with another text stays alone
+    out = rows.join(named, "class", "left")
     known = F.col("id") != NO_ID
-    component = F.coalesce(F.col("component"), F.col("id"))
+    component = F.coalesce(F.col("component_id"), F.col("id"))
     return out.select(
         null_id("id", "doc_id"),
         "n_shingles",
         F.when(known, component).alias("component_id"),
         (~known | (component == F.col("id"))).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, p: NearDuplicateParams = NearDuplicateParams()) -> DataFrame:
+    """The rows of docs, all columns, with one row of each group of near-duplicate texts.
+
+    Rows are judged by their text: of a group the row with the least doc_id
+    stays (of equal ones that with the least hash of its text), and of rows
+    with equal doc_id and text one.  Rows without shingles or doc_id stay.
+    """
+    texts, sketch = _sketched(docs, p)
+    classes, links = _class_components(texts, sketch, p)
+    joined = components(links, "components").withColumnRenamed("id", "class")
+    placed = written(classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class")), "placed-classes")
+    leaders = placed.groupBy("component").agg(F.min("rep").alias("rep")).select("rep.*")
+    judged = sketch.where(f"n_shingles > 0 and id <> {NO_ID}").groupBy("id", "t").agg(F.count("*").alias("n"))
+    stays = judged.join(leaders, ["id", "t"])
+    again = written(stays.where("n > 1").select("id", "t"), "repeated-rows")
+    gone = written(judged.join(leaders, ["id", "t"], "left_anti").select("id", "t"), "near-gone")
+
+    def marked(marks: DataFrame) -> DataFrame:
+        return marks.select(F.col("id").alias("gone_id"), F.col("t").alias("gone_text"))
+
+    def on(marks: DataFrame):
+        return (docs["doc_id"] == marks["gone_id"]) & (F.xxhash64(docs["text"]) == marks["gone_text"])
+
+    gone = marked(gone)
+    if again.isEmpty():
+        return docs.join(maybe_broadcast(gone), on(gone), "left_anti")
+    again = marked(again)
+    both = gone.unionByName(again)
+    rest = docs.join(maybe_broadcast(both), on(both), "left_anti")
+    repeated = docs.join(maybe_broadcast(again), on(again), "left_semi").dropDuplicates(["doc_id", "text"])
+    return rest.unionByName(repeated)

@@ -113,11 +113,56 @@ def test_large_bucket_is_finished_exactly(spark):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = sorted((root(a), root(b)))
                 parent[y] = x
-    p = near_duplicates.NearDuplicateParams(shingle_words=3, at_least=(85, 100), small_bucket=4, block=16)
+    p = near_duplicates.NearDuplicateParams(shingle_words=3, at_least=(85, 100), block=16)
     out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()
     assert {r.doc_id: r.component_id for r in out} == {i: root(i) for i in range(90)}
 
 
+def test_one_id_with_two_texts_keeps_every_link(spark):
+    a, b = prose(60, 21), prose(60, 22)
+    rows = [(5, a), (5, b), (9, a + " more"), (11, b + " more"), (12, prose(60, 23)), (9, prose(50, 24)), (13, None), (13, a)]
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), near_duplicates.OP10).collect()
+    assert sorted((r.doc_id, r.n_shingles > 0, r.component_id) for r in out) == [
+        (5, True, 5), (5, True, 5), (9, True, 5), (9, True, 5), (11, True, 5), (12, True, 12), (13, False, 13), (13, True, 5)
+    ]
+    schema = "doc_id long, text string, id string, t long, class string, component string, gone_id long"
+    rows += [(12, prose(60, 23)), (None, a), (20, ""), (20, "")]
+    docs = spark.createDataFrame([(i, x, "a", 1, "b", "c", 2) for i, x in rows], schema)
+    kept = near_duplicates.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    want = [(5, a), (5, b), (9, rows[5][1]), (12, rows[4][1]), (13, None), (20, ""), (20, ""), (None, a)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+    assert near_duplicates.without_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_of_a_table_equal_brute_force(spark):
+    """Components over the whole sf0.01 table against an inverted index over all shingles: recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets, postings = {}, {}
+    for r in docs.collect():
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in sorted(sets):
+        both = Counter(j for g in sets[i] for j in postings.get(g, ()))
+        for j, n in both.items():
+            if 100 * n >= 85 * (len(sets[i]) + len(sets[j]) - n):
+                x, y = sorted((root(i), root(j)))
+                parent[y] = x
+        for g in sets[i]:
+            postings.setdefault(g, []).append(i)
+    out = near_duplicates.near_duplicates(docs, near_duplicates.OP10).collect()
+    assert {r.doc_id: r.component_id for r in out} == {i: root(i) for i in sets}
+    assert len(set(map(root, sets))) < len(sets)
+
+
 def test_recall_bounds():
     assert near_duplicates.miss_probability(near_duplicates.OP10) < 1e-6
     assert near_duplicates.miss_probability(near_duplicates.STAGE) < 1e-6
@@ -126,7 +171,11 @@ def test_recall_bounds():
 BENCHMARK = "item_id long, text string, words string"
 
 
-def test_decontamination(spark, docs, no_docs):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination(spark, docs, no_docs, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "small_enough", lambda *_: False)
+        monkeypatch.setattr(decontamination, "maybe_broadcast", lambda df, *_: df)
     t = texts()
     items = [(1, " ".join(t[1].split()[5:40]).upper(), ""), (2, "One", ""), (3, None, ""), (4, "...", ""), (None, t[1], ""), (1, " ".join(t[1].split()[5:40]), ""), (7, " ".join(t[12].split()[-10:]), "")]
     out = {r.doc_id: r for r in decontamination.contamination(docs, spark.createDataFrame(items, BENCHMARK)).collect()}
@@ -134,6 +183,10 @@ def test_decontamination(spark, docs, no_docs):
     assert [out[i].n_hit for i in (1, 2, 13, 9, 10, 12, 6, 7)] == [35, 35, 35, 1, 1, 10, 0, 0]
     assert out[3].n_hit == 35 and not out[11].contaminated and out[6].n_words == 0
     assert out[1].items_sha256 == hashlib.sha256(b"1").hexdigest()
+    assert out[6].n_items == 0 and out[13].n_items == 1 and out[12].n_items == 1
+    twice = spark.createDataFrame([(1, t[1]), (1, t[1]), (1, "other"), (None, t[1])], "doc_id long, text string")
+    again = decontamination.contamination(twice, spark.createDataFrame(items, BENCHMARK)).collect()
+    assert sorted((str(r.doc_id), r.n_hit) for r in again) == [("1", 0), ("1", 35), ("1", 35), ("None", 35)]
     empty = spark.createDataFrame([], BENCHMARK)
     assert not any(r.contaminated for r in decontamination.contamination(docs, empty).collect())
     assert decontamination.contamination(no_docs, empty).count() == 0
@@ -238,17 +291,7 @@ def test_parsing_is_locally_consistent():
     assert len(names[0] & names[1]) > 0.9 * len(names[0]) and len(names[0] & names[2]) > 0.9 * len(names[0])
 
 
-def test_repeats(docs, no_docs):
-    t = {i: (x or "").encode() for i, x in texts().items()}
-    seen = Counter(b[k : k + 400] for b in t.values() for k in range(len(b) - 399))
-    out = {r.doc_id: r for r in repeats.without_repeats(docs).collect()}
-    for i, b in t.items():
-        gone = np.zeros(len(b), dtype=bool)
-        for k in range(len(b) - 399):
-            if seen[b[k : k + 400]] > 1:
-                gone[k : k + 400] = True
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        assert bytes(out[i].kept) == kept and out[i].n_removed == int(gone.sum()) and out[i].n_bytes == len(b)
+def test_repeats_of_an_empty_table(docs, no_docs):
     assert repeats.without_repeats(no_docs).count() == 0
 
 
@@ -279,7 +322,7 @@ def test_forward_and_backward_agree_with_enumeration():
     import itertools
 
     rng = np.random.default_rng(0)
-    p = hidden_markov.HiddenMarkovParams(states=2, segment=50)
+    p = hidden_markov.HiddenMarkovParams(states=2, stretch=2)
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
     m = hidden_markov.Model(np.zeros(0, np.uint64), norm(rng.random(2)), norm(rng.random((2, 2))), norm(rng.random((2, 4))), np.zeros(3), 0.0)
     seq, at = np.array([0, 2, 1, 3, 2]), np.array([0, 3, 5])
