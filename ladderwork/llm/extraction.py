@@ -3,7 +3,9 @@
 A page is cut into blocks at block-level tags.  A logistic cost, from the
 block's ancestors and class names, its length, link share and punctuation,
 gives each block a capacity to the content terminal and one to the boilerplate
-terminal.  Neighbouring blocks are joined by edges whose capacity grows with
+terminal.  The weights are set by hand (`ExtractionParams`), not fitted; each
+hint is bounded, names that only lay out a page yield to an article inside,
+and class names of html and body say nothing.  Neighbouring blocks are joined by edges whose capacity grows with
 what their DOM paths share.  Maximum flow separates content from boilerplate
 at least cost.  Each page is handled by one call on one row; Spark deals the
 rows out.
@@ -39,59 +41,117 @@ BLOCKS = frozenset(
 )
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class and id names that point at furniture, reader comments and notices.
-FURNITURE_NAMES = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|cookies?|consent|copyright|disqus|footer|foot|"
-    r"header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|pager|popup|promo\w*|related|replies|respond|"
-    r"rss|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[-_ ])",
+#: Parts of class and id names that point at furniture that may also wrap or lay out a whole page.
+LAYOUT_NAMES = re.compile(
+    r"(?:^|[-_ ])(?:banner|breadcrumbs?|byline|footer|foot|header|masthead|menu|nav\w*|rss|sidebar|tags?|toolbar|widget)(?:$|[-_ ])", re.I
+)
+#: Parts of names that point at reader comments, adverts and notices.
+OTHER_NAMES = re.compile(
+    r"(?:^|[-_ ])(?:ads?|advert\w*|comments?|cookies?|consent|copyright|disqus|modal|newsletter|notice|pagination|pager|popup|"
+    r"promo\w*|related|replies|respond|share|sharing|signup|social|sponsor\w*|subscribe)(?:$|[-_ ])",
     re.I,
 )
+#: Names that tell a state of the page and not what an element holds.
+STATE_NAMES = re.compile(r"(?:^|(?<= ))(?:(?:has|with|no|is|js)[-_]\S*|\S*[-_](?:enabled|disabled|open|closed|on|off))(?= |$)", re.I)
 #: Parts of names that point at the article.
 CONTENT_NAMES = re.compile(r"(?:^|[-_ ])(?:article|content|entry|main|post|story|text|body)(?:$|[-_ ])", re.I)
+#: Elements that hold furniture wherever they stand; the others of FURNITURE may wrap the article.
+ALWAYS = frozenset("nav footer aside menu dialog button select textarea label option".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A quote opens a value only after an equals sign; an unquoted value ends at white space or the tag's end.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|=\s*[^\s\"'>][^\s>]*|[^>])*+)>", re.S
+)
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "title", "textarea", "noscript", "iframe")}
 
 
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]
+    node: int
     inside_article: bool
-    inside_furniture: int
+    furniture: int
+    layout: int
     heading: bool
     link_chars: int
 
 
-def blocks(html: str) -> list[Block]:
+@dataclass
+class Page:
+    blocks: list[Block]
+    #: parent and depth of each node; node 0 is the page
+    parents: list[int]
+    depths: list[int]
+
+    def shared(self, a: int, b: int) -> int:
+        """Depth of the nearest common ancestor."""
+        while a != b:
+            if self.depths[a] < self.depths[b]:
+                a, b = b, a
+            a = self.parents[a]
+        return self.depths[a]
+
+
+@dataclass(frozen=True)
+class _State:
+    """What holds inside an element."""
+
+    name: str = ""
+    node: int = 0
+    article: bool = False
+    #: strong hints: elements and names of furniture; and weak ones that an article inside takes back
+    furniture: int = 0
+    layout: int = 0
+    heading: bool = False
+    hidden: bool = False
+
+
+def _inside(before: _State, name: str, named: str, node: int) -> _State:
+    """The state inside an element of this name, with these class and id names, below another."""
+    article, furniture, layout = before.article, before.furniture, before.layout
+    if name in ("html", "body"):
+        named = ""
+    named = STATE_NAMES.sub("", named)
+    other = bool(OTHER_NAMES.search(named))
+    laid = bool(LAYOUT_NAMES.search(named)) or (name in FURNITURE and name not in ALWAYS)
+    if laid and article and name == "header":  # an article's own head holds its title
+        laid = False
+    if name in ("article", "main") or (named and not laid and not other and CONTENT_NAMES.search(named)):
+        article, layout = True, 0
+    furniture += other or name in ALWAYS
+    layout += laid
+    return _State(name, node, article, furniture, layout, before.heading or name in HEADINGS, before.hidden or name in HIDDEN)
+
+
+def page_of(html: str) -> Page:
     """The page's blocks in order, with white space closed up and references decoded."""
-    out: list[Block] = []
-    stack: list[tuple[str, int, bool, int, int]] = []  # name, node, article, furniture, hidden
+    out, parents, depths = [], [0], [0]
+    stack = [_State()]
+    open_names: dict[str, int] = {}
     words: list[str] = []
-    links, serial, at, link_depth = 0, 0, 0, 0
-
-    def state() -> tuple[bool, int, int]:
-        return stack[-1][2:] if stack else (False, 0, 0)
+    links, at = 0, 0
 
     def flush() -> None:
         nonlocal links
         text = " ".join(html_lib.unescape("".join(words)).split())
         words.clear()
         if text:
-            article, furniture, _ = state()
-            names = [s[0] for s in stack]
-            heading = any(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n in names)
-            out.append(Block(text, tuple(s[1] for s in stack), article, furniture, heading, min(links, len(text))))
+            now = stack[-1]
+            out.append(Block(text, now.node, now.article, now.furniture, now.layout, now.heading, min(links, len(text))))
         links = 0
 
-    size = len(html)
+    def pop() -> None:
+        open_names[stack.pop().name] -= 1
+
+    size, last = len(html), html.rfind(">")
     while at < size:
-        m = _TOKEN.search(html, at)
-        piece = html[at : m.start()] if m else html[at:]
-        if piece and not state()[2]:
+        m = _TOKEN.search(html, at) if at <= last else None
+        piece = html[at : m.start()] if m else html[at:].partition("<!--")[0]
+        if piece and not stack[-1].hidden:
             words.append(piece)
-            if link_depth:
+            if open_names.get("a"):
                 links += len(piece)
         if not m:
             break
@@ -102,40 +162,40 @@ def blocks(html: str) -> list[Block]:
         if name in BLOCKS:
             flush()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    link_depth -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
+            if open_names.get(name):
+                while stack[-1].name != name:
+                    pop()
+                pop()
             continue
         if name in VOID:
             continue
-        article, furniture, hidden = state()
-        if name in ("p", "li") and stack and stack[-1][0] == name:  # an open one ends here
-            stack.pop()
-            article, furniture, hidden = state()
+        if name in ("p", "li") and stack[-1].name == name:  # an open one ends here
+            pop()
         named = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] else ""
-        serial += 1
-        if name in ("article", "main") or (named and CONTENT_NAMES.search(named)):
-            article = True
-        if (name in FURNITURE and not (name == "header" and article)) or (named and FURNITURE_NAMES.search(named)):
-            furniture += 1
-        if not m[0].endswith("/>") or name not in ("svg", "iframe", "object"):
-            stack.append((name, serial, article, furniture, hidden + (name in HIDDEN)))
-            link_depth += name == "a"
+        if not m[3].endswith("/") or name not in ("svg", "iframe", "object"):
+            parents.append(stack[-1].node)
+            depths.append(depths[stack[-1].node] + 1)
+            stack.append(_inside(stack[-1], name, named, len(parents) - 1))
+            open_names[name] = open_names.get(name, 0) + 1
         if name in _RAW_END:
             end = _RAW_END[name].search(html, at)
             if name != "textarea":
                 at = end.start() if end else size
     flush()
-    return out
+    return Page(out, parents, depths)
+
+
+def blocks(html: str) -> list[Block]:
+    return page_of(html).blocks
 
 
 @dataclass(frozen=True)
 class ExtractionParams:
     bias: float = -0.4
     article: float = 3.0
+    #: furniture by its element or a strong name; by a name or element that may also lay out a page
     furniture: float = -6.0
+    layout: float = -4.0
     heading: float = 0.8
     length: float = 0.5
     links: float = -4.0
@@ -147,26 +207,17 @@ class ExtractionParams:
 
 
 def costs(found: list[Block], p: ExtractionParams) -> list[float]:
-    """Log-odds that a block is content."""
-    marked = any(b.inside_article and not b.inside_furniture for b in found)
+    """Log-odds that a block is content; a hint counts once, however many ancestors give it."""
+    marked = any(b.inside_article and not b.furniture and not b.layout for b in found)
     out = []
     for b in found:
         n = len(b.text)
         x = p.bias + p.length * log(1 + n / 20) + p.links * b.link_chars / n + p.sentence * (b.text[-1] in ".!?…:;\"”»)")
         x += p.heading * b.heading + (p.article if b.inside_article else p.outside if marked else 0.0)
-        out.append(x + p.furniture * (b.inside_furniture > 0))
+        out.append(x + (p.furniture if b.furniture else p.layout if b.layout else 0.0))
     return out
 
 
-def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Labels of least cost: |score| for a label against it, edge capacity for unlike ends.
 
@@ -232,22 +283,22 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def main_text(html: str | None, p: ExtractionParams = ExtractionParams()) -> str:
-    found = blocks(html or "")
+    page = page_of(html or "")
+    found = page.blocks
     if not found:
         return ""
-    scores = costs(found, p)
     edges = []
-    for i in range(len(found) - 1):
-        deep = max(len(found[i].path), len(found[i + 1].path), 1)
-        near = _shared(found[i].path, found[i + 1].path) / deep
-        edges.append((i, i + 1, p.smooth * near + p.shared * (found[i].path[:-1] == found[i + 1].path[:-1])))
-    seen: dict[tuple[int, ...], int] = {}
+    for i, (x, y) in enumerate(zip(found, found[1:])):
+        deep = max(page.depths[x.node], page.depths[y.node], 1)
+        near = page.shared(x.node, y.node) / deep
+        edges.append((i, i + 1, p.smooth * near + p.shared * (page.parents[x.node] == page.parents[y.node])))
+    seen: dict[int, int] = {}
     for i, b in enumerate(found):  # the previous block under the same parent
-        j = seen.get(b.path[:-1])
+        j = seen.get(page.parents[b.node])
         if j is not None and j < i - 1:
             edges.append((j, i, p.shared))
-        seen[b.path[:-1]] = i
-    keep = min_cut(scores, edges)
+        seen[page.parents[b.node]] = i
+    keep = min_cut(costs(found, p), edges)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

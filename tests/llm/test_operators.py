@@ -358,6 +358,81 @@ def test_extraction(spark):
     assert extraction.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+TEXT = "Some text of the article, with enough words to count here."
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<body class="single right-sidebar"><article><h1>A title of it</h1><p>{TEXT}</article></body>', "A title of it\n" + TEXT),
+        (f'<div class="comments-enabled"><div id="content"><p>{TEXT}</p></div></div>', TEXT),
+        (f'<article><header class="entry-header"><h1>A title</h1></header><p>{TEXT}</article>', "A title\n" + TEXT),
+        (f"<article><p title=it's>{TEXT}</p><p>More.</p></article>", TEXT + "\nMore."),
+        (f'<div class="layout-sidebar"><form id=f><main><p>{TEXT}</main></form></div><footer><p>{TEXT}</footer>', TEXT),
+        (f'<article><p>{TEXT}</article><section class="comments"><article class="comment"><p>{TEXT}</article></section>', TEXT),
+        (f'<main><p>{TEXT}<a title="x > y" href=/a>link</a>&hellip;</main><!-- open', TEXT + "link\u2026"),
+        (f"<main><p>{TEXT}</main><p a=b=c=d" + "=e" * 500, TEXT),
+    ],
+)
+def test_hints_of_names_are_bounded(html, want):
+    assert extraction.main_text(html) == want
+
+
+def test_extraction_of_long_and_deep_pages():
+    deep = "<div>" * 20_000 + f"<p>{TEXT}</p>" + "</b>" * 20_000 + "</div>" * 20_000
+    assert extraction.main_text(deep) == TEXT
+    long = "<main>" + f"<p>{TEXT}</p>" * 20_000 + "</main>"
+    assert extraction.main_text(long) == "\n".join([TEXT] * 20_000)
+
+
+def test_extraction_of_the_pages_table():
+    """The article's paragraphs and no menu, advert, notice, comment or footer, by the pages' own markup."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    right = sum(extraction.main_text(p["html"]).split() == marked_article(p["html"]).split() for p in table)
+    assert right >= 0.97 * len(table)
+
+
+def marked_article(html):
+    """Text inside <article> and outside nested furniture, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    skip = {"nav", "footer", "aside", "script", "style", "form", "header"}
+
+    class Reader(HTMLParser):
+        void = {"br", "img", "hr", "meta", "link", "input"}
+
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in self.void:
+                self.words.append(" ")
+                return
+            names = set(re.split(r"[-_ ]", " ".join(v or "" for k, v in attrs if k in ("class", "id"))))
+            self.open.append((tag, tag in skip or bool(names & {"ad", "ads", "cookie", "comments", "comment", "sidebar", "newsletter", "share", "related", "promo", "notice"})))
+            if tag in extraction.BLOCKS:
+                self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+            if tag in extraction.BLOCKS:
+                self.words.append(" ")
+
+        def handle_data(self, data):
+            if any(t == "article" for t, _ in self.open) and not any(s for _, s in self.open):
+                self.words.append(data)
+
+    reader = Reader()
+    reader.feed(html)
+    reader.close()
+    return "".join(reader.words)
+
+
 def test_minimum_cut_is_minimal():
     import itertools
 
