@@ -217,16 +217,39 @@ def test_line_dedup_links_every_pair_with_one_letter_changed(spark):
         assert out[2 * i] == 0 and out[2 * i + 1] == int(same)
 
 
-def test_packing(docs, no_docs):
+@pytest.fixture(scope="module")
+def vocabulary():
+    import public_tokenizers
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_ids_equal_those_of_tokenizers(vocabulary, sf):
+    import pyarrow.parquet as pq
+
+    encode = packing.encoder(packing.default_params().vocabulary)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["a1" + " ".join(points[k : k + 500]) + "".join(points[k : k + 500]) for k in range(0, len(points), 500)]
+    texts += ["", " ", "\n\n  x\t", "<|endoftext|> hi", "a<|endoftext|><|endoftext|>", "I'll  we've 12345 \u00a0\u2003x", "\U0001f600" * 9]
+    texts += [t for t in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    for text in texts:
+        assert encode(text) == vocabulary.encode(text, add_special_tokens=False).ids, text[:80]
+
+
+def test_packing(spark, docs, no_docs, vocabulary):
     p = packing.default_params()
-    out = packing.packed(docs, p).toPandas()
-    encode = packing._encoding(p.vocabulary).encode_ordinary
-    for i, text in texts().items():
-        ids = encode(text or "") + [0]
-        mine = out[out.doc_id == i].sort_values("piece")
-        assert mine.length.sum() == len(ids) and (mine.length[1:] == 2048).all()
-        for r in mine.itertuples():
-            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+    rows = [*texts().items(), (1, "again <|endoftext|> and"), (None, prose(20, 9)), (None, None)]
+    out = packing.packed(spark.createDataFrame([(i, t, 5, 6) for i, t in rows], "doc_id long, text string, shard long, length long"), p).toPandas()
+    want = []
+    for i, text in rows:
+        ids = np.array([*vocabulary.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(ids) % 2048 or 2048
+        for k, a in enumerate([0, *range(first, len(ids), 2048)]):
+            part = ids[a : a + (first if not k else 2048)]
+            want.append((str(i), k, a, len(part), zlib.crc32(part.tobytes())))
+    got = [("None" if r.doc_id != r.doc_id else str(int(r.doc_id)), r.piece, r.start, r.length, r.ids_crc32) for r in out.itertuples()]
+    assert sorted(got) == sorted(want)
     for _, s in out.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 2048
