@@ -41,6 +41,8 @@ DERIVED = (
     "source_payload_digest string, http_status int, http_headers map<string,string>, record string"
 )
 SEPARATOR = "\r\n\r\n"
+#: What stands between two records' texts, the version's last digit left out.
+START = b"\r\n\r\nWARC/1."
 
 
 @dataclass(frozen=True)
@@ -84,29 +86,69 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
 
 
 def http_parts(block: bytes) -> tuple[int | None, dict[str, str], bytes]:
-    """Status, headers in lower case and payload (content encodings undone)."""
+    """Status, headers in lower case and payload (chunks and content encodings undone).
+
+    What cannot be undone stays as it is, and `content-encoding` stays among
+    the headers; where it was undone it is gone.
+    """
     head, found, payload = block.partition(b"\r\n\r\n")
     first, *lines = head.decode("latin-1").split("\r\n")
     status = re.match(r"HTTP/\d(?:\.\d)? (\d{3})", first)
     if not found or not status:
         return None, {}, block
     headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k.strip()}
+    if headers.get("transfer-encoding", "").lower() == "chunked" and (whole := unchunked(payload)) is not None:
+        payload = whole
+        del headers["transfer-encoding"]
+    for coding in reversed([x.strip().lower() for x in headers.get("content-encoding", "identity").split(",")]):
+        plain = _undone(payload, coding)
+        if plain is None:
+            return int(status[1]), headers, payload
+        payload = plain
+    headers.pop("content-encoding", None)
+    return int(status[1]), headers, payload
+
+
+def unchunked(payload: bytes) -> bytes | None:
+    """The body of a chunked message; None if it is not one (an archive may hold the body with the chunks undone)."""
+    parts, at = [], 0
+    while True:
+        end = payload.find(b"\r\n", at)
+        head = payload[at:end].partition(b";")[0].strip() if end >= 0 else b""
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,16}", head):
+            return None
+        size, at = int(head, 16), end + 2
+        if not size:
+            return b"".join(parts)
+        if at + size > len(payload):
+            return None
+        parts.append(payload[at : at + size])
+        at += size + 2
+
+
+def _undone(payload: bytes, coding: str) -> bytes | None:
+    """The payload without one content encoding; None if that is unknown or does not fit."""
     try:
-        coding = headers.get("content-encoding", "").lower()
+        if coding in ("", "identity"):
+            return payload
         if coding in ("gzip", "x-gzip"):
-            payload = gzip.decompress(payload)
-        elif coding == "deflate":
-            payload = zlib.decompress(payload)
+            return gzip.decompress(payload)
+        if coding == "deflate":  # with or without the zlib head
+            try:
+                return zlib.decompress(payload)
+            except zlib.error:
+                return zlib.decompress(payload, -zlib.MAX_WBITS)
     except (OSError, zlib.error, EOFError):
         pass
-    return int(status[1]), headers, payload
+    return None
 
 
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
+_META_CHARSET = re.compile(rb"<meta\b[^>]*?charset\s*=\s*[\"']?\s*([A-Za-z0-9_:.-]+)", re.I)
 
 
 def _decoded(headers: dict[str, str], payload: bytes) -> tuple[str, str]:
-    declared = _CHARSET.search(headers.get("content-type", "").encode()) or _CHARSET.search(payload[:2048])
+    declared = _CHARSET.search(headers.get("content-type", "").encode()) or _META_CHARSET.search(payload)
     charset = declared[1].decode() if declared else "utf-8"
     try:
         return payload.decode(charset, "replace"), charset.lower()
@@ -131,7 +173,7 @@ def derive_one(record_id: str, target: str | None, date: str, block: bytes | Non
         )
 
     meta_id, text_id = named(record_id, "metadata"), named(record_id, "conversion")
-    readable = status is not None and kind in ("text/html", "application/xhtml+xml", "text/plain")
+    readable = status is not None and "content-encoding" not in headers and kind in ("text/html", "application/xhtml+xml", "text/plain")
     text, charset = _decoded(headers, payload) if readable else ("", "")
     lines = {
         "software": p.software,
@@ -190,24 +232,54 @@ def write_derivatives(derived: DataFrame, path: str, warc_type: str) -> None:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or gzip (also a member per record), one file per task."""
+    """Records of WARC files, plain or compressed (also a member per record), by Spark's text reader.
+
+    A file is cut where a record begins, so its size does not matter; a plain
+    one is read by many tasks.  A block that itself holds such a place is put
+    together again by its length; `whole` is false where that fails.
+    """
+
+    def parsed(piece: bytes) -> tuple[dict[str, str], bytes] | None:
+        head, found, block = piece.partition(b"\r\n\r\n")
+        first, *lines = head.split(b"\r\n")
+        if not found or not re.fullmatch(rb"(WARC/1\.)?\d", first.strip()):
+            return None
+        return {k.decode().strip(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}, block
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["warc_type", "record_id", "target_uri", "date", "headers", "block", "whole"]
+        head, block, out = None, b"", []
+
+        def ended() -> None:
+            size = int(head.get("Content-Length", 0))
+            rest = block[size:]
+            row = [head.get("WARC-Type"), head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), head, block[:size]]
+            out.append([*row, len(block) >= size and not rest.strip()])
+
         for batch in batches:
-            for content in batch["content"]:
-                raw = io.BytesIO(content)
-                stream = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
-                for head, block in records(io.BufferedReader(stream)):
-                    row = [[head.get("WARC-Type"), head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), head, block]]
-                    yield pd.DataFrame(row, columns=["warc_type", "record_id", "target_uri", "date", "headers", "block"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(
-        run, "warc_type string, record_id string, target_uri string, date string, headers map<string,string>, block binary"
+            for piece in map(bytes, batch["value"]):
+                found = parsed(piece)
+                if head is not None and (found is None or len(block) < int(head.get("Content-Length", 0))):
+                    block += START + piece
+                    continue
+                if head is not None:
+                    ended()
+                if found is not None:
+                    head, block = found
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if head is not None:
+            ended()
+            yield pd.DataFrame(out, columns=names)
+
+    pieces = spark.read.option("lineSep", START.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    return pieces.mapInPandas(
+        run, "warc_type string, record_id string, target_uri string, date string, headers map<string,string>, block binary, whole boolean"
     )
 
 
 def page_derivatives(pages: DataFrame, p: WarcParams = WarcParams()) -> DataFrame:
-    """DERIVED of all pages with the record's text as a digest."""
+    """DERIVED of all pages, the record's text and its digest among them; the HTTP headers as JSON."""
     out = derivatives(responses_of_pages(pages, p), p)
-    return out.withColumn("record_sha256", F.sha2(F.col("record").cast("binary"), 256)).drop("record", "http_headers")
+    return out.withColumn("record_sha256", F.sha2(F.col("record").cast("binary"), 256)).withColumn("http_headers", F.to_json("http_headers"))

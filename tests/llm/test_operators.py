@@ -487,10 +487,59 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write_derivatives(warc.derivatives(responses), path, "conversion")
     back = warc.read_records(spark, path).collect()
     assert {r.record_id: warc.digest(bytes(r.block)) for r in back} == {r.record_id: r.block_digest for r in rows if r.warc_type == "conversion"}
+    assert all(r.whole for r in back)
     odd = warc.derive_one("<urn:x>", None, "d", b"\x00 not http", warc.WarcParams())
     assert [r[1] for r in odd] == ["metadata"]
 
 
+def http(body, *headers):
+    return "\r\n".join(["HTTP/1.1 200 OK", "Content-Type: text/html", *headers, "", ""]).encode() + body
+
+
+def test_warc_bodies_in_chunks_and_encodings():
+    import gzip
+
+    page = b"<meta charset=latin-1><p>caf\xe9</p>"
+    chunks = b"5;x=y\r\n" + page[:5] + b"\r\n%x\r\n" % len(page[5:]) + page[5:] + b"\r\n0\r\n\r\n"
+    raw = zlib.compressobj(wbits=-15)
+    bodies = [
+        http(page), http(chunks, "Transfer-Encoding: chunked"), http(page, "Transfer-Encoding: chunked"), http(gzip.compress(page), "Content-Encoding: gzip"),
+        http(zlib.compress(page), "Content-Encoding: deflate"), http(raw.compress(page) + raw.flush(), "Content-Encoding: deflate"),
+        http(gzip.compress(zlib.compress(page)), "Content-Encoding: deflate, gzip"),
+    ]
+    for body in bodies:
+        rows = warc.derive_one("<urn:x>", None, "d", body, warc.WarcParams())
+        assert [r[1] for r in rows] == ["metadata", "conversion"] and rows[1][-1].endswith("caf\u00e9")
+    for coding in ("br", "gzip"):  # cannot be undone: metadata only
+        assert [r[1] for r in warc.derive_one("<urn:x>", None, "d", http(b"\x8b\x01", f"Content-Encoding: {coding}"), warc.WarcParams())] == ["metadata"]
+
+
+def test_warc_files_are_read_whole(spark, tmp_path):
+    import gzip
+
+    block = b"a\r\n\r\nWARC/1.0\r\nb: c\r\n\r\n\x00\xff end"  # a block that holds the start of a record
+    made = [warc.record("resource", {"WARC-Record-ID": f"<urn:{i}>"}, block * i) + b"\r\n\r\n" for i in range(4)]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.warc").write_bytes(b"".join(made))
+    (tmp_path / "x/b.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    back = warc.read_records(spark, str(tmp_path / "x")).collect()
+    assert sorted((r.record_id, bytes(r.block), r.whole) for r in back) == sorted((f"<urn:{i}>", block * i, True) for i in range(4) for _ in range(2))
+
+
+def test_warc_query_rows(spark):
+    schema = "page_id long, url string, html string, record string, record_id string"
+    assert warc.page_derivatives(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, "u", PAGE, "a", "b"), (1, "u", PAGE, "a", "b"), (None, None, None, "a", "b"), (2, "u", "<p>" + "long text " * 200_000, "a", "b")]
+    out = warc.page_derivatives(spark.createDataFrame(rows, schema)).collect()
+    assert len(out) == 8 and len({r.record_id for r in out}) == 6
+    for r in out:
+        (head, block), *_ = warc.records(io.BytesIO(r.record.encode()))
+        assert head["WARC-Record-ID"] == r.record_id and warc.digest(block) == r.block_digest and r.http_status == 200
+        assert hashlib.sha256(r.record.encode()).hexdigest() == r.record_sha256
+    text = next(r.record for r in out if r.warc_type == "conversion" and "First paragraph" in r.record)
+    assert "with bold words and more of them." in text and "<b>" not in text
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline
 
