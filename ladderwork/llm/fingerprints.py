@@ -9,18 +9,21 @@ phrase is named by a hash of its symbols.  A boundary depends on a few
 symbols around it only, so equal substrings have equal phrases inside,
 wherever they stand.
 
-The fingerprint is a MinHash of the names on the upper levels, in hexadecimal;
-likeness is the share of equal places.  Equal texts have equal fingerprints.
+Levels go on until a text is one phrase.  The fingerprint is a MinHash, in
+hexadecimal, of the names of all phrases of `least_span` code points or more
+and of the last one, whatever the level and the text's length; likeness is the
+share of equal places.  Equal texts have equal fingerprints.
 
 Defined results: null counts as the empty text; two texts without a name are
 alike (1) if both are empty; rows are ordered by descending doc_id, equal ids
-by a hash of their text, null ids last; the last row is followed by the first.
-Extra columns are ignored.
+by a hash of their text, null ids last; the last row is followed by the first,
+and a row that stands alone by itself.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderwork.llm.common import NO_ID, given_id, null_id
+from ladderwork.llm.common import given_id, null_id
 from ladderwork.llm.near_duplicates import multipliers
 from ladderwork.llm.textscan import mix, segment_hash
 
@@ -37,11 +40,11 @@ from ladderwork.llm.textscan import mix, segment_hash
 @dataclass(frozen=True)
 class FingerprintParams:
     places: int = 64
-    levels: int = 4
-    #: the first level whose names count; shorter texts take a lower one
-    from_level: int = 2
-    least_names: int = 8
+    #: code points of a phrase from which on its name counts
+    least_span: int = 12
     seed: int = 17
+    #: rows of the sample from which the ranges of rows are cut, for each range
+    sample: int = 16
 
 
 def _powers_sum(symbols: np.ndarray) -> np.ndarray:
@@ -67,16 +70,16 @@ def _toss(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.uint64(2) * place + ((x >> place) & np.uint64(1))
 
 
-def parse(symbols: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level: (names, text of each name) from symbols and their texts."""
+def parse(symbols: np.ndarray, text: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One level: (names, text and code points of each name) from symbols, their texts and code points."""
     n = len(symbols)
     if not n:
-        return symbols, text
+        return symbols, text, span
     new = np.ones(n, dtype=bool)
     new[1:] = (symbols[1:] != symbols[:-1]) | (text[1:] != text[:-1])
     at = np.flatnonzero(new)
     run = np.diff(np.append(at, n)).astype(np.uint64)
-    x, owner = symbols[at], text[at]
+    x, owner, span = symbols[at], text[at], np.add.reduceat(span, at)
     x = np.where(run > 1, mix(x + run * np.uint64(0xD6E8FEB86659FD93)), x)
     first = np.ones(len(x), dtype=bool)
     first[1:] = owner[1:] != owner[:-1]
@@ -94,9 +97,10 @@ def parse(symbols: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray
     left[first] = 99
     right[last] = -1
     begin = ((label > left) & (label > right)) | first
+    begin[1:] &= first[1:] | ~first[:-1]  # two symbols at least, so that each level is shorter
     start = np.flatnonzero(begin)
     end = np.append(start[1:], len(x))
-    return mix(segment_hash(_powers_sum(x), start, end)), owner[start]
+    return mix(segment_hash(_powers_sum(x), start, end)), owner[start], np.add.reduceat(span, start)
 
 
 def signatures(texts: list[str], p: FingerprintParams) -> np.ndarray:
@@ -113,21 +117,15 @@ def signatures(texts: list[str], p: FingerprintParams) -> np.ndarray:
         lengths = np.fromiter(map(len, part), dtype=np.int64, count=len(part))
         symbols = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         symbols, owner = mix(symbols + np.uint64(1)), np.repeat(np.arange(len(part)), lengths)
-        levels = [(symbols, owner)]
-        for _ in range(p.levels):
-            symbols, owner = parse(symbols, owner)
-            levels.append((symbols, owner))
-        counts = [np.bincount(o, minlength=len(part)) for _, o in levels]
-        names, owners = [], []
-        for k, (s, o) in enumerate(levels):
-            # a level below from_level counts where the levels above it have too few names
-            use = np.full(len(part), k >= p.from_level)
-            if k < p.from_level:
-                use = counts[p.from_level] < p.least_names
-            keep = use[o]
-            names.append(mix(s[keep] ^ np.uint64(k)))
-            owners.append(o[keep])
-        s, o = np.concatenate(names), np.concatenate(owners)
+        span, many, names, owners = np.ones(len(symbols), dtype=np.int64), lengths, [], []
+        while len(symbols):
+            keep = (span >= p.least_span) | (many[owner] == 1)
+            names.append(symbols[keep])
+            owners.append(owner[keep])
+            on = many[owner] > 1
+            symbols, owner, span = parse(symbols[on], owner[on], span[on])
+            many = np.bincount(owner, minlength=len(part))
+        s, o = np.concatenate([np.zeros(0, np.uint64), *names]), np.concatenate([np.zeros(0, np.int64), *owners])
         order = np.argsort(o, kind="stable")
         s, bounds = s[order], np.searchsorted(o[order], np.arange(len(part) + 1))
         for i in range(len(part)):
@@ -153,49 +151,68 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprinted(docs: DataFrame, p: FingerprintParams = FingerprintParams()) -> DataFrame:
     """doc_id, text and fingerprint for every row of docs."""
-    return _with_fingerprint(docs.select(given_id("doc_id"), "text"), [], p).select(null_id("doc_id"), "text", "fingerprint")
+    return _with_fingerprint(_ordered(docs), [], p).select(null_id("doc_id"), "text", "fingerprint")
 
 
-def _with_fingerprint(rows: DataFrame, bounds: list[int], p: FingerprintParams) -> DataFrame:
+def _ordered(docs: DataFrame) -> DataFrame:
+    """Rows with their order (k1, k2): descending doc_id, then a hash of the text."""
+    rows = docs.select(given_id("doc_id"), "text")
+    return rows.withColumn("k1", F.bitwise_not("doc_id")).withColumn("k2", F.xxhash64("text"))
+
+
+def _buckets(k1: pd.Series, k2: pd.Series, bounds: list[tuple[int, int]]) -> list[int]:
+    return [bisect_right(bounds, key) for key in zip(k1.tolist(), k2.tolist(), strict=True)]
+
+
+def _with_fingerprint(rows: DataFrame, bounds: list[tuple[int, int]], p: FingerprintParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            texts = [t or "" for t in batch["text"]]
-            bucket = np.searchsorted(np.array(bounds, dtype=np.int64), batch["doc_id"].to_numpy(np.int64), side="right")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bucket": -bucket, "text": texts, "fingerprint": fingerprint(texts, p)})
+            if not batch.empty:
+                texts = [t or "" for t in batch["text"]]
+                yield batch.assign(bucket=_buckets(batch["k1"], batch["k2"], bounds), text=texts, fingerprint=fingerprint(texts, p))
+
+    kinds = "doc_id long, text string, k1 long, k2 long, bucket long, fingerprint string"
+    return rows.select("doc_id", "text", "k1", "k2").mapInPandas(run, kinds)
 
-    return rows.mapInPandas(run, "doc_id long, bucket long, text string, fingerprint string")
+
+def _first_keys(rows: DataFrame, bounds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(bucket, k1, k2) of each bucket's first row, in order: as many as buckets."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(bucket=_buckets(batch["k1"], batch["k2"], bounds))
+
+    told = rows.select("k1", "k2").mapInPandas(run, "k1 long, k2 long, bucket long")
+    least = told.groupBy("bucket").agg(F.min(F.struct("k1", "k2")).alias("key")).select("bucket", "key.*")
+    return sorted(tuple(r) for r in least.collect())
 
 
 def compared(docs: DataFrame, p: FingerprintParams = FingerprintParams()) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likenesses.
 
-    The next row is found inside ranges of doc_id, which Spark deals out; only
-    the first row of each range (as many as ranges) is joined across them.
+    The next row is found inside ranges of (doc_id, text hash), cut by a
+    bounded sample, which Spark deals out; only the first row of each range
+    (as many as ranges) is joined across them, by the range.
     """
     spark = docs.sparkSession
-    rows = docs.select(given_id("doc_id"), "text")
+    rows = _ordered(docs)
     n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted({int(q) for q in rows.where(F.col("doc_id") != NO_ID).approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)})
-    order = [F.desc("doc_id"), F.xxhash64("text").asc()]
+    # rows of least hash are a sample that is the same in every run
+    some = rows.select("k1", "k2").orderBy(F.xxhash64("k1", "k2")).limit(n * p.sample).collect()
+    keys = sorted((r.k1, r.k2) for r in some)
+    bounds = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
+    firsts = _first_keys(rows, bounds)
+    order = [F.col("k1"), F.col("k2")]
     in_range = Window.partitionBy("bucket").orderBy(*order)
-    marked = _with_fingerprint(rows, bounds, p)
-    following = marked.select(
+    following = _with_fingerprint(rows, bounds, p).select(
         "*", F.lead("text").over(in_range).alias("next_text"), F.lead("fingerprint").over(in_range).alias("next_print")
     )
-    # first rows: bounded by the number of ranges
-    ids = rows.select("doc_id", _bucket(bounds).alias("bucket")).groupBy("bucket").agg(F.max("doc_id").alias("doc_id"))
-    heads = _with_fingerprint(rows.join(F.broadcast(ids.select("doc_id")), "doc_id"), bounds, p)
-    heads = heads.withColumn("k", F.row_number().over(in_range)).where("k = 1")
-    firsts = heads.select("bucket", "text", "fingerprint")
-    places = [r.bucket for r in ids.select("bucket").orderBy("bucket").collect()]
-    after = dict(zip(places, places[1:] + places[:1], strict=True))
-    if not after:
-        after = {0: 0}
-    links = spark.createDataFrame([(a, b) for a, b in after.items()], "bucket long, after long")
-    firsts = links.join(firsts.select(F.col("bucket").alias("after"), F.col("text").alias("h_text"), F.col("fingerprint").alias("h_print")), "after")
-    joined = following.join(F.broadcast(firsts.drop("after")), "bucket", "left").select(
+    links = [(bucket, *after[1:]) for bucket, after in zip([f[0] for f in firsts], firsts[1:] + firsts[:1], strict=True)]
+    heads = F.broadcast(spark.createDataFrame(links, "before long, k1 long, k2 long"))  # a row for each range
+    across = _with_fingerprint(rows.join(heads, ["k1", "k2"]).select(*rows.columns), bounds, p).dropDuplicates(["k1", "k2"])
+    across = across.join(heads, ["k1", "k2"]).select("before", F.col("text").alias("h_text"), F.col("fingerprint").alias("h_print"))
+    ends = (following["bucket"] == across["before"]) & following["next_print"].isNull()
+    joined = following.join(across, ends, "left").select(
         "doc_id", "text", "fingerprint",
         F.coalesce("next_text", "h_text").alias("next_text"), F.coalesce("next_print", "h_print").alias("next_print"),
     )
@@ -227,10 +244,3 @@ def compared(docs: DataFrame, p: FingerprintParams = FingerprintParams()) -> Dat
         "near_edited double, near_next double",
     )
     return out.withColumn("doc_id", null_id("doc_id"))
-
-
-def _bucket(bounds: list[int]):
-    """The range of a doc_id: minus the number of bounds up to it, as in _with_fingerprint."""
-    if not bounds:
-        return F.lit(0).cast("long")
-    return F.expr(f"-aggregate(array({', '.join(f'{b}L' for b in bounds)}), 0L, (n, b) -> n + if(b <= doc_id, 1L, 0L))")

@@ -302,15 +302,51 @@ def test_fingerprints(docs, no_docs):
     assert fingerprints.compared(no_docs).count() == 0
 
 
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    base = prose(300, 31)
+    rows = [(1, base), (1, base), (1, prose(50, 32)), (None, base), (None, None), (2, ""), (3, "x"), (4, "aaaa" * 9000), (5, prose(9000, 33))]
+    d = spark.createDataFrame([(i, t, 1, 2, "z") for i, t in rows], "doc_id long, text string, bucket long, k1 long, fingerprint string").repartition(3)
+    out = fingerprints.compared(d).collect()
+    assert sorted((str(r.doc_id), r.n_chars) for r in out) == sorted((str(i), len(t or "")) for i, t in rows)
+    same = {r.fingerprint for r in out if r.n_chars == len(base)}
+    assert len(same) == 1
+    # each row is followed by the next in order, so the edited digests are those of one ring of rows
+    ring = sorted(out, key=lambda r: -(r.doc_id if r.doc_id is not None else -(2**63)))
+    texts_of = {}
+    for i, t in rows:
+        texts_of.setdefault(i, []).append(t or "")
+    for r, after in zip(ring, [*ring[1:], ring[0]]):
+        digests = {
+            hashlib.sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
+            for t in texts_of[r.doc_id] for u in texts_of[after.doc_id] + texts_of[r.doc_id]
+        }
+        assert r.edited_sha256 in digests
+    alone = fingerprints.compared(d.where("doc_id = 5")).collect()
+    assert [r.near_next for r in alone] == [1.0]
+
+
+def test_likeness_follows_the_shared_share():
+    base, other = prose(400, 41), prose(400, 42)
+    prints = fingerprints.fingerprint([base, base[: len(base) // 2] + other[len(other) // 2 :], other, "pad " + base, base + base])
+    near = [fingerprints.likeness(prints[0], x) for x in prints]
+    assert near[0] == 1 and 0.15 < near[1] < 0.6 and near[2] < 0.1 and near[3] > 0.85 and near[4] > 0.85
+    assert fingerprints.fingerprint(["", "x", "xx", "ab"])[1:] == fingerprints.fingerprint(["x", "xx", "ab"])
+
+
 def test_parsing_is_locally_consistent():
     a, b = prose(200, 1), prose(200, 2)
     names = []
     for text in (a, b + a, "x" * 1000 + a):
         s = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-        owner = np.zeros(len(s), dtype=np.int64)
+        owner, span = np.zeros(len(s), dtype=np.int64), np.ones(len(s), dtype=np.int64)
         for _ in range(2):
-            s, owner = fingerprints.parse(s, owner)
+            s, owner, span = fingerprints.parse(s, owner, span)
+        assert span.sum() == len(text)
         names.append(set(s.tolist()))
+        while len(s) > 1:
+            before = len(s)
+            s, owner, span = fingerprints.parse(s, owner, span)
+            assert len(s) < before
     assert len(names[0] & names[1]) > 0.9 * len(names[0]) and len(names[0] & names[2]) > 0.9 * len(names[0])
 
 
