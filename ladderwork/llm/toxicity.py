@@ -1,12 +1,15 @@
 """Toxicity by a weighted lexicon that an Aho-Corasick automaton matches.
 
 Learning: in labelled training documents the folded words and word beginnings
-are counted by class; those whose log-odds stay high at the lower end of their
-confidence interval make the lexicon.  Word pairs around a lexicon entry that
-clean documents hold make exception phrases, which take the entry's weight
-back.  Scoring: one automaton pass over a folded text sums the weights, the
-sum is divided by the logarithm of the length, and a logistic curve, fitted on
-a bounded histogram of all training sums, gives the score.
+are counted by class, once for each distinct text; those whose log-odds stay
+high at the lower end of their confidence interval make the lexicon.  Word
+pairs around a lexicon entry that clean documents hold, and hold more often
+than toxic ones by the same kind of bound, make exception phrases; an entry
+inside one does not count.  All thresholds are shares of the classes or
+log-odds, so they do not move with the size of the corpus.  Scoring: one
+automaton pass over a folded text sums the weights, the sum is divided by the
+logarithm of the length, and a logistic curve, fitted on a histogram of all
+training sums, gives the score.
 
 Folding lower-cases, applies compatibility forms, maps Cyrillic and Greek
 look-alikes to Latin and digits and signs to the letters they stand for, and
@@ -25,7 +28,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, log, log2, sqrt
+from math import exp, expm1, log, log1p, log2, sqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -78,24 +81,29 @@ def fold(text: str | None) -> str:
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    beginnings: tuple[int, ...] = (4, 5)
-    #: a candidate is in so large a share of the toxic training documents, two at least
+    #: letters of a word beginning that may be an entry; it matches longer words only
+    beginnings: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
+    #: a candidate is in so large a share of the toxic training texts, and in two of them; with the
+    #: mean number of words in a text this bounds the lexicon, whatever the size of the corpus
     min_share: float = 0.002
-    max_entries: int = 5000
     confidence: float = 1.64
-    min_weight: float = 1.2
-    #: entries weaker than this share of the strongest come from copies and chance
-    relative_weight: float = 0.55
-    #: clean documents that must hold a phrase before it is an exception
-    min_exception: int = 2
+    #: least log-odds of an entry at the lower end of its interval
+    min_weight: float = 1.5
+    #: share of a class that is added to a count of it
+    smooth: float = 0.0005
+    #: share of the clean training texts that hold a phrase before it is an exception, and two of them
+    min_exception: float = 0.0005
+    #: phrases that are exceptions in any case
     exceptions: tuple[str, ...] = ()
-    bins: int = 400
-    top: float = 8.0
+    #: features that a task counts before it passes them on
+    held: int = 200_000
 
 
 @dataclass(frozen=True)
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
+    #: folded phrase, with its outer spaces, to the places in it of the words that do not count
+    exceptions: dict[str, tuple[int, ...]] = field(default_factory=dict)
     slope: float = 0.0
     shift: float = 0.0
 
@@ -104,65 +112,94 @@ def remainder(doc_id: Column, of: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
+def _entries(word: str, p: ToxicityParams) -> list[str]:
+    """The entries that would match a folded word."""
+    return [f" {word} ", *(f" {word[:n]}" for n in p.beginnings if len(word) > n)]
+
+
 def _features(text: str, p: ToxicityParams) -> set[str]:
-    words = set(fold(text).split())
-    return {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in p.beginnings if len(w) > n}
+    return {x for w in set(fold(text).split()) for x in _entries(w, p)}
 
 
-def _automaton(weights: dict[str, float]):
+def _automaton(lexicon: Lexicon, p: ToxicityParams):
+    """Matches say (length, beginning, weight, places that do not count)."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for entry, weight in weights.items():
-        machine.add_word(entry, weight)
+    for entry in {**lexicon.weights, **lexicon.exceptions}:
+        here = lexicon.weights.get(entry)
+        machine.add_word(entry, (len(entry), here is not None and not entry.endswith(" "), here, lexicon.exceptions.get(entry, ())))
     machine.make_automaton()
     return machine
 
 
 def _sum(text: str, machine) -> tuple[float, int]:
+    """Summed weights of the entries outside exception phrases, and the number of words."""
     folded = fold(text)
-    return max(0.0, sum(w for _, w in machine.iter(folded))) if len(machine) else 0.0, folded.count(" ")
+    found, free, last = [], set(), len(folded) - 1
+    if len(machine):
+        for end, (size, beginning, weight, places) in machine.iter(folded):
+            start = end - size + 1
+            free.update(start + x for x in places)
+            if weight is not None and not (beginning and (end == last or folded[end + 1] == " ")):
+                found.append((start, weight))
+    return sum(w for start, w in found if start not in free), folded.count(" ")
 
 
 def normalised(total: float, n_words: int) -> float:
     return total / log2(2 + n_words)
 
 
-def _counts(rows: DataFrame, wanted: set[str] | None, p: ToxicityParams) -> DataFrame:
-    """Documents by feature: combined in each task before the shuffle."""
+def _summed(rows: DataFrame, features, p: ToxicityParams) -> DataFrame:
+    """Texts of each class by feature: combined in each task, a bounded number at a time, before the shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
+
+        def told() -> pd.DataFrame:
+            return pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["feature", "toxic", "n"])
+
         for batch in batches:
-            for text in batch["text"]:
-                found = _features(text, p)
-                counts.update(found if wanted is None else found & wanted)
+            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
+                mark = int(toxic > 0)
+                counts.update((x, mark) for x in features(text))
+                if len(counts) >= p.held:
+                    yield told()
+                    counts.clear()
         if counts:
-            yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
+            yield told()
 
-    return rows.select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    told = rows.select("text", "toxic").mapInPandas(run, "feature string, toxic long, n long")
+    by_class = [F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((1, "t"), (0, "c"))]
+    return told.groupBy("feature").agg(*by_class)
 
 
-def _exceptions(clean: DataFrame, weights: dict[str, float], p: ToxicityParams) -> dict[str, float]:
-    """Pairs (word, neighbour) in clean documents that take an entry's weight back."""
+def _odds(mine: int, of: int, others: int, of_others: int, p: ToxicityParams) -> float:
+    """Log-odds of a feature in one class against the other, at the lower end of its interval."""
+    ours, theirs = mine / of + p.smooth, others / of_others + p.smooth
+    return log(ours / theirs) - p.confidence * sqrt(1 / (mine + 0.5) + 1 / (others + 0.5))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch["text"]:
-                words = fold(text).split()
-                at = [i for i, w in enumerate(words) if f" {w} " in weights]
-                counts.update({f" {a} {b} " for i in at for a, b in zip(words[max(0, i - 1) : i + 1], words[max(1, i) : i + 2])})
-        if counts:
-            yield pd.DataFrame({"feature": list(counts), "n": list(counts.values())})
 
-    found = clean.select("text").mapInPandas(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
-    phrases = [r.feature for r in found.where(F.col("n") >= p.min_exception).orderBy(F.desc("n"), "feature").limit(p.max_entries).collect()]
-    return {x: -sum(_own_weight(w, weights, p) for w in x.split()) for x in [*phrases, *p.exceptions]}
+def _exceptions(rows: DataFrame, weights: dict[str, float], toxic_n: int, clean_n: int, p: ToxicityParams) -> dict[str, tuple[int, ...]]:
+    """Phrases (an entry's word and a neighbour) that clean texts hold and toxic ones hold less."""
 
+    def phrases(text: str) -> set[str]:
+        words = fold(text).split()
+        hit = [any(x in weights for x in _entries(w, p)) for w in words]
+        return {f" {a} {b} " for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y}
 
-def _own_weight(word: str, weights: dict[str, float], p: ToxicityParams) -> float:
-    return weights.get(f" {word} ", 0.0) + sum(weights.get(f" {word[:n]}", 0.0) for n in p.beginnings if len(word) > n)
+    least = max(2, p.min_exception * clean_n)
+    found = _summed(rows, phrases, p).where(F.col("c") >= least).collect()
+    good = [r.feature for r in found if _odds(r.c, clean_n, r.t, toxic_n, p) > 0]
+    out = {}
+    for phrase in [*good, *(fold(x) for x in p.exceptions)]:
+        at, places = 0, []
+        for word in phrase.split():
+            if any(x in weights for x in _entries(word, p)):
+                places.append(at)
+            at += len(word) + 1
+        out[phrase] = tuple(places)
+    return out
 
 
 def _logistic(histogram: list[tuple[float, int, int]]) -> tuple[float, float]:
@@ -189,54 +226,49 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
     """The lexicon and its curve from labelled documents outside the held-out fold."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(remainder(F.col("doc_id"), 5) != 0)
-    rows = written(docs.select("doc_id", "text").join(maybe_broadcast(marks), "doc_id").select("text", "toxic"), "labelled")
-    sizes = {r.toxic > 0: r.n for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    rows = docs.select("doc_id", "text").join(maybe_broadcast(marks), "doc_id").select("text", "toxic")
+    rows = written(rows.withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).drop("h"), "labelled")
+    sizes = {r.toxic: r.n for r in rows.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     toxic_n, clean_n = sizes.get(True, 0), sizes.get(False, 0)
     if not toxic_n or not clean_n:
-        return Lexicon({}, 0.0, 30.0 if toxic_n else -30.0)
-    toxic, clean = rows.where("toxic > 0"), rows.where("toxic <= 0")
-    least = max(2, int(p.min_share * toxic_n))
-    seen = {r.feature: r.n for r in _counts(toxic, None, p).where(F.col("n") >= least).collect()}
-    against = {r.feature: r.n for r in _counts(clean, set(seen), p).collect()}
+        return Lexicon({}, {}, 0.0, 30.0 if toxic_n else -30.0)
+    least = max(2, p.min_share * toxic_n)
+    seen = {r.feature for r in _summed(rows.where("toxic > 0"), lambda x: _features(x, p), p).where(F.col("t") >= least).select("feature").collect()}
     weights = {}
-    for feature, t in seen.items():
-        c = against.get(feature, 0)
-        odds = log((t + 0.5) / (toxic_n + 1)) - log((c + 0.5) / (clean_n + 1))
-        low = odds - p.confidence * sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+    for r in _summed(rows, lambda x: _features(x, p) & seen, p).collect():
+        low = _odds(r.t, toxic_n, r.c, clean_n, p)
         if low >= p.min_weight:
-            weights[feature] = round(low, 6)
-    floor = max(weights.values(), default=0.0) * p.relative_weight
-    weights = {f: w for f, w in weights.items() if w >= floor}
+            weights[r.feature] = round(low, 6)
     # an entry whose own beginning is an entry adds nothing
-    weights = {f: w for f, w in weights.items() if not any(f[: n + 1] in weights for n in p.beginnings if n + 1 < len(f))}
-    weights = dict(sorted(weights.items(), key=lambda e: (-e[1], e[0]))[: p.max_entries])
-    weights |= _exceptions(clean, weights, p)
+    weights = {f: w for f, w in weights.items() if not any(f[: n + 1] in weights for n in p.beginnings if n + 1 < len(f.rstrip()))}
+    exceptions = _exceptions(rows, weights, toxic_n, clean_n, p)
+    known = Lexicon(weights, exceptions, 0.0, 0.0)
 
     def bins(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = _automaton(weights)
+        machine = _automaton(known, p)
         counts: Counter = Counter()
         for batch in batches:
             for text, toxic_here in zip(batch["text"], batch["toxic"], strict=True):
-                x = min(p.top, normalised(*_sum(text, machine)))
-                counts[round(x / p.top * p.bins), int(toxic_here > 0)] += 1
+                counts[round(100 * log1p(normalised(*_sum(text, machine)))), int(toxic_here > 0)] += 1
         if counts:
             yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["bin", "toxic", "n"])
 
+    # the logarithm keeps the number of bins small
     counted = rows.mapInPandas(bins, "bin long, toxic long, n long").groupBy("bin", "toxic").agg(F.sum("n").alias("n"))
     table: dict[int, list[int]] = {}
     for r in counted.collect():
         table.setdefault(r.bin, [0, 0])[r.toxic] += r.n
-    slope, shift = _logistic([(k * p.top / p.bins, *v) for k, v in sorted(table.items())])
-    return Lexicon(weights, slope, shift)
+    slope, shift = _logistic([(expm1(k / 100), *v) for k, v in sorted(table.items())])
+    return Lexicon(weights, exceptions, slope, shift)
 
 
 def scored(docs: DataFrame, lexicon: Lexicon, p: ToxicityParams = ToxicityParams()) -> DataFrame:
     """doc_id and score for every row of docs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = _automaton(lexicon.weights)
+        machine = _automaton(lexicon, p)
         for batch in batches:
-            x = [min(p.top, normalised(*_sum(text, machine))) for text in batch["text"]]
+            x = [normalised(*_sum(text, machine)) for text in batch["text"]]
             scores = [1 / (1 + exp(-max(-30.0, min(30.0, lexicon.slope * v + lexicon.shift)))) for v in x]
             if scores:
                 yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "score": scores})
@@ -249,9 +281,9 @@ def without_toxic(docs: DataFrame, lexicon: Lexicon, p: ToxicityParams = Toxicit
     """The rows of docs, all columns, whose score is under one half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _automaton(lexicon.weights)
+        machine = _automaton(lexicon, p)
         for batch in batches:
-            x = (min(p.top, normalised(*_sum(text, machine))) for text in batch.column("text").to_pylist())
+            x = (normalised(*_sum(text, machine)) for text in batch.column("text").to_pylist())
             yield batch.filter(pa.array([lexicon.slope * v + lexicon.shift < 0 for v in x], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
