@@ -1,57 +1,62 @@
-"""Fuzzy line deduplication by MinHash.
+"""Fuzzy line deduplication by MinHash, in DataFrame operations.
 
 Lines of all texts are trimmed and lower-cased; equal lines make one class.
 A class has the set of all strings of `width` characters at every position of
-its line, white space included; a shorter line is one such string.  Spark
-tasks compute `bands * rows` MinHashes of each class with numpy, the order for
-each from a product of one hash with an odd constant.  Classes that agree on a
-band are candidates: in each bucket the class with most bucket mates meets the
-others.  A sketch of 64 one-bit MinHashes drops pairs that are far from the
-threshold; the others are verified by exact Jaccard similarity of the strings
-themselves, and links are joined by distributed union-find.  Buckets that
-still hold several components are finished exactly: their classes are dealt
-into blocks of bounded size, and each pair of blocks is compared inside one
-row, which gives only the pairs of components that a link joins.
+its line, white space included, as 64-bit hashes; a shorter line is one such
+string.  The signature is a one-permutation MinHash: the ring of hashes is cut
+into `bins` arcs, and a bin's value is the first hash at or after its start, so
+an empty bin takes the next one's.  A band is `rows` bins that lie far apart.
+Lines of under `short` strings fill few bins; they get the bands of a second,
+independent order as well.
+
+Classes that agree on a band are candidates: in each bucket the class with
+most bucket mates meets the others.  A sketch of four bits of every bin drops
+pairs that are far from the threshold; the others are verified by exact Jaccard
+similarity of their sets, and links are joined by distributed union-find.
+Buckets that still hold several components are finished: their classes are
+dealt into blocks of bounded size, and each pair of blocks is compared inside
+one row by array functions, first by sketches, then, for those that are near
+to another component, by their sets.  Only pairs of components come out.
 
 Each component keeps one line, the first by (doc_id, place); the others go.
 
 Defined results: blank lines always stay; null texts stay null; rows with
 equal doc_id and text are one document and get equal results; a null doc_id
-comes first in order.  Extra columns are kept or ignored as said below.
+comes first in order.  Extra columns are kept as they are; a column of docs
+that is named n_lines or n_removed gives way to the one that is added.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ladderwork.llm import textscan
-from ladderwork.llm.common import components, maybe_broadcast, written
+from ladderwork.llm.common import components, shared_dir, written
 
 
 @dataclass(frozen=True)
 class LineDedupParams:
     width: int = 5
-    bands: int = 22
+    bins: int = 64
+    bands: int = 12
     rows: int = 5
     at_least: tuple[int, int] = (4, 5)
-    seed: int = 5
-    #: sketch bits of 64 in which a compared pair may differ; a pair at exactly 0.8 differs in more with probability 2.4e-8
+    #: strings under which a line gets the second order's bands
+    short: int = 100
+    #: bins of 64 that two long lines' sketches must share; a pair at exactly 0.8 shares fewer with a probability of about 1e-5
+    shared_bins: int = 38
+    #: bins of 64 whose single bit may differ, a cheaper look that comes first; exceeded with a probability of 2.4e-8
     differ: int = 22
     #: classes in a block, about, when a bucket's rest is compared
-    block: int = 128
+    block: int = 1024
 
-
-@lru_cache
-def factors(n: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    @property
+    def starts(self) -> list[int]:
+        """Where the bins begin on the ring of signed 64-bit numbers."""
+        return [-(2**63) + k * 2**64 // self.bins for k in range(self.bins)]
 
 
 def normal(line: Column) -> Column:
@@ -68,115 +73,120 @@ def _place() -> Column:
     return F.struct("doc_id", "text_hash", "pos")
 
 
-def shingle_set(line: str, width: int) -> frozenset[str]:
-    return frozenset(line[i : i + width] for i in range(max(1, len(line) - width + 1)))
+def _hashes(norm: str, p: LineDedupParams) -> str:
+    """SQL of the hashes of all strings of `width` characters, one for each position.
 
+    Four bytes a character make a place a matter of counting; the bytes are a
+    lambda's argument, so that they are not copied for every string.
+    """
+    at = f"sequence(0, greatest(shiftright(octet_length(b), 2) - {p.width}, 0))"
+    each = f"transform({at}, i -> xxhash64(substring(b, i * 4 + 1, {4 * p.width})))"
+    return f"get(transform(array(encode({norm}, 'UTF-32')), b -> {each}), 0)"
 
-def alike(x: frozenset[str], y: frozenset[str], p: LineDedupParams) -> bool:
-    """Exact: Jaccard similarity of at least the threshold."""
-    less, of = p.at_least
-    if of * min(len(x), len(y)) < less * max(len(x), len(y)):
-        return False
-    return (of + less) * len(x & y) >= less * (len(x) + len(y))
-
-
-def signatures(lines: list[bytes], p: LineDedupParams) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (lines x bands) and 64-bit sketches of some lines that are not blank."""
-    a = factors(p.bands * p.rows, p.seed)
-    keys, sketch = np.empty((len(lines), p.bands), dtype=np.int64), np.empty(len(lines), dtype=np.int64)
-    for first, last in textscan.chunks(lines, 1 << 16):
-        here = [x.decode("utf-8", "surrogateescape").ljust(p.width, "\U0010ffff") for x in lines[first:last]]
-        sizes = np.fromiter((len(x) for x in here), dtype=np.int64, count=len(here)) - p.width + 1
-        codes = np.frombuffer("".join(here).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        n = len(codes) - p.width + 1
-        h = np.zeros(n, dtype=np.uint64)
-        for j in range(p.width):
-            h *= np.uint64(0x9FB21C651E98DF25)
-            h += codes[j : j + n] + np.uint64(1)
-        inside = np.ones(n, dtype=bool)  # windows that reach into the next line go
-        ends = np.cumsum(sizes + p.width - 1)[:-1]
-        for j in range(1, p.width):
-            inside[ends - j] = False
-        h = (textscan.mix(h[inside]) >> np.uint64(32)).astype(np.uint32)
-        at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        least, work = np.empty((len(a), len(here)), dtype=np.uint32), np.empty_like(h)
-        for k, factor in enumerate(a):
-            np.minimum.reduceat(np.multiply(h, factor, out=work), at, out=least[k])
-        for b in range(p.bands):
-            key = np.full(len(here), b + 1, dtype=np.uint64)
-            for m in least[b * p.rows : (b + 1) * p.rows]:
-                key = textscan.mix(key) + m
-            keys[first:last, b] = textscan.mix(key).view(np.int64)
-        bits = (least[:64] * np.uint32(0x9E3779B1)) >> np.uint32(31)
-        sketch[first:last] = np.packbits(np.ascontiguousarray(bits.astype(np.uint8).T), axis=1).view(np.int64).ravel()
-    return keys, sketch
+
+def _set(norm: str, p: LineDedupParams) -> str:
+    return f"array_distinct({_hashes(norm, p)})"
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """One row per distinct line, in a table bucketed by the class: later steps need no exchange."""
+    """One row per distinct line, bucketed by the class: later joins need no exchange.
+
+    The files lie in the shared folder; the catalog's entry, which only serves
+    to make them, goes at once.
+    """
     spark = docs.sparkSession
     rows = occurrences(docs).groupBy("line").agg(
         F.first("norm").alias("norm"), F.min(_place()).alias("first"), F.count("*").alias("n")
     )
     name = f"line_classes_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.bucketBy(parts, "line").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    rows.write.bucketBy(parts, "line").option("compression", "zstd").option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
-def _signed(classes: DataFrame, p: LineDedupParams) -> DataFrame:
-    """(line, buckets, sketch) of every class."""
+def _values(hashes: str, merged: str, p: LineDedupParams) -> Column:
+    """The bins' values: the first of the sorted hashes at or after each start, around the ring.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                keys, sketch = signatures([bytes(x) for x in batch["norm"]], p)
-                yield pd.DataFrame({"line": batch["line"].to_numpy(), "buckets": list(keys), "sketch": sketch})
+    merged holds the hashes and the starts in order, so a start's place there
+    tells how many hashes lie before it.
+    """
+    first = F.get(hashes, F.lit(0))
+    return F.array(
+        *[F.coalesce(F.get(hashes, (F.array_position(merged, F.lit(m)) - 1 - k).cast("int")), first) for k, m in enumerate(p.starts)]
+    )
 
-    return classes.select("line", F.col("norm").cast("binary").alias("norm")).mapInPandas(run, "line long, buckets array<long>, sketch long")
 
+def _band_keys(values: str, order: int, p: LineDedupParams) -> Column:
+    bands = [[F.get(values, F.lit(b + p.bands * r)) for r in range(p.rows)] for b in range(p.bands)]
+    return F.array(*[F.xxhash64(F.lit(order * p.bands + b), *row) for b, row in enumerate(bands)])
 
-def _far(x: Column, y: Column, p: LineDedupParams) -> Column:
-    return F.bit_count(x.bitwiseXOR(y)) > p.differ
 
+def signed(classes: DataFrame, p: LineDedupParams) -> DataFrame:
+    """(line, buckets, sketch) of every class; sketch is one bit and four bits of every bin, and a mark for short lines.
 
-def _text(x: bytes) -> str:
-    return bytes(x).decode("utf-8", "surrogateescape")
+    Each select builds on arrays that the one before has made.  The second
+    order is computed beside the first one's values because a lambda in the
+    same step keeps their many expressions out of one huge generated method.
+    """
+    shift = 64 - (p.bins - 1).bit_length()
+    starts = F.array(*[F.lit(m).cast("long") for m in p.starts])
+    ring = classes.selectExpr("line", f"sort_array({_hashes('norm', p)}) AS r")
+    least = ring.selectExpr(
+        "line", f"size(r) < {p.short} AS short", f"CASE WHEN size(r) < {p.short} THEN r END AS few",
+        f"filter(r, (x, i) -> i = 0 OR shiftright(x, {shift}) <> shiftright(get(r, i - 1), {shift})) AS m",
+    )
+    merged = least.select("line", "short", "few", "m", F.sort_array(F.concat("m", starts)).alias("m_starts"))
+    first = merged.select("line", "short", _values("m", "m_starts", p).alias("v"), F.expr("sort_array(transform(few, x -> xxhash64(x)))").alias("few"))
+    both = first.select("line", "short", "v", "few", F.sort_array(F.concat("few", starts)).alias("few_starts"))
+    nibbles = "aggregate(slice(v, {}, 16), 0L, (a, x) -> shiftleft(a, 4) | (x & 15))"
+    bits = F.expr("aggregate(v, 0L, (a, x) -> shiftleft(a, 1) | (shiftright(x, 4) & 1))")
+    sketch = F.struct(bits.alias("bits"), *[F.expr(nibbles.format(16 * k + 1)).alias(f"s{k}") for k in range(4)], F.col("short"))
+    told = both.select("line", sketch.alias("sketch"), _band_keys("v", 0, p).alias("keys"), F.when(F.col("short"), _values("few", "few_starts", p)).alias("v2"))
+    buckets = F.concat("keys", F.when(F.col("v2").isNull(), F.array().cast("array<long>")).otherwise(_band_keys("v2", 1, p)))
+    return told.select("line", "sketch", buckets.alias("buckets"))
+
+
+def _near(x: str, y: str, p: LineDedupParams) -> str:
+    """SQL: whether two sketches may belong to a linked pair."""
+    unlike = []
+    for k in range(4):  # a nibble with any bit set shows in its lowest bit
+        d = f"({x}.s{k} ^ {y}.s{k})"
+        unlike.append(f"bit_count(({d} | shiftright({d}, 1) | shiftright({d}, 2) | shiftright({d}, 3)) & {0x1111111111111111}L)")
+    far = f"bit_count({x}.bits ^ {y}.bits) > {p.differ}"
+    return f"({x}.short OR {y}.short OR (NOT {far} AND {' + '.join(unlike)} <= {p.bins - p.shared_bins}))"
+
+
+def _alike(x: str, y: str, p: LineDedupParams) -> str:
+    """SQL: whether two sets reach the threshold; the intersection is taken once."""
+    less, of = p.at_least
+    fits = f"{of} * least(size({x}), size({y})) >= {less} * greatest(size({x}), size({y}))"
+    return f"CASE WHEN {fits} THEN {of + less} * size(array_intersect({x}, {y})) >= {less} * (size({x}) + size({y})) ELSE false END"
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, p: LineDedupParams) -> DataFrame:
-    norms = classes.select("line", F.col("norm").cast("binary").alias("norm"))
-    left = norms.select(F.col("line").alias("a"), F.col("norm").alias("x"))
-    right = norms.select(F.col("line").alias("b"), F.col("norm").alias("y"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a, x = None, frozenset()
-        for batch in batches:
-            found = []
-            for r in batch.itertuples(index=False):
-                if r.a != a:
-                    a, x = r.a, shingle_set(_text(r.x), p.width)
-                found.append(alike(x, shingle_set(_text(r.y), p.width), p))
-            yield batch.loc[np.array(found, dtype=bool), ["a", "b"]]
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    """Pairs (a, b) whose sets reach the threshold; a repeats, so its set is made once."""
+    lines = pairs.select(F.col("a").alias("line")).distinct()
+    left = written(classes.select("line", "norm").join(lines, "line").selectExpr("line AS a", f"{_set('norm', p)} AS x"), "line-sets")
+    right = classes.select(F.col("line").alias("b"), F.col("norm").alias("y"))
+    # as a lambda's argument b's set is made once a pair
+    alike = F.expr(f"exists(array({_set('y', p)}), z -> {_alike('x', 'z', p)})")
+    return pairs.join(right, "b").join(left, "a").where(alike).select("a", "b")
 
 
 def line_components(classes: DataFrame, p: LineDedupParams) -> DataFrame:
     """(id, component) of every class that is linked with another."""
-    signed = written(_signed(classes, p), "line-signatures")
-    sketches = signed.select("line", "sketch")
-    # one exchange of two longs a row; the window only counts and may spill
-    sized = signed.select("line", F.explode("buckets").alias("bucket")).withColumn("n", F.count("*").over(Window.partitionBy("bucket")))
-    counted = sized.where("n > 1")
-    shared = written(counted.join(sketches, "line"), "line-buckets")
+    marks = written(signed(classes, p), "line-signatures")
+    members = marks.select("line", "sketch", F.explode("buckets").alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(members.join(sizes, "bucket"), "line-buckets")
     weight = shared.groupBy("line").agg(F.sum("n").alias("w"))
     top = F.max_by(F.struct("line", "sketch"), F.struct("w", "line"))
     pivot = shared.join(weight, "line").groupBy("bucket").agg(top.alias("pivot"))
-    first = (
-        shared.join(pivot, "bucket").where("line <> pivot.line").where(~_far(F.col("sketch"), F.col("pivot.sketch"), p))
-        .select(F.least("pivot.line", "line").alias("a"), F.greatest("pivot.line", "line").alias("b")).distinct()
-    )
+    met = shared.join(pivot, "bucket").where("line <> pivot.line").where(F.expr(_near("sketch", "pivot.sketch", p)))
+    first = written(met.select(F.col("pivot.line").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
     links = written(_verified(first, classes, p), "line-links")
     found = written(components(links, "line-components"), "line-placed")
     placed = (
@@ -185,9 +195,9 @@ def line_components(classes: DataFrame, p: LineDedupParams) -> DataFrame:
     )
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rest = _with_mates(placed.join(open_, "bucket"), p)
-    return components(links.unionByName(_component_links(rest, classes, p)).unionByName(
-        found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-    ), "line-components")
+    more = _component_links(rest, classes, p)
+    tied = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return components(tied.unionByName(more), "line-components")
 
 
 def _block_pairs(rest: DataFrame, held: list[str], p: LineDedupParams) -> DataFrame:
@@ -205,12 +215,8 @@ def _block_pairs(rest: DataFrame, held: list[str], p: LineDedupParams) -> DataFr
 def _with_mates(rest: DataFrame, p: LineDedupParams) -> DataFrame:
     """Members near to a bucket mate of another component by their sketches; the others have no link to find."""
     held = _block_pairs(rest, ["comp", "sketch", "line"], p)
-
-    def near(xs: str, ys: str) -> Column:
-        some = lambda x: F.exists(ys, lambda y: (x["comp"] != y["comp"]) & ~_far(x["sketch"], y["sketch"], p))
-        return F.transform(F.filter(xs, some), lambda x: x["line"])
-
-    lines = held.select("bucket", F.explode(F.array_union(near("xs", "ys"), near("ys", "xs"))).alias("line")).distinct()
+    near = lambda xs, ys: f"transform(filter({xs}, x -> exists({ys}, y -> x.comp <> y.comp AND {_near('x.sketch', 'y.sketch', p)})), x -> x.line)"
+    lines = held.select("bucket", F.explode(F.expr(f"array_union({near('xs', 'ys')}, {near('ys', 'xs')})")).alias("line")).distinct()
     found = written(rest.drop("n").join(lines, ["bucket", "line"]), "line-rest")
     return found.join(found.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
 
@@ -221,22 +227,13 @@ def _component_links(rest: DataFrame, classes: DataFrame, p: LineDedupParams) ->
     rest: bucket, n, line, sketch, comp.  No pair becomes a row: a row holds
     two blocks and compares them.
     """
-    norms = classes.select("line", F.col("norm").cast("binary").alias("norm"))
-    held = _block_pairs(rest.join(norms, "line"), ["comp", "sketch", "norm"], p)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            links = set()
-            for xs, ys in zip(batch["xs"], batch["ys"], strict=True):
-                sets = [[shingle_set(_text(m["norm"]), p.width) for m in side] for side in (xs, ys)]
-                for x, sx in zip(xs, sets[0], strict=True):
-                    for y, sy in zip(ys, sets[1], strict=True):
-                        link = min(x["comp"], y["comp"]), max(x["comp"], y["comp"])
-                        if link[0] != link[1] and link not in links and ((x["sketch"] ^ y["sketch"]) & (2**64 - 1)).bit_count() <= p.differ and alike(sx, sy, p):
-                            links.add(link)
-            yield pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
-
-    return written(held.select("xs", "ys").mapInPandas(run, "a long, b long").distinct(), "line-links")
+    lines = rest.select("line").distinct()
+    sets = written(classes.select("line", "norm").join(lines, "line").selectExpr("line", f"{_set('norm', p)} AS set"), "line-sets")
+    held = _block_pairs(rest.join(sets, "line"), ["comp", "sketch", "set"], p)
+    linked = f"CASE WHEN x.comp <> y.comp AND {_near('x.sketch', 'y.sketch', p)} THEN {_alike('x.set', 'y.set', p)} ELSE false END"
+    of_one = f"array_distinct(transform(filter(ys, y -> {linked}), y -> struct(least(x.comp, y.comp) AS a, greatest(x.comp, y.comp) AS b)))"
+    found = held.select(F.explode(F.expr(f"array_distinct(flatten(transform(xs, x -> {of_one})))")).alias("link"))
+    return written(found.select("link.a", "link.b").distinct(), "line-links")
 
 
 def removals(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:
@@ -256,17 +253,18 @@ def removals(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFra
 
 def deduplicated(docs: DataFrame, p: LineDedupParams = LineDedupParams()) -> DataFrame:
     """docs with `text` rebuilt from the kept lines, and n_lines and n_removed."""
-    gone = written(removals(docs, p), "line-removals")
-    gone = maybe_broadcast(gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"), "gone"))
-    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
-    joined = hashed.join(gone, hashed["doc_id"].eqNullSafe(gone["g_id"]) & (hashed["text_hash"] == gone["g_hash"]), "left")
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i))
-    return (
-        joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-        .drop("text_hash", "g_id", "g_hash", "gone")
+    gone = removals(docs.select("doc_id", "text"), p).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    same = rows["row.doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(rows["row.text"]) == gone["gone_hash"])
+    joined = rows.join(gone, same, "left")
+    lines = F.split("row.text", "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(
+        *[text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in given],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 

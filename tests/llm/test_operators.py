@@ -217,6 +217,99 @@ def test_line_dedup_links_every_pair_with_one_letter_changed(spark):
         assert out[2 * i] == 0 and out[2 * i + 1] == int(same)
 
 
+def plain_line_dedup(rows, width=5, link=lambda x, y: 5 * len(x & y) >= 4 * len(x | y)):
+    """Kept texts by brute force over all pairs of lines that share a shingle, and the pairs that are linked."""
+    lines, firsts = {}, {}
+    for i, (_, t) in enumerate(rows):
+        for k, raw in enumerate((t or "").split("\n")):
+            norm = raw.strip(" \t\r\f\v").lower()
+            if norm:
+                firsts.setdefault(norm, (i, k))
+                lines[i, k] = norm
+    sets = {x: {x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in firsts}
+    postings, parent, pairs = {}, {x: x for x in firsts}, set()
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for x in sorted(sets, key=firsts.get):
+        both = Counter(y for g in sets[x] for y in postings.get(g, ()))
+        for y, n in both.items():
+            if 5 * n >= 4 * (len(sets[x]) + len(sets[y]) - n):
+                pairs.add((y, x))
+                a, b = sorted((root(x), root(y)), key=firsts.get)
+                parent[b] = a
+        for g in sets[x]:
+            postings.setdefault(g, []).append(x)
+    gone = {place for place, norm in lines.items() if place != firsts[root(norm)]}
+    kept = [None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, (_, t) in enumerate(rows)]
+    return kept, pairs, len(gone)
+
+
+def test_line_dedup_of_a_table_has_high_recall(spark):
+    """Removed lines over the whole sf0.01 table against brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    kept, pairs, gone = plain_line_dedup(rows)
+    out = {r.doc_id: r for r in line_dedup.deduplicated(docs).collect()}
+    removed = sum(r.n_removed for r in out.values())
+    same = sum(out[i].text == k for (i, _), k in zip(rows, kept))
+    print(f"linked pairs {len(pairs)}, lines to remove {gone}, removed {removed}, equal documents {same} of {len(rows)}")
+    assert 0.99 * gone <= removed <= gone and same >= 0.99 * len(rows)
+
+
+def test_line_dedup_recall_at_the_threshold(spark):
+    """Pairs of lines at 0.80 to 0.84, short and long, apart from all others."""
+    rng, rows, near = random.Random(8), [], 0
+    for n in [*range(4, 60)] * 4:
+        w = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(n)]
+        line, other = " ".join(w), list(w)
+        grams = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+        for k in rng.sample(range(n), n):
+            tried = [*other[:k], "q" * rng.randint(1, 4), *other[k + 1 :]]
+            x, y = grams(line), grams(" ".join(tried))
+            if 5 * len(x & y) < 4 * len(x | y):
+                break
+            other = tried
+        if other != w:
+            near += 1
+            rows += [(len(rows), line), (len(rows) + 1, " ".join(other))]
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.n_removed for r in out)
+    print(f"pairs {near}, linked {found}")
+    assert near > 150 and 0.95 * near <= found <= near
+
+
+def test_line_dedup_names_nulls_and_repeated_rows(spark):
+    schema = "doc_id long, text string, gone long, text_hash long, n_lines long, n_removed long, line string, row string, `a.b` long"
+    long = " ".join(prose(9, i) for i in range(60))
+    rows = [(None, "One line of a text here"), (2, "one line of a text here\nother"), (2, "one line of a text here\nother"), (3, None), (4, ""), (5, long + "\n" + long)]
+    d = spark.createDataFrame([(i, t, 1, 2, 3, 4, "x", "y", 9) for i, t in rows], schema)
+    out = sorted(line_dedup.deduplicated(d).collect(), key=lambda r: (r.doc_id or 0))
+    assert [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out] == [
+        (None, rows[0][1], 1, 0), (2, "other", 2, 1), (2, "other", 2, 1), (3, None, 0, 0), (4, "", 1, 0), (5, long, 2, 1)
+    ]
+    assert {(r.gone, r.text_hash, r.line, r.row, r["a.b"]) for r in out} == {(1, 2, "x", "y", 9)}
+    assert line_dedup.deduplicated(d.limit(0)).count() == 0
+    assert not [t for t in spark.catalog.listTables() if "line_classes" in t.name]
+
+
+def test_line_dedup_finishes_buckets_in_blocks(spark):
+    """A family whose members are linked through others only, in blocks of two."""
+    base, rows = prose(40, 77).split(), []
+    for i in range(60):
+        w = list(base)
+        for k in random.Random(i).sample(range(40), 1 + i % 3):
+            w[k] = f"{i}{k}"
+        rows.append((i, " ".join(w)))
+    _, _, gone = plain_line_dedup(rows)
+    out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.LineDedupParams(block=2)).collect()
+    assert sum(r.n_removed for r in out) == gone
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     import public_tokenizers
