@@ -31,6 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -88,8 +89,9 @@ def token_blocks(docs: DataFrame, p: HiddenMarkovParams) -> DataFrame:
             words, first, codes = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             ends = np.concatenate(endings)[first]
             at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            parts = (np.array(ids, dtype=np.int64), at, np.array(held, dtype=bool), words, _small(ends, p), codes.astype(np.uint32))
-            return pd.DataFrame([[block, *(x.tobytes() for x in parts)]], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            parts = (np.array(ids, dtype=np.int64), at, np.array(held, dtype=bool), words, _small(ends, p))
+            row = [block, *(x.tobytes() for x in parts), _packed(codes, len(words))]
+            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
             texts = [textscan.as_bytes(t) for t in batch["text"]]
@@ -117,14 +119,20 @@ def _held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
 
+def _packed(codes: np.ndarray, n_words: int) -> bytes:
+    """Tokens as places among the block's words, in two bytes where they fit, compressed."""
+    return zstandard.compress(codes.astype(np.uint16 if n_words <= 1 << 16 else np.uint32).tobytes(), 1)
+
+
 def _token_mask(at: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.repeat(~held, np.diff(at))
 
 
 def _arrays(row) -> tuple[np.ndarray, ...]:
+    at, codes = np.frombuffer(row.at, np.int64), zstandard.decompress(row.codes)
     return (
-        np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.at, np.int64), np.frombuffer(row.held, bool),
-        np.frombuffer(row.words, np.uint64), np.frombuffer(row.endings, np.uint16), np.frombuffer(row.codes, np.uint32),
+        np.frombuffer(row.doc_ids, np.int64), at, np.frombuffer(row.held, bool), np.frombuffer(row.words, np.uint64),
+        np.frombuffer(row.endings, np.uint16), np.frombuffer(codes, np.uint16 if len(codes) == 2 * at[-1] else np.uint32),
     )
 
 
