@@ -667,17 +667,3 @@ def test_warc_query_rows(spark):
         assert hashlib.sha256(r.record.encode()).hexdigest() == r.record_sha256
     text = next(r.record for r in out if r.warc_type == "conversion" and "First paragraph" in r.record)
     assert "with bold words and more of them." in text and "<b>" not in text
-
-
-def test_pipeline_stages(spark, sf):
-    import corpus_pipeline
-
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
-        assert docs.columns == corpus_pipeline.COLUMNS
-        assert docs.count() <= before
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert out.select("doc_id").distinct().count() == docs.count() > before * 0.5
