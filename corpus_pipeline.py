@@ -4,6 +4,10 @@ Every stage but the last returns the columns of documents and works on all
 that its predecessor kept: toxic documents go, repeated lines go from the
 texts, one document of each near-duplicate group stays, documents that hold a
 window of a benchmark item go, and the rest is packed into sequences.
+
+Rows are judged one by one: a doc_id that repeats with another text is another
+row.  Null texts and null ids stay until they are packed; other columns of
+docs, whatever their names, are left behind.
 """
 
 from __future__ import annotations
@@ -35,18 +39,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    gone = near_duplicates.near_duplicates(docs, near_duplicates.STAGE).where("not kept").select("doc_id").distinct()
-    return docs.join(maybe_broadcast(written(gone, "near-gone")), "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicate texts stays."""
+    return near_duplicates.without_near_duplicates(docs, near_duplicates.STAGE).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an occurrence of a benchmark window stay."""
-    hits = decontamination.hits(docs, table(spark, sf_dir, "benchmark"))
-    found = written(hits.select(F.col("doc_id").alias("hit_id"), "text_key").distinct(), "contaminated")
-    keyed = docs.withColumn("text_key_here", text_key(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(found["hit_id"]) & (keyed["text_key_here"] == found["text_key"])
-    return keyed.join(maybe_broadcast(found), same, "left_anti").select(*COLUMNS)
+    hits = decontamination.hits(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = written(hits.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(found["hit_id"]) & (text_key(docs["text"]) == found["hit_key"])
+    return docs.join(maybe_broadcast(found), same, "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
