@@ -142,3 +142,31 @@ def general_number(value: Column) -> Column:
     """A double as text without a trailing .0."""
     whole = value == F.floor(value)
     return F.when(whole, F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def phase(regular: Column, playoffs: Column) -> Column:
+    """Name of the quadrant of a change in both tracks."""
+    return (
+        F.when((regular >= 0) & (playoffs >= 0), "all_phase_riser").when((regular < 0) & (playoffs >= 0), "playoff_reversal")
+        .when((regular < 0) & (playoffs < 0), "all_phase_decliner").when((regular >= 0) & (playoffs < 0), "playoff_penalty")
+    )
+
+
+def source_switch(first: Column, second: Column) -> tuple[Column, Column]:
+    """Label of two peak tracks, and 1 or -1 where the second moves to or from the playoffs."""
+    up, down = (first == "regular") & (second == "playoffs"), (first == "playoffs") & (second == "regular")
+    return F.concat(first, F.lit("_to_"), second), F.when(up, 1).when(down, -1).otherwise(0)
+
+
+def result_text(home: Column, home_score: Column, guest_score: Column) -> Column:
+    """'W 101-99' for the home score first; a guest's loss names the guest's score first."""
+    won = F.when(home, home_score > guest_score).otherwise(guest_score > home_score)
+    text = lambda letter, a, b: F.concat(F.lit(f"{letter} "), a.cast("string"), F.lit("-"), b.cast("string"))
+    return F.when(won, text("W", home_score, guest_score)).when(home, text("L", home_score, guest_score)).otherwise(text("L", guest_score, home_score))
+
+
+def named_value(cell: Column) -> tuple[Column, Column]:
+    """Name and number of a text 'name (number)'; NULL for other texts."""
+    pattern = r"^(.*) \(([0-9.]+)\)$"
+    fits = F.regexp_like(cell, F.lit(pattern))
+    return F.when(fits, F.regexp_extract(cell, pattern, 1)), F.when(fits, F.regexp_extract(cell, pattern, 2).try_cast("double"))

@@ -93,3 +93,21 @@ def shuffled_within(df: DataFrame, keys: Sequence[str], value: str, order: str)
     left = df.withColumn("place", F.row_number().over(w.orderBy(order)))
     right = df.select(*keys, F.col(value).alias(f"shuffled_{value}"), F.row_number().over(w.orderBy(draw(F.col(order)), order)).alias("place"))
     return left.join(right, [*keys, "place"]).drop("place")
+
+
+def interval(draws: DataFrame, value: str, digits: int) -> DataFrame:
+    """Mean, central 95 % interval and share of draws at or below zero."""
+    at = lambda q: F.round(F.percentile(value, q), digits)
+    below = F.when(F.col(value) <= 0, 1.0).when(F.col(value).isNotNull(), 0.0).otherwise(0.0)
+    return draws.agg(
+        F.count(value).alias("draws"), F.round(F.avg(value), digits).alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"), F.round(F.avg(below), 4).alias("p")
+    )
+
+
+def balanced_accuracy(df: DataFrame, keys: Sequence[str], truth: str, guess: str) -> DataFrame:
+    """Rows, accuracy and the mean of each class's recall, by keys."""
+    hit = F.when(F.col(truth) == F.col(guess), 1.0).otherwise(0.0)
+    classes = df.groupBy(*keys, truth).agg(F.count("*").alias("n"), F.sum(hit).alias("hits"))
+    return classes.groupBy(*keys).agg(
+        F.sum("n").alias("n"), (F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg(F.col("hits") / F.col("n")).alias("balanced_accuracy")
+    )

@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
-from ladderwork.plans import boards, curves, evaluation, folds, gate, ingest, performance, reports, timeline  # noqa: E402, F401
+from ladderwork.plans import boards, careers, context, curves, evaluation, folds, gate, holdout, ingest, performance, reports, timeline, warehouse  # noqa: E402, F401
