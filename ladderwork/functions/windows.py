@@ -67,3 +67,16 @@ def running_max_before(df: DataFrame, value: str, bucket: str, order: Sequence[s
     inside = F.max(value).over(Window.partitionBy(bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     joined = df.withColumn("inside", inside).join(earlier, bucket)
     return joined.withColumn("max_before", F.greatest("inside", "earlier")).drop("inside", "earlier")
+
+
+def global_rank(df: DataFrame, value: str, name: str, width: float) -> DataFrame:
+    """Rank of all rows by descending value, equal values alike, without a window over all rows.
+
+    Values are cut into ranges of `width`; the few ranges' sizes shift the
+    ranks that are taken inside each range.
+    """
+    ranged = df.withColumn("_range", F.floor(F.col(value) / width))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    above = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.rank().over(Window.partitionBy("_range").orderBy(F.desc(value)))
+    return ranged.join(sizes.select("_range", above.alias("_above")), "_range").withColumn(name, (inside + F.col("_above")).cast("long")).drop("_range", "_above")

@@ -53,43 +53,66 @@ def assigned(curves: DataFrame, centres: list[list[float]]) -> DataFrame:
     return curves.withColumn("cluster", best["k"]).withColumn("distance", F.sqrt(best["d"]))
 
 
-def kmeans(curves: DataFrame, k: int, seed: int = 42, starts: int = 3, iterations: int = 12) -> list[list[float]]:
-    """Centres of least inertia over several starts; an empty cluster starts again from the farthest curve."""
-    curves = curves.cache()
-    ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(k * starts).collect()]
-    rows = {r.player_id: r.curve for r in curves.where(F.col("player_id").isin(ids)).collect()}
-    best, best_inertia = [], float("inf")
-    rng = random.Random(seed)
-    for start in range(starts):
-        picked = ids[start * k : (start + 1) * k] or rng.sample(ids, min(k, len(ids)))
-        centres, inertia = [rows[i] for i in picked], float("inf")
+def kmeans(curves: DataFrame, k: int, seed: int = 42, starts: int = 40, iterations: int = 150) -> list[list[float]]:
+    """Centres of least inertia over several starts, in order of their peaks.
+
+    All starts move in one job an iteration: curves meet the small table of
+    (start, cluster, centre), so only centres come back.  A start rests once
+    its inertia stands; an empty cluster starts again from the farthest curve.
+    """
+    spark = curves.sparkSession
+    curves = curves.persist()
+    try:
+        ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(k * starts).collect()]
+        rows = {r.player_id: r.curve for r in curves.where(F.col("player_id").isin(ids)).collect()}
+        rng = random.Random(seed)
+        centres = {s: [rows[i] for i in rng.sample(ids, min(k, len(ids)))] for s in range(starts)}
+        inertia, moving = dict.fromkeys(centres, float("inf")), set(centres)
         for _ in range(iterations):
-            now = assigned(curves, centres)
-            sums = now.select("cluster", (F.col("distance") ** 2).alias("d"), F.posexplode("curve").alias("i", "v"))
-            means = sums.groupBy("cluster", "i").agg(F.avg("v").alias("v"), F.sum("d").alias("d")).collect()
-            new = [list(c) for c in centres]
-            for r in means:
-                new[r.cluster][r.i] = r.v
-            empty = set(range(len(centres))) - {r.cluster for r in means}
-            for c in empty:
-                new[c] = now.orderBy(F.desc("distance"), "player_id").first().curve
-            total = sum(r.d for r in means if r.i == 0)
-            if not empty and abs(inertia - total) < 1e-9:
+            table = spark.createDataFrame([(s, c, centres[s][c]) for s in moving for c in range(len(centres[s]))], "start int, cluster int, centre array<double>")
+            near = curves.join(F.broadcast(table), F.lit(True)).withColumn("d", squared_distance(F.col("curve"), F.col("centre")))
+            best = near.groupBy("start", "player_id").agg(F.min(F.struct("d", "cluster")).alias("best"), F.first("curve").alias("curve"))
+            each = best.select("start", "player_id", "best.*", F.posexplode("curve").alias("i", "v"))
+            means = each.groupBy("start", "cluster", "i").agg(F.avg("v").alias("v"), F.sum("d").alias("d")).collect()
+            far = {r.start: r.far.player_id for r in best.groupBy("start").agg(F.max(F.struct("best.d", "player_id")).alias("far")).collect()} if _has_empty(means, centres, moving) else {}
+            for s in list(moving):
+                mine = [r for r in means if r.start == s]
+                new, seen = [list(c) for c in centres[s]], {r.cluster for r in mine}
+                for r in mine:
+                    new[r.cluster][r.i] = r.v
+                empty = set(range(len(new))) - seen
+                for c in empty:
+                    new[c] = curves.where(F.col("player_id") == far[s]).first().curve
+                total = sum(r.d for r in mine if r.i == 0)
+                if not empty and abs(inertia[s] - total) < 1e-9:
+                    moving.discard(s)
+                centres[s], inertia[s] = new, total
+            if not moving:
                 break
-            centres, inertia = new, total
-        if inertia < best_inertia:
-            best, best_inertia = centres, inertia
-    return sorted(best, key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
+        best_start = min(centres, key=lambda s: (inertia[s], s))
+        return sorted(centres[best_start], key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
+    finally:
+        curves.unpersist()
+
+
+def _has_empty(means: list, centres: dict[int, list], moving: set[int]) -> bool:
+    seen = {(r.start, r.cluster) for r in means}
+    return any((s, c) not in seen for s in moving for c in range(len(centres[s])))
 
 
-def silhouettes(labelled: DataFrame) -> DataFrame:
+def silhouettes(labelled: DataFrame, block: int = 256) -> DataFrame:
     """Exact Euclidean silhouette of every curve against all others.
 
-    Curves are dealt into blocks; a row holds one curve and one block, so no
-    pair becomes a row.  A cluster of one has inner distance 0.
+    Curves are dealt into blocks of bounded size; a row holds two blocks, so
+    no pair becomes a row.  A cluster of one has inner distance 0.
     """
-    blocks = labelled.groupBy(F.pmod(F.xxhash64("player_id"), F.lit(16)).alias("block")).agg(F.collect_list(F.struct("player_id", "cluster", "curve")).alias("others"))
-    rows = labelled.select("player_id", "cluster", "curve").join(blocks)
+    blocks = max(1, -(-labelled.count() // block))
+    own = labelled.select(F.pmod(F.xxhash64("player_id"), F.lit(blocks)).alias("own"), F.struct("player_id", "cluster", "curve").alias("m"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    left = dealt.select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("m").alias("x"), F.lit(None).cast(dealt.schema["m"].dataType).alias("y"))
+    right = dealt.select(F.col("other").alias("a"), F.col("own").alias("b"), F.lit(None).cast(dealt.schema["m"].dataType).alias("x"), F.col("m").alias("y"))
+    held = left.unionByName(right).groupBy("a", "b").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("others"))
+    rows = held.select(F.explode("xs").alias("x"), "others").select("x.*", "others")
     other = F.transform(
         F.filter("others", lambda o: o["player_id"] != F.col("player_id")),
         lambda o: F.struct(o["cluster"].alias("c"), F.sqrt(squared_distance(F.col("curve"), o["curve"])).alias("d")),

@@ -3,8 +3,9 @@
 Ratings depend on all earlier games, so one variant is one sequence.  All that
 needs no rating (performance, shares, steps) is computed before by
 DataFrame operations; the fold streams the sorted rows of a variant through
-one task in Arrow batches and holds only the players' ratings.  Variants run
-in parallel, one task each.
+one task in Arrow batches and holds only the players' ratings.  The features
+are made once for all variants; each variant is dealt to a task of its own by
+its number.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladderwork.operators.performance import with_steps
+from ladderwork.operators.performance import step_size, with_games_before
 from ladderwork.schema import UPDATE_SCHEMA, RatingParams
 
 _COLUMNS = [c.split()[0] for c in UPDATE_SCHEMA.split(", ")]
@@ -110,29 +111,28 @@ def rating_updates(rows: DataFrame, params: list[RatingParams], state: DataFrame
     must have two teams.  state: player_id, rating, games_played to resume
     from.  reverse: games from last to first, players inside a game as ever.
     """
-    spark: SparkSession = rows.sparkSession
     by_name = {p.variant: p for p in params}
     if len(by_name) != len(params):
         raise ValueError("variants need different names")
-    parts = []
-    for p in params:
-        one = rows
-        seed = F.lit(0)
-        start = F.lit(p.init_value)
-        if "start_rating" in rows.columns:
-            start = F.coalesce("start_rating", start)
-        if state is not None:
-            given = state.select("player_id", F.col("rating").alias("given_rating"), F.col("games_played").alias("given_games"))
-            one = one.join(given, "player_id", "left")
-            seed, start = F.coalesce("given_games", F.lit(0)), F.coalesce("given_rating", start)
-        one = one.withColumn("start_rating", start)
-        one = with_steps(one, p, seed, reverse)
-        parts.append(one.withColumn("variant", F.lit(p.variant)).select(*_INPUT))
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    seed, start = F.lit(0), None
+    if "start_rating" in rows.columns:
+        start = F.col("start_rating")
+    if state is not None:
+        given = state.select("player_id", F.col("rating").alias("given_rating"), F.col("games_played").alias("given_games"))
+        rows = rows.join(given, "player_id", "left")
+        seed = F.coalesce("given_games", F.lit(0))
+        start = F.col("given_rating") if start is None else F.coalesce("given_rating", start)
+    rows = with_games_before(rows, seed, reverse)
+
+    def variant(number: int, p: RatingParams) -> Column:
+        first = F.lit(p.init_value) if start is None else F.coalesce(start, F.lit(p.init_value))
+        return F.struct(F.lit(number).alias("number"), F.lit(p.variant).alias("variant"), first.alias("start_rating"), step_size(p).alias("k_eff"))
+
+    each = F.explode(F.array(*[variant(i, p) for i, p in enumerate(params)])).alias("v")
+    shared = [c for c in _INPUT if c not in ("variant", "start_rating", "k_eff")]
+    every = rows.select(*shared, each).select("v.*", *shared).select("number", *_INPUT)
     order = [F.desc(c) if reverse else F.asc(c) for c in ("game_date", "game_id")]
-    dealt = union.repartition(len(params), "variant").sortWithinPartitions("variant", *order, "player_id")
+    dealt = every.repartitionById(len(params), F.col("number")).drop("number").sortWithinPartitions(*order, "player_id")
     return dealt.mapInPandas(lambda batches: _fold(by_name, batches, reverse), UPDATE_SCHEMA)
 
 

@@ -57,15 +57,24 @@ def with_performance(rows: DataFrame, p: PerformanceParams = PerformanceParams()
     return out.withColumn("perf", F.when(seen, blend).otherwise(F.col("z_score")))
 
 
-def with_steps(rows: DataFrame, p: RatingParams, seed_games: Column | int = 0, reverse: bool = False) -> DataFrame:
-    """games_before and k_eff: games played need no fold, they are a row number."""
+def with_games_before(rows: DataFrame, seed_games: Column | int = 0, reverse: bool = False) -> DataFrame:
+    """games_before: games played need no fold, they are a row number."""
     order = ["game_date", "game_id"]
     order = [F.desc(c) for c in order] if reverse else order
     before = F.row_number().over(Window.partitionBy("player_id").orderBy(*order)) - 1
     seed = F.lit(seed_games) if isinstance(seed_games, int) else seed_games
-    out = rows.withColumn("games_before", (before + seed).cast("long"))
+    return rows.withColumn("games_before", (before + seed).cast("long"))
+
+
+def step_size(p: RatingParams) -> Column:
+    """k_eff of a row with games_before and track."""
     k = k_effective(p.k, F.col("games_before"), p.rookie_boost, p.rookie_tau)
-    return out.withColumn("k_eff", F.when(F.col("track") == "playoffs", k * p.playoff_multiplier).otherwise(k))
+    return F.when(F.col("track") == "playoffs", k * p.playoff_multiplier).otherwise(k)
+
+
+def with_steps(rows: DataFrame, p: RatingParams, seed_games: Column | int = 0, reverse: bool = False) -> DataFrame:
+    """games_before and k_eff."""
+    return with_games_before(rows, seed_games, reverse).withColumn("k_eff", step_size(p))
 
 
 def draft_start(picks: DataFrame, first: float = 1580.0, slope: float = 5.0, floor: float = 1350.0) -> DataFrame:

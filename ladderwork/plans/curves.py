@@ -71,8 +71,8 @@ def k_selection(spark, sf):
     """Mean silhouette for several k."""
     rows = all_curves(spark, sf)
     out = None
-    for k in (2, 3, 4):
-        s = curves.silhouettes(curves.assigned(rows, curves.kmeans(rows, k, starts=1, iterations=6)))
+    for k in (3, 4, 5, 6):
+        s = curves.silhouettes(curves.assigned(rows, curves.kmeans(rows, k)))
         one = s.agg(F.lit(k).alias("k"), F.round(F.avg("silhouette"), 5).alias("mean_silhouette"))
         out = one if out is None else out.unionByName(one)
     return out

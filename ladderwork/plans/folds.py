@@ -102,7 +102,7 @@ def rating_theta(spark, sf):
 )
 def rating_draft_start(spark, sf):
     start = performance.draft_start(picks(spark, sf)).select("player_id", "start_rating")
-    return final(fold.rating_updates(performed(spark, sf).join(F.broadcast(start), "player_id", "left"), [BASE]))
+    return final(fold.rating_updates(performed(spark, sf).join(start, "player_id", "left"), [BASE]))
 
 
 @query(state_sql() + FINAL)
@@ -121,7 +121,7 @@ def rating_resume(spark, sf):
     )
 )
 def rating_grid(spark, sf):
-    """Parameter sets as variants: one task each, one pass over the shared features."""
+    """Parameter sets as variants: a task each, one scan and one set of features for all."""
     grid = [replace(BASE, variant=f"k={k}", k=float(k)) for k in (20, 45)]
     state = fold.checkpoint(fold.rating_updates(performed(spark, sf), grid))
     return state.groupBy("variant").agg(F.count("*").alias("players"), F.round(F.avg("rating"), 4).alias("mean"), F.round(F.max("rating"), 4).alias("top"))
@@ -170,7 +170,8 @@ def rating_log_checks(spark, sf):
 
 @query(f"WITH {CLEAN_SQL} SELECT track, season, count(*) AS updates, count(DISTINCT game_id) AS games FROM clean GROUP BY ALL")
 def event_counts(spark, sf):
-    return fold.rating_updates(performed(spark, sf), [BASE]).groupBy("track", "season").agg(F.count("*").alias("updates"), F.countDistinct("game_id").alias("games"))
+    """A clean row is an update, so the counts need no fold."""
+    return arena.clean(spark, sf).groupBy("track", "season").agg(F.count("*").alias("updates"), F.countDistinct("game_id").alias("games"))
 
 
 @query()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions.scalar import all_star_cutoff
-from ladderwork.functions.windows import latest
+from ladderwork.functions.windows import global_rank, latest
 from ladderwork.operators import fold
 from ladderwork.plans.folds import BASE
 from ladderwork.plans.performance import PERF_SQL, performed
@@ -157,8 +157,8 @@ SELECT player_id, rank() OVER (ORDER BY round(rating_after, 6) DESC) AS place, r
 """)
 def rank_as_of(spark, sf):
     state = as_of(events(spark, sf), F.lit("1997-03-15").cast("date"))
-    place = F.rank().over(Window.partitionBy("variant").orderBy(F.round("rating_after", 6).desc())).cast("long")
-    return state.select("player_id", place.alias("place"), F.round("rating_after", 4).alias("rating"))
+    ranked = global_rank(state.withColumn("shown", F.round("rating_after", 6)), "shown", "place", 5.0)
+    return ranked.select("player_id", "place", F.round("rating_after", 4).alias("rating"))
 
 
 @query(f"""
