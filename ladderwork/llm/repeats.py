@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderwork.llm import textscan
-from ladderwork.llm.common import maybe_broadcast, written
+from ladderwork.llm.common import written
 
 _ENTRY = struct.Struct("<HHHI")
 _OWNER = np.dtype([("row", "<i8"), ("begin", "<i8")])
@@ -62,8 +62,12 @@ class RepeatParams:
     range_entries: int = 12_000
     #: suffixes that are resolved at once, about
     merged_entries: int = 8_000
-    #: occurrences from which a core's strings are counted by hash
-    hot_core: int = 2_000
+    #: occurrences from which a core's strings are counted by hash; bounds what is resolved at once
+    hot_core: int = 100_000
+    #: bits by which rows without repeats are told before their texts travel; 64 make a broadcast row
+    filter_bits: int = 1 << 27
+    #: cores that take more than one in so many anchors are told by broadcast; there are fewer than that
+    frequent: int = 50_000
 
 
 def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
@@ -420,18 +424,42 @@ def _listed(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame]:
     """Marked rows, and by row the anchors (their numbers) whose core occurs twice: `cool`, or `hot`."""
     marked = written(_marked(docs, p), "marked-texts")
     again = marked.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
-    each = marked.select("row", F.posexplode("core").alias("k", "core")).join(again, "core")
+    again = written(again, "repeated-cores")
+    share = (again.agg(F.sum("n")).first()[0] or 0) / p.frequent
+    often = F.broadcast(again.where(F.col("n") > share))
+    here = marked.select("row", F.posexplode("core").alias("k", "core"))
+    rare = here.join(often, "core", "left_anti").join(again.where(F.col("n") <= share), "core")
+    each = here.join(often, "core").unionByName(rare)
     cool = F.col("n") <= p.hot_core
     places = each.groupBy("row").agg(F.collect_list(F.when(cool, F.col("k"))).alias("cool"), F.collect_list(F.when(~cool, F.col("k"))).alias("hot"))
     return marked, written(places, "repeat-places")
 
 
+def _sifted(marked: DataFrame, rows: DataFrame, p: RepeatParams, passing: bool = True) -> DataFrame:
+    """Rows of marked that may (or that cannot) be among `rows`, before a join moves their texts.
+
+    A filter of `filter_bits` bits, one hash: its size is bounded whatever the
+    data, and on very large ones it lets more rows through.
+    """
+    pos = F.pmod(F.xxhash64("row"), F.lit(p.filter_bits))
+    bit = F.expr("shiftleft(1L, cast(pos & 63 AS int))")
+    words = rows.select(pos.alias("pos")).groupBy(F.expr("shiftright(pos, 6)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    both = marked.withColumn("pos", pos).withColumn("word", F.expr("shiftright(pos, 6)"))
+    there = F.coalesce(F.col("bits").bitwiseAND(bit), F.lit(0)) != 0
+    return both.join(F.broadcast(words), "word", "left").where(there if passing else ~there).drop("pos", "word", "bits")
+
+
 def _spans(marked: DataFrame, places: DataFrame, p: RepeatParams) -> DataFrame:
     """row and spans (a flat array of starts and ends) of what goes."""
-    total = places.agg(F.sum(F.size("cool"))).first()[0] or 0
+    total, hot = places.agg(F.coalesce(F.sum(F.size("cool")), F.lit(0)), F.coalesce(F.sum(F.size("hot")), F.lit(0))).first()
     ranges = max(1, -(-total // p.range_entries))
-    wanted = marked.join(maybe_broadcast(places, F.size("cool") + F.size("hot")), "row")
-    found = _merged(_runs(wanted, ranges, p), p).unionByName(_counted(wanted.where(F.size("hot") > 0), p))
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return _sifted(marked, rows.select("row"), p).join(rows, "row")
+
+    found = _merged(_runs(wanted(places), ranges, p), p)
+    if hot:
+        found = found.unionByName(_counted(wanted(places.where(F.size("hot") > 0)), p))
     return written(found.groupBy("row").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans")), "repeat-spans")
 
 
@@ -461,5 +489,8 @@ def without_repeats(docs: DataFrame, p: RepeatParams = RepeatParams()) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = marked.select("row", "doc_id", "text").join(maybe_broadcast(spans, F.size("spans")), "row", "left").select("doc_id", "text", "spans")
+    texts = marked.select("row", "doc_id", "text")
+    some = _sifted(texts, spans.select("row"), p).join(spans, "row", "left").select("doc_id", "text", "spans")
+    none = _sifted(texts, spans.select("row"), p, passing=False).select("doc_id", "text", F.lit(None).cast("array<long>").alias("spans"))
+    joined = some.unionByName(none)
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
