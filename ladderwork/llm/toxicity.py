@@ -28,7 +28,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import exp, expm1, log, log1p, log2, sqrt
+from math import exp, expm1, log, log1p, sqrt
 
 import pandas as pd
 import pyarrow as pa
@@ -89,6 +89,8 @@ class ToxicityParams:
     confidence: float = 1.64
     #: least log-odds of an entry at the lower end of its interval
     min_weight: float = 1.5
+    #: log-odds by which a beginning has to exceed the longer entries that it stands for
+    margin: float = 0.25
     #: share of a class that is added to a count of it
     smooth: float = 0.0005
     #: share of the clean training texts that hold a phrase before it is an exception, and two of them
@@ -147,7 +149,21 @@ def _sum(text: str, machine) -> tuple[float, int]:
 
 
 def normalised(total: float, n_words: int) -> float:
-    return total / log2(2 + n_words)
+    """The sum, less by the logarithm of the length: one insult weighs about as much in 10 words as in 300."""
+    return total / (1 + log1p(n_words / 1000))
+
+
+def _chosen(weights: dict[str, float], p: ToxicityParams) -> dict[str, float]:
+    """One entry of each chain of beginnings: a shorter one only where it is better by a margin."""
+    kept: dict[str, float] = {}
+    best: dict[str, float] = {}
+    for entry in sorted(weights, key=lambda e: (-len(e), e)):
+        if entry not in best or weights[entry] > best[entry] + p.margin:
+            kept[entry] = weights[entry]
+            for n in p.beginnings:
+                if n + 1 < len(entry.rstrip()):
+                    best[entry[: n + 1]] = max(best.get(entry[: n + 1], 0.0), weights[entry])
+    return {e: w for e, w in kept.items() if not any(e[: n + 1] in kept for n in p.beginnings if n + 1 < len(e.rstrip()))}
 
 
 def _summed(rows: DataFrame, features, p: ToxicityParams) -> DataFrame:
@@ -176,7 +192,9 @@ def _summed(rows: DataFrame, features, p: ToxicityParams) -> DataFrame:
 
 def _odds(mine: int, of: int, others: int, of_others: int, p: ToxicityParams) -> float:
     """Log-odds of a feature in one class against the other, at the lower end of its interval."""
-    ours, theirs = mine / of + p.smooth, others / of_others + p.smooth
+    if not mine:
+        return float("-inf")
+    ours, theirs = mine / of, (others + 0.5) / of_others + p.smooth
     return log(ours / theirs) - p.confidence * sqrt(1 / (mine + 0.5) + 1 / (others + 0.5))
 
 
@@ -239,8 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams
         low = _odds(r.t, toxic_n, r.c, clean_n, p)
         if low >= p.min_weight:
             weights[r.feature] = round(low, 6)
-    # an entry whose own beginning is an entry adds nothing
-    weights = {f: w for f, w in weights.items() if not any(f[: n + 1] in weights for n in p.beginnings if n + 1 < len(f.rstrip()))}
+    weights = _chosen(weights, p)
     exceptions = _exceptions(rows, weights, toxic_n, clean_n, p)
     known = Lexicon(weights, exceptions, 0.0, 0.0)
 
