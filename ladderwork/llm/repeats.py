@@ -416,8 +416,21 @@ def _counted(docs: DataFrame, p: RepeatParams) -> DataFrame:
     bodies = owned.where("body is not null").dropDuplicates(["e1", "e2"]).select("e1", "e2", "body")
     told = written(bodies.join(many, ["e1", "e2"]).mapInPandas(strings, "e1 long, e2 long, h1 long, h2 long, offset int, n long"), "hot-strings")
     twice = told.groupBy("h1", "h2").agg(F.sum("n").alias("all")).where("all > 1").select("h1", "h2")
-    where = told.join(twice, ["h1", "h2"]).groupBy("e1", "e2").agg(F.collect_list("offset").alias("offsets"))
-    return owned.join(where, ["e1", "e2"]).select("row", "begin", "offsets").mapInPandas(spans, SPANS)
+    where = told.join(twice, ["h1", "h2"]).groupBy("e1", "e2").agg(F.collect_list("offset").alias("offsets"), F.max("n").alias("n"))
+    where = written(where, "hot-places")
+    return _spread_join(owned.drop("body", "left"), where, ["e1", "e2"], p).select("row", "begin", "offsets").mapInPandas(spans, SPANS)
+
+
+def _spread_join(rows: DataFrame, table: DataFrame, on: list[str], p: RepeatParams) -> DataFrame:
+    """rows joined with a table of one row a key that tells how often rows have it (n).
+
+    Keys with more than one in `frequent` of all rows, fewer than `frequent`
+    of them, are joined by broadcast, so that no task gets all rows of one.
+    """
+    share = (table.agg(F.sum("n")).first()[0] or 0) / p.frequent
+    often = F.broadcast(table.where(F.col("n") > share))
+    rare = rows.join(often.select(*on), on, "left_anti").join(table.where(F.col("n") <= share), on)
+    return rows.join(often, on).unionByName(rare)
 
 
 def _listed(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame]:
@@ -425,11 +438,8 @@ def _listed(docs: DataFrame, p: RepeatParams) -> tuple[DataFrame, DataFrame]:
     marked = written(_marked(docs, p), "marked-texts")
     again = marked.select(F.explode("core").alias("core")).groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
     again = written(again, "repeated-cores")
-    share = (again.agg(F.sum("n")).first()[0] or 0) / p.frequent
-    often = F.broadcast(again.where(F.col("n") > share))
     here = marked.select("row", F.posexplode("core").alias("k", "core"))
-    rare = here.join(often, "core", "left_anti").join(again.where(F.col("n") <= share), "core")
-    each = here.join(often, "core").unionByName(rare)
+    each = _spread_join(here, again, ["core"], p)
     cool = F.col("n") <= p.hot_core
     places = each.groupBy("row").agg(F.collect_list(F.when(cool, F.col("k"))).alias("cool"), F.collect_list(F.when(~cool, F.col("k"))).alias("hot"))
     return marked, written(places, "repeat-places")
