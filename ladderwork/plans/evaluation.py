@@ -217,16 +217,10 @@ LEFT JOIN firsts f ON f.player_id = e.player_id AND f.season = e.season LEFT JOI
 """
 
 
-@query(f"""
-WITH {EVENTS_SQL}, firsts AS (SELECT player_id, min(season) AS season FROM ev WHERE game_id % 7 = 3 GROUP BY 1), lasts AS (SELECT DISTINCT season, player_id FROM ev WHERE game_id % 7 = 3)
-SELECT e.season, count(*) AS players, count(*) FILTER (f.player_id IS NOT NULL) AS entries, count(*) FILTER (n.player_id IS NULL) AS exits,
-  round(median(e.rating_after) FILTER (n.player_id IS NULL), 4) AS exit_median, round(quantile_cont(e.rating_after, 0.25) FILTER (n.player_id IS NULL), 4) AS exit_q25
-FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, player_id ORDER BY game_date DESC, game_id DESC) AS k2 FROM ev WHERE game_id % 7 = 3) WHERE k2 = 1) e
-LEFT JOIN firsts f ON f.player_id = e.player_id AND f.season = e.season LEFT JOIN lasts n ON n.player_id = e.player_id AND n.season = e.season + 1 GROUP BY e.season
-""")
+@query(ENTRY_EXIT_SQL)
 def entry_exit(spark, sf):
-    """One event in seven, so that some players are absent for a season; entry_exit_all has all events."""
-    return entries_exits(events(spark, sf).where("game_id % 7 = 3"))
+    """Entries and exits of every season; absent players are tested on a small table."""
+    return entries_exits(events(spark, sf))
 
 
 @query(ENTRY_EXIT_SQL)
