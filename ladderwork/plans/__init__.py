@@ -1 +1,3 @@
 """Part of the engine; see README.md."""
+
+from ladderwork.plans import boards, careers, context, curves, evaluation, fold_results, folds, gate, holdout, ingest, performance, reports, timeline, warehouse  # noqa: F401

@@ -23,6 +23,3 @@ def query(sql: str | None = None, name: str | None = None):
         return f
 
     return add
-
-
-from ladderwork.plans import boards, careers, context, curves, evaluation, folds, gate, holdout, ingest, performance, reports, timeline, warehouse  # noqa: E402, F401

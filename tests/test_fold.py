@@ -137,3 +137,35 @@ def test_performance_of_a_hand_made_game(spark):
     assert out[1].game_score == pytest.approx(20 + 0.4 * 8 - 0.7 * 15 + 2.5 + 1 - 0.8)
     assert out[1].perf == pytest.approx(out[1].z_score) and out[1].on_court is None
     assert out[1].perf + out[2].perf == pytest.approx(0.0)
+
+
+def test_results_on_the_log_equal_pandas(spark, sf):
+    """Metrics, snapshots, lifts and as-of states of the fold's log, recomputed row by row."""
+    import numpy as np
+    import pandas as pd
+
+    from ladderwork.plans import fold_results
+    from ladderwork.plans.registry import QUERIES
+
+    log = fold_results.log_of(spark, sf, [fold_results.BASE, *fold_results.VARIANTS]).toPandas()
+    base = log[log.variant == "base"].sort_values(["game_date", "game_id"])
+    last = base.groupby(["season", "player_id"]).rating_after.last()
+    first = base.groupby(["season", "player_id"]).perf.apply(lambda x: x.head(10).mean() if len(x) >= 5 else np.nan).dropna()
+    got = {r.boundary: r for r in QUERIES["rating_cv_metrics"](spark, sf).collect()}
+    for season in {s for s, _ in last.index}:
+        rows = [(last[season, p], first[season + 1, p]) for s, p in last.index if s == season and (season + 1, p) in first.index]
+        if not rows:
+            assert season not in got
+            continue
+        x, y = (np.array(v) for v in zip(*rows))
+        assert got[season].n == len(rows) and got[season].mse == pytest.approx(np.mean(((x - x.mean()) / 200 - y) ** 2), abs=1e-5)
+    day = pd.to_datetime(base.game_date).dt.normalize()
+    then = base[day <= "1997-03-15"].groupby("player_id").rating_after.last()
+    assert {r.player_id: r.rating for r in QUERIES["rating_as_of"](spark, sf).collect()} == pytest.approx(then.to_dict(), abs=1e-3)
+    peaks = log.groupby(["player_id", "variant"]).rating_after.max()
+    for r in QUERIES["rating_pk_lift"](spark, sf).collect():
+        assert (r.pk0, r.pk2) == pytest.approx((peaks[r.player_id, "pk0"], peaks[r.player_id, "pk2"]), abs=1e-3)
+    seen = base[day <= pd.to_datetime((base.season + 1).astype(str) + "-02-01")].groupby(["season", "player_id"]).rating_after.last()
+    for r in QUERIES["rating_feb1_top"](spark, sf).collect():
+        assert r.rating == pytest.approx(seen[r.season, r.player_id], abs=1e-3)
+        assert r.place == 1 + (seen[r.season].round(6) > round(seen[r.season, r.player_id], 6)).sum()

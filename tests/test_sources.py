@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ladderwork.functions import scalar
 from ladderwork.operators import curves
-from ladderwork.plans import registry  # noqa: F401  (imports the plans in their order)
 from ladderwork.plans import folds
 from ladderwork.plans.curves import all_curves
 from ladderwork.schema import CHECKPOINT_SCHEMA
