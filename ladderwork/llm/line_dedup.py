@@ -179,22 +179,24 @@ def _verified(pairs: DataFrame, classes: DataFrame, p: LineDedupParams) -> DataF
 def line_components(classes: DataFrame, p: LineDedupParams) -> DataFrame:
     """(id, component) of every class that is linked with another."""
     marks = written(signed(classes, p), "line-signatures")
-    members = marks.select("line", "sketch", F.explode("buckets").alias("bucket"))
+    sketches = marks.select("line", "sketch")
+    members = marks.select("line", F.explode("buckets").alias("bucket"))  # two longs a row travel
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(members.join(sizes, "bucket"), "line-buckets")
     weight = shared.groupBy("line").agg(F.sum("n").alias("w"))
-    top = F.max_by(F.struct("line", "sketch"), F.struct("w", "line"))
-    pivot = shared.join(weight, "line").groupBy("bucket").agg(top.alias("pivot"))
-    met = shared.join(pivot, "bucket").where("line <> pivot.line").where(F.expr(_near("sketch", "pivot.sketch", p)))
-    first = written(met.select(F.col("pivot.line").alias("a"), F.col("line").alias("b")).distinct(), "line-pairs")
+    pivot = shared.join(weight, "line").groupBy("bucket").agg(F.max_by("line", F.struct("w", "line")).alias("a"))
+    met = shared.join(pivot, "bucket").where("line <> a").select("a", F.col("line").alias("b")).distinct()
+    left, right = (sketches.select(F.col("line").alias(c), F.col("sketch").alias(f"{c}_sketch")) for c in ("a", "b"))
+    first = met.join(right, "b").join(left, "a").where(F.expr(_near("a_sketch", "b_sketch", p))).select("a", "b")
+    first = written(first, "line-pairs")
     links = written(_verified(first, classes, p), "line-links")
     found = written(components(links, "line-components"), "line-placed")
     placed = (
         shared.where("n > 2").join(found, shared["line"] == found["id"], "left")
-        .select("bucket", "n", "line", "sketch", F.coalesce("component", "line").alias("comp"))
+        .select("bucket", "n", "line", F.coalesce("component", "line").alias("comp"))
     )
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = _with_mates(placed.join(open_, "bucket"), p)
+    rest = _with_mates(placed.join(open_, "bucket").join(sketches, "line"), p)
     more = _component_links(rest, classes, p)
     tied = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     return components(tied.unionByName(more), "line-components")
