@@ -40,6 +40,7 @@ from ladderwork.llm import textscan
 from ladderwork.llm.common import given_id, null_id, written
 
 END = np.uint64(0x51AB_7E0F_11D3_C0DE)
+CLASS_BITS = 16
 BLOCKS = "block long, doc_ids binary, at binary, held binary, words binary, endings binary, codes binary"
 
 
@@ -128,11 +129,17 @@ def _token_mask(at: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.repeat(~held, np.diff(at))
 
 
-def _arrays(row) -> tuple[np.ndarray, ...]:
+def _places(row) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins and ends among the tokens, and the tokens."""
     at, codes = np.frombuffer(row.at, np.int64), zstandard.decompress(row.codes)
+    return at, np.frombuffer(codes, np.uint16 if len(codes) == 2 * at[-1] else np.uint32)
+
+
+def _arrays(row) -> tuple[np.ndarray, ...]:
+    at, codes = _places(row)
     return (
         np.frombuffer(row.doc_ids, np.int64), at, np.frombuffer(row.held, bool), np.frombuffer(row.words, np.uint64),
-        np.frombuffer(row.endings, np.uint16), np.frombuffer(codes, np.uint16 if len(codes) == 2 * at[-1] else np.uint32),
+        np.frombuffer(row.endings, np.uint16), codes,
     )
 
 
@@ -161,6 +168,14 @@ def corpus_counts(words: DataFrame) -> DataFrame:
     return words.where("n > 0").groupBy("word", "ending").agg(F.sum("n").alias("count"))
 
 
+def _classed(counts: DataFrame, model: Model, p: HiddenMarkovParams) -> DataFrame:
+    """word and, in one number, its count and its class; the words with own classes are a bounded list."""
+    own = counts.sparkSession.createDataFrame([(int(w), k) for k, w in enumerate(model.own.view(np.int64))], "word long, own long")
+    own_class = F.coalesce("own", F.col("ending") + p.own_classes)
+    told = F.shiftleft("count", CLASS_BITS) + own_class
+    return counts.join(F.broadcast(own), "word", "left").select("word", told.alias("told"))
+
+
 def _frame(counts: DataFrame, p: HiddenMarkovParams) -> tuple[Model, int]:
     """A model without trained states; the frequent words are a bounded list."""
     v, n = counts.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
@@ -387,18 +402,20 @@ def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> Dat
     model, train_tokens = _frame(counts, p)
     if train_tokens:
         model = baum_welch(blocks, _seeded(docs, model, p), p)
-    told = words.select("block", "place", "word").join(counts.select("word", "count"), "word")
-    back = told.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("count").alias("counts"))
+    told = words.select("block", "place", "word").join(_classed(counts, model, p), "word")
+    back = told.groupBy("block").agg(F.collect_list("place").alias("places"), F.collect_list("told").alias("told"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                ids, at, held, words, endings, codes = _arrays(row)
-                count = np.zeros(len(words), dtype=np.int64)
+                ids, held = np.frombuffer(row.doc_ids, np.int64), np.frombuffer(row.held, bool)
+                at, codes = _places(row)
+                here = np.zeros(int(codes.max()) + 1, dtype=np.int64)
                 if row.places is not None:
-                    count[np.asarray(row.places)] = np.asarray(row.counts)
+                    here[np.asarray(row.places)] = np.asarray(row.told)
+                count = here >> CLASS_BITS
                 known = count > 0
-                classes = np.where(known, _classes(words, endings, model, p), model.emit.shape[1] - 1)
+                classes = np.where(known, here & (2**CLASS_BITS - 1), model.emit.shape[1] - 1)
                 base = np.log10(count + 1.0)
                 inside = np.where(known, base - np.append(model.within, 0.0)[classes], 0.0)
                 first = at[:-1]
@@ -414,7 +431,8 @@ def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> Dat
                     }
                 )
 
-    out = blocks.join(back, "block", "left").mapInPandas(
+    tokens = blocks.select("block", "doc_ids", "at", "held", "codes")
+    out = tokens.join(back, "block", "left").mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
     return out.select(
