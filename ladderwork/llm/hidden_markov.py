@@ -52,8 +52,10 @@ class HiddenMarkovParams:
     ending_classes: int = 1024
     #: tokens of a text that one step of the vectorised recursion covers; does not change the result
     stretch: int = 256
+    #: stretches that are held at once; bounds a task's memory
+    side_by_side: int = 384
     #: tokens in a block, about; bounds a task's memory
-    block_tokens: int = 600_000
+    block_tokens: int = 500_000
     #: distinct training texts, of least hash, from which the states start
     seed_texts: int = 256
     seed: int = 3
@@ -97,7 +99,7 @@ def token_blocks(docs: DataFrame, p: HiddenMarkovParams) -> DataFrame:
         for batch in batches:
             texts = [textscan.as_bytes(t) for t in batch["text"]]
             some_ids, some_held = batch["doc_id"].tolist(), batch["held"].tolist()
-            for a, b in textscan.chunks(texts):
+            for a, b in textscan.chunks(texts, 1 << 18):
                 h, e, n = _tokens(texts[a:b])
                 hashes.append(h)
                 endings.append(e)
@@ -261,8 +263,8 @@ def _stretched(classes: np.ndarray, at: np.ndarray, model: Model, p: HiddenMarko
         ends[heads] = _unit(_carried(x, begin[heads] + 1, size[heads] - 1, classes, model)[:, 0])
         later = np.flatnonzero(k > 0)
         step = np.empty((len(text), p.states, p.states))
-        for a in range(0, len(later), 2048):
-            i = later[a : a + 2048]
+        for a in range(0, len(later), p.side_by_side):
+            i = later[a : a + p.side_by_side]
             step[i] = _carried(np.tile(np.eye(p.states), (len(i), 1, 1)), begin[i], size[i], classes, model)
         by_k = np.argsort(k[later], kind="stable")
         groups = np.split(later[by_k], np.flatnonzero(np.diff(k[later][by_k])) + 1)
@@ -281,8 +283,8 @@ def _expected(classes: np.ndarray, at: np.ndarray, model: Model, p: HiddenMarkov
     order = np.argsort(-sizes, kind="stable")
     emit = np.ascontiguousarray(model.emit.T)
     first, move, out = np.zeros(s), np.zeros((s, s)), np.zeros((s, model.emit.shape[1]))
-    for a in range(0, len(order), 1024):
-        i = order[a : a + 1024]
+    for a in range(0, len(order), p.side_by_side):
+        i = order[a : a + p.side_by_side]
         begin, size, head = begins[i], sizes[i], firsts[i]
         steps = int(size[0])
         active = [int(np.searchsorted(-size, -t, side="left")) for t in range(steps)] + [0]
