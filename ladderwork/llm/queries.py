@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladderwork.llm import decontamination, extraction, fingerprints, hidden_markov, lexical, line_dedup, manifest, near_duplicates, packing, repeats, toxicity, warc
+from ladderwork.llm import decontamination, embeddings, extraction, fingerprints, hidden_markov, lexical, line_dedup, manifest, near_duplicates, packing, repeats, toxicity, warc
 from ladderwork.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), near_duplicates.OP10)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -69,12 +73,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeated_spans": op8_repeated_spans,
     "op9_hidden_markov": op9_hidden_markov,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
     "op12_lexical_search": op12_lexical_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
+    "op11_embedding_near_dedup": embeddings.ORACLE_SQL,
     "op12_lexical_search": lexical.ORACLE_SQL,
     "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
