@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions.scalar import clip, correlation_p
+from ladderwork.functions.selection import weighted_quantiles  # noqa: F401  a statistic like the others
 from ladderwork.functions.windows import average_rank
 
 
@@ -17,15 +18,6 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.when(total != 0, F.sum(value * weight) / F.nullif(total, F.lit(0.0))).otherwise(F.avg(value))
 
 
-def weighted_quantiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, points: dict[str, float]) -> DataFrame:
-    """Smallest value whose running weight reaches the share of the total."""
-    w = Window.partitionBy(*keys)
-    running = F.sum(weight).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    marked = df.where(F.col(weight) > 0).withColumn("running", running).withColumn("total", F.sum(weight).over(w))
-    aggs = [F.min(F.when(F.col("running") >= q * F.col("total"), F.col(value))).alias(name) for name, q in points.items()]
-    return marked.groupBy(*keys).agg(*aggs)
-
-
 def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """r and its p; NULL under three pairs or without spread."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -13,6 +13,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderwork.functions import selection
 from ladderwork.functions.windows import centred_mean
 
 POINTS = 41
@@ -139,6 +140,5 @@ def _by_cluster(other: Column) -> Column:
 def bands(labelled: DataFrame) -> DataFrame:
     """Quartiles of the curves of each cluster at each place."""
     rows = labelled.select("cluster", F.posexplode("curve").alias("place", "v"))
-    return rows.groupBy("cluster", "place").agg(
-        F.count("*").alias("n"), F.percentile("v", 0.25).alias("q25"), F.median("v").alias("q50"), F.percentile("v", 0.75).alias("q75")
-    )
+    out = selection.described(rows, ["cluster", "place"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return out.select("cluster", "place", "n", "q25", "q50", "q75")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladderwork.functions import scalar, stats
+from ladderwork.functions import scalar, selection, stats
 from ladderwork.functions.windows import centred_mean
-from ladderwork.operators import curves
+from ladderwork.operators import curves, dominance
 from ladderwork.plans.curves import ASSIGN_SQL, CENTRES, CURVE_SQL, all_curves
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events
@@ -61,30 +61,52 @@ def career_eligibility(spark, sf):
     return meta.select("player_id", "games", "seasons", F.round("age", 4).alias("age"), completed.alias("completed"), late.alias("late_active"), eligible.alias("eligible"))
 
 
-@query(f"""
+_PEAK_RANK = f"""
 WITH {EVENTS_SQL},
 d AS (SELECT season, player_id, CAST(game_date AS DATE) AS day, arg_max(rating_after, struct_pack(t := game_date, g := game_id)) AS rating FROM ev GROUP BY ALL),
 v AS (SELECT *, lead(day) OVER (PARTITION BY season, player_id ORDER BY day) AS until FROM d),
 peak AS (SELECT player_id, arg_max(season, struct_pack(r := round(rating, 6), d := -epoch(day))) AS season, arg_max(day, struct_pack(r := round(rating, 6), d := -epoch(day))) AS day, max(round(rating, 6)) AS top FROM d GROUP BY player_id)
 SELECT p.player_id, p.season, p.day AS peak_day, count(*) AS active, 1 + count(*) FILTER (round(v.rating, 6) > p.top OR (round(v.rating, 6) = p.top AND v.player_id < p.player_id)) AS place
 FROM peak p JOIN v ON v.season = p.season AND v.day <= p.day AND (v.until IS NULL OR v.until > p.day) GROUP BY ALL
-""")
+"""
+
+
+@query(_PEAK_RANK)
 def peak_rank(spark, sf):
-    """Place of each player among those seen in the season, on the day of the player's own peak (as of that day).
+    """Place of each player among those seen in the season, on the day of the player's own peak (as of that day)."""
+    out = dominance.places(peak_states(events(spark, sf)))
+    return out.select(F.col("who").alias("player_id"), F.col("grp").alias("season"), F.col("t").alias("peak_day"), "active", "place")
 
-    A day's state holds until the player's next day, so the as-of join is an
-    equi-join on the season with an interval; only counts leave it.
+
+def peak_states(log: DataFrame) -> DataFrame:
+    """A player's daily states in each season; the one of the player's peak is asked for.
+
+    The peak is the highest rating, the earliest day of it, the latest season
+    of that day.
     """
-    days = events(spark, sf).groupBy("season", "player_id", F.to_date("game_date").alias("day")).agg(F.round(F.max_by("rating_after", F.struct(*ORDER)), 6).alias("rating"))
-    states = days.withColumn("until", F.lead("day").over(Window.partitionBy("season", "player_id").orderBy("day")))
-    best = F.max(F.struct("rating", -F.unix_date("day"), "season")).alias("best")
-    peaks = days.groupBy("player_id").agg(best).select(
-        F.col("player_id").alias("who"), F.col("best.season").alias("season"), F.date_from_unix_date(-F.col("best.col2")).alias("peak_day"), F.col("best.rating").alias("top")
-    )
-    seen = (F.col("day") <= F.col("peak_day")) & (F.col("until").isNull() | (F.col("until") > F.col("peak_day")))
-    above = (F.col("rating") > F.col("top")) | ((F.col("rating") == F.col("top")) & (F.col("player_id") < F.col("who")))
-    rows = states.join(peaks, "season").where(seen)
-    return rows.groupBy(F.col("who").alias("player_id"), "season", "peak_day").agg(F.count("*").alias("active"), (1 + F.count_if(above)).alias("place"))
+    days = log.groupBy("season", "player_id", F.to_date("game_date").alias("day")).agg(F.round(F.max_by("rating_after", F.struct(*ORDER)), 6).alias("rating"))
+    mark = F.struct("rating", (-F.unix_date("day")).alias("day"), "season")
+    peak = F.max(mark).over(Window.partitionBy("player_id"))
+    until = F.lead("day").over(Window.partitionBy("season", "player_id").orderBy("day"))
+    return days.select(F.col("season").alias("grp"), F.col("player_id").alias("who"), "rating", F.col("day").alias("t"), until.alias("until"), (mark == peak).alias("asked"))
+
+
+_LEVEL = "CASE WHEN peak < 1500 THEN 'below' WHEN peak < 1505 THEN 'low' WHEN peak < 1510 THEN 'middle' ELSE 'high' END"
+
+
+@query(f"""
+WITH r AS ({_PEAK_RANK}), top AS (WITH {EVENTS_SQL} SELECT player_id, round(max(rating_after), 6) AS peak FROM ev GROUP BY player_id)
+SELECT {_LEVEL} AS level, count(*) AS players, round(quantile_cont(place, 0.25), 4) AS p25, round(median(place), 4) AS p50, round(quantile_cont(place, 0.75), 4) AS p75, CAST(min(place) AS DOUBLE) AS best, CAST(max(place) AS DOUBLE) AS worst
+FROM r JOIN top USING (player_id) GROUP BY 1
+""")
+def peak_rank_levels(spark, sf):
+    """Quartiles of the places at the own peak, by the level of the peak."""
+    log = events(spark, sf)
+    tops = log.groupBy("player_id").agg(F.round(F.max("rating_after"), 6).alias("peak"))
+    level = scalar.cut(F.col("peak"), [-1e9, 1500, 1505, 1510, 1e9], ["below", "low", "middle", "high"])
+    rows = dominance.places(peak_states(log)).join(tops.withColumnRenamed("player_id", "who"), "who").select(level.alias("level"), "place")
+    out = selection.described(rows, ["level"], "place", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return out.select("level", F.col("n").alias("players"), *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")], F.col("least").alias("best"), F.col("greatest").alias("worst"))
 
 
 def _variant(source: str, rating: str = "rating_after", key: str = "player_id") -> str:
@@ -166,5 +188,8 @@ def cluster_characteristics(spark, sf):
     )
     traits = traits.withColumn("gain", F.col("peak_21") - F.col("first_21")).withColumn("decline", F.col("peak_21") - F.col("last_21"))
     rows = curves.assigned(all_curves(spark, sf), CENTRES).select("player_id", F.col("cluster").cast("long").alias("cluster")).join(traits, "player_id")
-    quartiles = [(F.round(F.percentile(c, q), 4) + F.lit(0.0)).alias(f"{c}_{m}") for c in _TRAITS for q, m in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))]
-    return rows.groupBy("cluster").agg(F.count("*").alias("players"), *quartiles)
+    points = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+    long = rows.select("cluster", F.explode(F.array(*[F.struct(F.lit(c).alias("trait"), F.col(c).alias("v")) for c in _TRAITS])).alias("x")).select("cluster", "x.*")
+    found = selection.quantiles(long, ["cluster", "trait"], "v", points)
+    wide = [(F.round(F.max(F.when(F.col("trait") == c, F.col(m))), 4) + F.lit(0.0)).alias(f"{c}_{m}") for c in _TRAITS for m in points]
+    return rows.groupBy("cluster").agg(F.count("*").alias("players")).join(found.groupBy("cluster").agg(*wide), "cluster")

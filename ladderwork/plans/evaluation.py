@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ladderwork.functions import scalar, stats
+from ladderwork.functions import scalar, selection, stats
 from ladderwork.functions.windows import first_n, latest
 from ladderwork.plans.performance import PERF_SQL, performed
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events, season_ratings
 from ladderwork.sources.arena import read
+from ladderwork.sources.warehouse import written
 
 WINDOW, LEAST = 10, 5
 
@@ -196,16 +197,21 @@ def season_metrics(spark, sf):
     )
 
 
-def entries_exits(log):
-    """Players who enter, and who are absent the season after."""
+def movements(log):
+    """A row per player and season: whether the player enters, and is absent the season after (gone: the last rating then)."""
     table = season_ratings(log).select("season", "player_id", "rating_after")
     w = Window.partitionBy("player_id").orderBy("season")
     rows = table.withColumn("entry", F.lag("season").over(w).isNull()).withColumn("exit", ~F.coalesce(F.lead("season").over(w) == F.col("season") + 1, F.lit(False)))
-    gone = F.when(F.col("exit"), F.col("rating_after"))
-    return rows.groupBy("season").agg(
-        F.count("*").alias("players"), F.count_if("entry").alias("entries"), F.count_if("exit").alias("exits"),
-        F.round(F.median(gone), 4).alias("exit_median"), F.round(F.percentile(gone, 0.25), 4).alias("exit_q25"),
-    )
+    return rows.withColumn("gone", F.when(F.col("exit"), F.col("rating_after")))
+
+
+def entries_exits(log, keys=("season",)):
+    """Players, entries, exits and quartiles of the last ratings of those who go."""
+    rows = written(movements(log), "movements")
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("players"), F.count_if("entry").alias("entries"), F.count_if("exit").alias("exits"))
+    found = selection.quantiles(rows, keys, "gone", {"exit_median": 0.5, "exit_q25": 0.25})
+    out = counts.join(found, list(keys), "left") if keys else counts.join(F.broadcast(found), how="left")  # one row each
+    return out.select(*keys, "players", "entries", "exits", *[F.round(c, 4).alias(c) for c in ("exit_median", "exit_q25")])
 
 
 ENTRY_EXIT_SQL = f"""
@@ -223,9 +229,15 @@ def entry_exit(spark, sf):
     return entries_exits(events(spark, sf))
 
 
-@query(ENTRY_EXIT_SQL)
+@query(f"""
+WITH {EVENTS_SQL}, firsts AS (SELECT player_id, min(season) AS season FROM ev GROUP BY 1),
+m AS (SELECT e.*, f.player_id IS NOT NULL AS entry, CASE WHEN n.player_id IS NULL THEN e.rating_after END AS gone FROM ending e LEFT JOIN firsts f ON f.player_id = e.player_id AND f.season = e.season
+  LEFT JOIN ending n ON n.player_id = e.player_id AND n.season = e.season + 1)
+SELECT count(*) AS players, count(*) FILTER (entry) AS entries, count(gone) AS exits, round(median(gone), 4) AS exit_median, round(quantile_cont(gone, 0.25), 4) AS exit_q25 FROM m
+""")
 def entry_exit_all(spark, sf):
-    return entries_exits(events(spark, sf))
+    """Entries and exits of all seasons together: one group of any size."""
+    return entries_exits(events(spark, sf), keys=())
 
 
 _DRAW = "(((((12345 + {a} % 2147483647) * 48271) % 2147483647 + {b} % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ladderwork.functions import scalar, stats
+from ladderwork.functions import scalar, selection, stats
 from ladderwork.functions.windows import centred_mean
 from ladderwork.plans.performance import PERF_SQL, performed
 from ladderwork.plans.registry import query
@@ -203,10 +203,66 @@ def mix_by_peak(spark, sf):
 
 @query(f"WITH {TABLE_SQL} SELECT season, round(min(rating_after), 4) AS low, round(quantile_cont(rating_after, 0.25), 4) AS q25, round(median(rating_after), 4) AS mid, round(quantile_cont(rating_after, 0.75), 4) AS q75, round(max(rating_after), 4) AS high FROM table_ GROUP BY season")
 def box_quantiles(spark, sf):
-    r = F.col("rating_after")
-    return table(spark, sf).groupBy("season").agg(
-        F.round(F.min(r), 4).alias("low"), F.round(F.percentile(r, 0.25), 4).alias("q25"), F.round(F.median(r), 4).alias("mid"), F.round(F.percentile(r, 0.75), 4).alias("q75"), F.round(F.max(r), 4).alias("high")
-    )
+    out = selection.described(table(spark, sf), ["season"], "rating_after", {"q25": 0.25, "mid": 0.5, "q75": 0.75})
+    return out.select("season", *[F.round(c, 4).alias(n) for c, n in (("least", "low"), ("q25", "q25"), ("mid", "mid"), ("q75", "q75"), ("greatest", "high"))])
+
+
+_ERA = "CASE WHEN season < 1994 THEN '1991-93' WHEN season < 1997 THEN '1994-96' ELSE '1997-' END"
+_SHARES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def _distribution_sql(key: str) -> str:
+    weighted = ", ".join(f"min(rating_after) FILTER (running >= {q}e0 * total) AS {n}" for n, q in _SHARES.items())
+    return f"""
+WITH {TABLE_SQL},
+k AS (SELECT {key} AS period, rating_after, minutes FROM table_),
+r AS (SELECT *, sum(minutes) OVER (PARTITION BY period ORDER BY rating_after RANGE UNBOUNDED PRECEDING) AS running, sum(minutes) OVER (PARTITION BY period) AS total FROM k WHERE minutes > 0),
+q AS (SELECT period, {weighted} FROM r GROUP BY period),
+s AS (SELECT period, count(*) AS n, sum(rating_after * minutes) / sum(minutes) AS weighted_mean, avg(rating_after) AS mean, median(rating_after) AS median, stddev_pop(rating_after) AS sd, max(rating_after) AS top FROM k GROUP BY period)
+SELECT period, n, {", ".join(f"round({c}, 4) AS {c}" for c in ("weighted_mean", *_SHARES, "mean", "median", "sd", "top"))}, round(p90 - p10, 4) AS width, round(top - p50, 4) AS lead FROM s JOIN q USING (period)
+"""
+
+
+def distribution(rows, key):
+    """Moments, quantiles by minutes, the middle by heads and the top of each period."""
+    rows = rows.select(key.alias("period"), "rating_after", "minutes")
+    moments = rows.groupBy("period").agg(
+        F.count("*").alias("n"), stats.weighted_mean(F.col("rating_after"), F.col("minutes")).alias("weighted_mean"), F.avg("rating_after").alias("mean"),
+        F.stddev_pop("rating_after").alias("sd"), F.max("rating_after").alias("top"),
+    )
+    shares = stats.weighted_quantiles(rows, ["period"], "rating_after", "minutes", _SHARES)
+    middle = selection.quantiles(rows, ["period"], "rating_after", {"median": 0.5})
+    out = moments.join(shares, "period").join(middle, "period").withColumn("width", F.col("p90") - F.col("p10")).withColumn("lead", F.col("top") - F.col("p50"))
+    return out.select("period", "n", *[F.round(c, 4).alias(c) for c in ("weighted_mean", *_SHARES, "mean", "median", "sd", "top", "width", "lead")])
+
+
+@query(_distribution_sql("season"))
+def season_distribution(spark, sf):
+    return distribution(table(spark, sf), F.col("season"))
+
+
+@query(_distribution_sql(_ERA))
+def era_distribution(spark, sf):
+    return distribution(table(spark, sf), scalar.cut(F.col("season"), [0, 1994, 1997, 9999], ["1991-93", "1994-96", "1997-"]))
+
+
+@query("""
+SELECT event_type, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS sd, min(value) AS least, round(quantile_cont(value, 0.05), 4) AS p05,
+  round(median(value), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, max(value) AS greatest FROM events GROUP BY event_type HAVING count(value) > 0
+""")
+def describe_values(spark, sf):
+    """Description of a column by type: few large groups, found by selection."""
+    out = selection.described(read(spark, sf, "events"), ["event_type"], "value", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return out.select("event_type", "n", *[F.round(c, 4).alias(c) for c in ("mean", "sd")], "least", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")], "greatest")
+
+
+@query("""
+WITH r AS (SELECT l_returnflag, l_extendedprice, sum(l_quantity) OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice RANGE UNBOUNDED PRECEDING) AS running, sum(l_quantity) OVER (PARTITION BY l_returnflag) AS total FROM lineitem WHERE l_quantity > 0)
+SELECT l_returnflag, min(l_extendedprice) FILTER (running >= 0.1e0 * total) AS p10, min(l_extendedprice) FILTER (running >= 0.5e0 * total) AS p50, min(l_extendedprice) FILTER (running >= 0.99e0 * total) AS p99 FROM r GROUP BY l_returnflag
+""")
+def price_quantiles(spark, sf):
+    """Quantiles of prices by quantity over all lines, three groups of any size."""
+    return stats.weighted_quantiles(read(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "l_quantity", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
 
 
 @query(f"""

@@ -21,6 +21,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again: its lineage ends here."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows up to which a side may be broadcast once they have been counted.
+BROADCAST_ROWS = 200_000
+
+
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """A broadcast hint behind a count (that goes no further than the bound); otherwise the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def bound(spark: SparkSession, sql: str, args: Mapping[str, object] | None = None, **frames: DataFrame) -> DataFrame:
     """A query whose values are bound by name (never pasted into the text) over named frames."""
     return spark.sql(sql, args=dict(args or {}), **frames)
