@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladderwork.functions.ranks import average_ranks
 from ladderwork.functions.scalar import clip, correlation_p
 from ladderwork.functions.selection import weighted_quantiles  # noqa: F401  a statistic like the others
-from ladderwork.functions.windows import average_rank
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:
@@ -29,8 +29,9 @@ def pearson(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """Pearson correlation of the ranks, in groups of any size."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.withColumn("rx", average_rank(F.col(x), keys)).withColumn("ry", average_rank(F.col(y), keys))
+    ranked = average_ranks(average_ranks(both, keys, x, "rx"), keys, y, "ry")
     return pearson(ranked, keys, "rx", "ry").withColumnRenamed("r", "rho")
 
 
@@ -79,6 +80,38 @@ def bootstrap_means(df: DataFrame, cluster: str, value: str, draws: int) -> Data
     return spread.groupBy("draw").agg((F.sum(F.col("s") * F.col("times")) / F.nullif(F.sum(F.col("c") * F.col("times")), F.lit(0))).alias("mean"))
 
 
+def moments(df: DataFrame, cluster: str | Column, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per cluster what a correlation and a gain need: the count and five sums."""
+    p, t = F.col(x), F.col(y)
+    of = F.col(cluster) if isinstance(cluster, str) else cluster
+    return df.groupBy(*keys, of.alias("cluster")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(p).alias("sx"), F.sum(t).alias("sy"), F.sum(p * p).alias("sxx"), F.sum(t * t).alias("syy"), F.sum(p * t).alias("sxy")
+    )
+
+
+def _closed(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> dict[str, Column]:
+    """r (null under three pairs or without spread) and the mean gain of x over 0 as a prediction of y."""
+    vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+    r = F.when((n >= 3) & (vx > 1e-9) & (vy > 1e-9), (n * sxy - sx * sy) / F.sqrt(vx * vy))
+    return {"r": r, "gain": (2 * sxy - sxx) / F.nullif(n, F.lit(0.0))}
+
+
+def bootstrap_moments(stats: DataFrame, draws: int, once: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """r and gain of resamples of clusters (rows of `moments`), all draws and keys in one aggregation.
+
+    A cluster's multiplicity is Poisson(1) by draw(cluster, number of the
+    draw); with `once` a cluster that is drawn counts once.  Only sums leave a
+    task: six numbers a draw.
+    """
+    u = draw(F.col("cluster"), F.col("draw")) / 2_147_483_647.0
+    cumulative = [0.36787944117144233] if once else [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    times = sum((F.when(u >= c, 1.0).otherwise(0.0) for c in cumulative), F.lit(0.0))
+    spread = stats.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("times", times)
+    sums = spread.groupBy(*keys, "draw").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    closed = _closed(*map(F.col, ("n", "sx", "sy", "sxx", "syy", "sxy")))
+    return sums.select(*keys, "draw", *[c.alias(n) for n, c in closed.items()])
+
+
 def shuffled_within(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """The values dealt anew inside each group by a hash-derived order (a permutation baseline)."""
     w = Window.partitionBy(*keys)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladderwork.functions import scalar, stats
-from ladderwork.plans.evaluation import _DRAW, TARGET_SQL, pairs
+from ladderwork.plans.evaluation import _DRAW, _P_SQL, TARGET_SQL, pairs
 from ladderwork.plans.performance import performed
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import events, season_ratings
+from ladderwork.sources.warehouse import written
 
 DRAWS = 2000
 
@@ -72,3 +74,89 @@ def result_row(spark, sf):
         F.round("sd", 1).alias("last_sd"), F.round("wmean", 1).alias("last_minutes_wmean"), F.round("top", 1).alias("last_top_rating"),
         F.lit(10).cast("long").alias("window"), F.lit(5).cast("long").alias("min_games"),
     )
+
+
+def summary(rows: DataFrame, draws: int = DRAWS) -> DataFrame:
+    """One row of all statistics of pairs (boundary, player_id, pred, target).
+
+    Errors and spreads, r and rho with the normal p of r, the boundaries with
+    a positive r and their exact sign test, and for players and boundaries as
+    clusters the mean, interval and p of r and of the gain.
+    """
+    rows = written(rows, "pairs")
+    p, t = F.col("pred"), F.col("target")
+    whole = rows.agg(
+        F.count("*").alias("n"), F.countDistinct("player_id").alias("n_players"), F.countDistinct("boundary").alias("n_boundaries"),
+        F.avg((t - p) * (t - p)).alias("mse"), F.avg(t * t).alias("baseline_mse"), F.stddev_pop("pred").alias("pred_sd"), F.stddev_pop("target").alias("target_sd"),
+    )
+    whole = whole.withColumn("improvement", F.col("baseline_mse") - F.col("mse")).withColumn("discrimination", F.col("pred_sd") / F.nullif("target_sd", F.lit(0.0)))
+    r = stats.pearson(rows, [], "pred", "target").select("r", F.col("p").alias("p_r_normal"))
+    rho = stats.spearman(rows, [], "pred", "target").select("rho")
+    each = stats.pearson(rows, ["boundary"], "pred", "target").agg(F.count("*").alias("of"), F.count_if(F.col("r") > 0).alias("n_positive_r"))
+    sign = each.select("n_positive_r", scalar.binomial_tail(F.col("n_positive_r"), F.col("of")).alias("p_sign_exact"))
+    clusters = F.explode(F.array(F.struct(F.lit("player").alias("kind"), F.col("player_id").alias("of")), F.struct(F.lit("season").alias("kind"), F.col("boundary").alias("of"))))
+    told = stats.moments(rows.withColumn("c", clusters).select("c.*", "pred", "target"), "of", "pred", "target", ["kind"])
+    found = written(stats.bootstrap_moments(told, draws, once=True, keys=["kind"]), "draws")
+    boot = []
+    for kind in ("player", "season"):
+        for value in ("r", "gain"):
+            v = F.when(F.col("kind") == kind, F.col(value))
+            below = F.when(v <= 0, 1.0).when(v.isNotNull(), 0.0)
+            boot += [c.alias(f"boot_{kind}_{value}_{n}") for n, c in (("mean", F.avg(v)), ("lo", F.percentile(v, 0.025)), ("hi", F.percentile(v, 0.975)), ("p", F.avg(below)))]
+    for one in (r, rho, sign, found.agg(*boot)):
+        whole = whole.join(F.broadcast(one), how="left")  # one row beside one row
+    return whole
+
+
+_MOMENTS = "count(*)::DOUBLE AS n, sum(pred) AS sx, sum(target) AS sy, sum(pred * pred) AS sxx, sum(target * target) AS syy, sum(pred * target) AS sxy"
+_BOOT = ", ".join(
+    f"round(avg({v}) FILTER (kind = '{k}'), 5) + 0e0 AS boot_{k}_{v}_mean, round(quantile_cont({v}, 0.025) FILTER (kind = '{k}'), 5) + 0e0 AS boot_{k}_{v}_lo, "
+    f"round(quantile_cont({v}, 0.975) FILTER (kind = '{k}'), 5) + 0e0 AS boot_{k}_{v}_hi, round(avg(CASE WHEN {v} <= 0 THEN 1e0 WHEN {v} IS NOT NULL THEN 0e0 END) FILTER (kind = '{k}'), 5) AS boot_{k}_{v}_p"
+    for k in ("player", "season") for v in ("r", "gain")
+)
+
+
+def _resampled_sql(times: str) -> str:
+    return f"""
+c AS (SELECT 'player' AS kind, player_id AS id, {_MOMENTS} FROM pairs GROUP BY player_id UNION ALL SELECT 'season', boundary, {_MOMENTS} FROM pairs GROUP BY boundary),
+d AS (SELECT *, unnest(range(0, {DRAWS})) AS draw FROM c),
+u AS (SELECT *, {_DRAW.format(a="id", b="draw")} / 2147483647e0 AS u FROM d),
+w AS (SELECT *, {times} AS times FROM u),
+s AS (SELECT kind, draw, sum(n * times) AS n, sum(sx * times) AS sx, sum(sy * times) AS sy, sum(sxx * times) AS sxx, sum(syy * times) AS syy, sum(sxy * times) AS sxy FROM w GROUP BY ALL),
+drawn AS (SELECT kind, draw, CASE WHEN n >= 3 AND n * sxx - sx * sx > 1e-9 AND n * syy - sy * sy > 1e-9 THEN (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) END AS r, (2 * sxy - sxx) / nullif(n, 0) AS gain FROM s)"""
+
+
+@query(f"""
+WITH {TARGET_SQL},{_resampled_sql("(u >= 0.36787944117144233e0)::INT")},
+boot AS (SELECT {_BOOT} FROM drawn),
+m AS (SELECT count(*) AS n, count(DISTINCT player_id) AS n_players, count(DISTINCT boundary) AS n_boundaries, avg(power(target - pred, 2)) AS mse, avg(target * target) AS baseline_mse, stddev_pop(pred) AS pred_sd, stddev_pop(target) AS target_sd, corr(pred, target) AS r FROM pairs),
+z AS (SELECT n, r, abs(r * sqrt((n - 2) / nullif(1 - r * r, 0))) AS z FROM m), t AS (SELECT *, 1 / (1 + 0.2316419e0 * z) AS t FROM z), pr AS (SELECT {_P_SQL} AS p_r_normal FROM t),
+rk AS (SELECT rank() OVER (ORDER BY pred) + (count(*) OVER (PARTITION BY pred) - 1) / 2e0 AS a, rank() OVER (ORDER BY target) + (count(*) OVER (PARTITION BY target) - 1) / 2e0 AS b FROM pairs),
+rho AS (SELECT corr(a, b) AS rho FROM rk),
+e AS (SELECT count(*) AS of, count(*) FILTER (r > 0) AS k FROM (SELECT CASE WHEN count(*) >= 3 AND stddev_pop(pred) > 0 AND stddev_pop(target) > 0 THEN corr(pred, target) END AS r FROM pairs GROUP BY boundary)),
+sg AS (SELECT k AS n_positive_r, sum(exp(lgamma(of + 1) - lgamma(j + 1) - lgamma(of - j + 1) - of * ln(2))) AS p_sign_exact FROM (SELECT k, of, unnest(range(k, of + 1)) AS j FROM e) GROUP BY k)
+SELECT n, n_players, n_boundaries, round(mse, 6) AS mse, round(baseline_mse, 6) AS baseline_mse, round(baseline_mse - mse, 6) + 0e0 AS improvement, round(pred_sd, 6) AS pred_sd, round(target_sd, 6) AS target_sd,
+  round(pred_sd / nullif(target_sd, 0), 6) AS discrimination, round(r, 6) + 0e0 AS r, round(rho, 6) + 0e0 AS rho, round(p_r_normal, 6) + 0e0 AS p_r_normal, n_positive_r, round(p_sign_exact, 6) AS p_sign_exact, boot.* FROM m, pr, rho, sg, boot
+""")
+def holdout_summary(spark, sf):
+    """All statistics of the pairs in one row."""
+    out = summary(pairs(events(spark, sf)))
+    whole, signed = ("n", "n_players", "n_boundaries", "n_positive_r"), lambda c: (F.round(c, 5 if c.startswith("boot") else 6) + F.lit(0.0)).alias(c)
+    return out.select(*[F.col(c) if c in whole else signed(c) for c in out.columns])
+
+
+@query(f"""
+WITH {TARGET_SQL},{_resampled_sql("(u >= 0.36787944117144233e0)::INT + (u >= 0.7357588823428847e0)::INT + (u >= 0.9196986029286058e0)::INT + (u >= 0.9810118431238462e0)::INT + (u >= 0.9963401531726563e0)::INT + (u >= 0.9994058151824183e0)::INT")}
+SELECT kind, count(r) AS draws, round(avg(r), 5) + 0e0 AS mean, round(quantile_cont(r, 0.025), 5) + 0e0 AS low, round(quantile_cont(r, 0.975), 5) + 0e0 AS high, round(avg(CASE WHEN r <= 0 THEN 1e0 WHEN r IS NOT NULL THEN 0e0 END), 5) AS p FROM drawn GROUP BY kind
+""")
+def bootstrap_correlation(spark, sf):
+    """Interval and p of r over resampled players and seasons, clusters by their multiplicities."""
+    rows = written(pairs(events(spark, sf)), "pairs")
+    clusters = F.explode(F.array(F.struct(F.lit("player").alias("kind"), F.col("player_id").alias("of")), F.struct(F.lit("season").alias("kind"), F.col("boundary").alias("of"))))
+    told = stats.moments(rows.withColumn("c", clusters).select("c.*", "pred", "target"), "of", "pred", "target", ["kind"])
+    found = stats.bootstrap_moments(told, DRAWS, keys=["kind"])
+    at = lambda c: (F.round(c, 5) + F.lit(0.0))
+    below = F.when(F.col("r") <= 0, 1.0).when(F.col("r").isNotNull(), 0.0)
+    return found.groupBy("kind").agg(
+        F.count("r").alias("draws"), at(F.avg("r")).alias("mean"), at(F.percentile("r", 0.025)).alias("low"), at(F.percentile("r", 0.975)).alias("high"), F.round(F.avg(below), 5).alias("p")
+    )
