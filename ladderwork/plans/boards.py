@@ -11,6 +11,7 @@ from ladderwork.operators import leaderboard
 from ladderwork.plans.registry import query
 from ladderwork.sources.arena import read
 from ladderwork.sources.sinks import nested_frames
+from ladderwork.sources.warehouse import written
 
 LOG_SQL = """
 log AS (
@@ -154,6 +155,93 @@ def frame_sampling_season(spark, sf):
     return leaderboard.greedy_frames(days, ["season"], 7)
 
 
+SEASON_BOARD_SQL = f"""{LOG_SQL},
+slog AS (
+  SELECT *, CAST(CASE WHEN year(ts) = 2020 AND month(ts) BETWEEN 7 AND 9 THEN 2019 WHEN month(ts) < 7 THEN year(ts) - 1 ELSE year(ts) END AS BIGINT) AS season FROM log),
+counted AS (SELECT *, count(*) OVER (PARTITION BY season, player_id ORDER BY ts, event_id) AS games FROM slog),
+slast AS (SELECT season, player_id, day, arg_max(rating, struct_pack(t := ts, e := event_id)) AS rating, max(games) AS games FROM counted GROUP BY ALL),
+sspans AS (SELECT *, lead(day) OVER (PARTITION BY season, player_id ORDER BY day) AS until FROM slast),
+sboard AS (
+  SELECT season, d.day AS board_day, row_number() OVER (PARTITION BY season, d.day ORDER BY round(rating, 6) DESC, player_id) AS place, player_id, rating, games
+  FROM (SELECT DISTINCT season, day FROM slog) d JOIN sspans s USING (season) WHERE d.day >= s.day AND (s.until IS NULL OR d.day < s.until)),
+stop AS (SELECT * FROM sboard WHERE place <= 10)"""
+
+
+def season_log(spark, sf):
+    """The log with its season and the player's games in it so far."""
+    rows = log(spark, sf).withColumn("season", season_start(F.col("ts")))
+    return rows.withColumn("games", F.count("*").over(Window.partitionBy("season", "player_id").orderBy("ts", "event_id")))
+
+
+def live_board(spark, sf, k=10):
+    return leaderboard.daily_board(season_log(spark, sf), k, scope=["season"], extra=["games"])
+
+
+@query(f"WITH {SEASON_BOARD_SQL} SELECT season, board_day, place, player_id, round(rating, 4) AS rating, games FROM stop")
+def season_board(spark, sf):
+    """The ten best of the players seen in the season so far, on every date, with their games in it."""
+    return live_board(spark, sf).withColumn("rating", F.round("rating", 4))
+
+
+#: Seconds that a frame of the animation stands and moves.
+HOLD, MOVE = 1.2, 0.8
+
+_FRAMES_SQL = f"""WITH RECURSIVE {SEASON_BOARD_SQL},
+d AS (SELECT DISTINCT season, board_day AS day FROM stop),
+pick AS (
+  SELECT season, min(day) AS day FROM d GROUP BY season
+  UNION ALL
+  SELECT p.season, (SELECT min(day) FROM d WHERE d.season = p.season AND d.day >= p.day + 7) FROM pick p WHERE EXISTS (SELECT 1 FROM d WHERE d.season = p.season AND d.day >= p.day + 7)),
+chosen AS (SELECT season, day FROM pick UNION SELECT season, max(day) FROM d GROUP BY season),
+frames AS (
+  SELECT row_number() OVER (ORDER BY day) - 1 AS frame_id, season, day,
+    CASE WHEN day = min(day) OVER s AND day = max(day) OVER s THEN 'season_first_season_last' WHEN day = min(day) OVER s THEN 'season_first' WHEN day = max(day) OVER s THEN 'season_last' ELSE 'weekly' END AS role
+  FROM chosen WINDOW s AS (PARTITION BY season))"""
+
+
+def frames(board_days):
+    """The frames' dates of each season, numbered, with their role and clock; one row a frame."""
+    chosen = leaderboard.greedy_frames(board_days, ["season"], 7)
+    season = Window.partitionBy("season")
+    first, last = F.col("day") == F.min("day").over(season), F.col("day") == F.max("day").over(season)
+    role = F.when(first & last, "season_first_season_last").when(first, "season_first").when(last, "season_last").otherwise("weekly")
+    frame_id = F.row_number().over(Window.orderBy("day")).cast("long") - 1  # a frame a week: few
+    rows = chosen.select("season", "day", role.alias("role"), frame_id.alias("frame_id"))
+    return rows.withColumn("start_seconds", F.round(F.col("frame_id") * (HOLD + MOVE), 4)).withColumn("end_seconds", F.round((F.col("frame_id") + 1) * (HOLD + MOVE), 4))
+
+
+@query(f"""{_FRAMES_SQL}
+SELECT frame_id, day AS frame_date, season, season + 1 AS display_season, role, {HOLD}::DOUBLE AS hold_seconds, {MOVE}::DOUBLE AS transition_seconds,
+  round(frame_id * {HOLD + MOVE}e0, 4) AS start_seconds, round((frame_id + 1) * {HOLD + MOVE}e0, 4) AS end_seconds FROM frames
+""")
+def board_meta(spark, sf):
+    """What the animation knows of each frame: date, season, role and clock."""
+    days = live_board(spark, sf, 1).select("season", F.col("board_day").alias("day"))
+    return frames(days).select(
+        "frame_id", F.col("day").alias("frame_date"), "season", (F.col("season") + 1).alias("display_season"), "role",
+        F.lit(HOLD).alias("hold_seconds"), F.lit(MOVE).alias("transition_seconds"), "start_seconds", "end_seconds",
+    )
+
+
+@query(f"""{_FRAMES_SQL},
+shown AS (SELECT f.frame_id, f.day, f.role, t.season, t.place, t.player_id, t.rating, t.games FROM frames f JOIN stop t ON t.season = f.season AND t.board_day = f.day)
+SELECT a.frame_id, a.day AS frame_date, a.role, a.place, a.player_id, round(a.rating, 4) AS rating, a.games, b.place AS previous_place, b.place - a.place AS place_change, round(a.rating - b.rating, 4) + 0e0 AS rating_change
+FROM shown a LEFT JOIN shown b ON b.frame_id = a.frame_id - 1 AND b.player_id = a.player_id
+""")
+def board_frames(spark, sf):
+    """The board in every frame, with place and rating against the frame before."""
+    rows = written(live_board(spark, sf), "live-board")
+    chosen = frames(rows.select("season", F.col("board_day").alias("day")))
+    shown = rows.join(F.broadcast(chosen.select("season", F.col("day").alias("board_day"), "role", "frame_id")), ["season", "board_day"])
+    w = Window.partitionBy("player_id").orderBy("frame_id")
+    there = F.lag("frame_id").over(w) == F.col("frame_id") - 1
+    before = F.when(there, F.lag("place").over(w))
+    return shown.select(
+        "frame_id", F.col("board_day").alias("frame_date"), "role", "place", "player_id", F.round("rating", 4).alias("rating"), "games", before.alias("previous_place"),
+        (before - F.col("place")).alias("place_change"), (F.round(F.when(there, F.col("rating") - F.lag("rating").over(w)), 4) + F.lit(0.0)).alias("rating_change"),
+    )
+
+
 @query(f"WITH {BOARD_SQL} SELECT board_day, count(*) AS entries, CAST(sum(place) AS BIGINT) AS places FROM top10 GROUP BY board_day")
 def frame_json(spark, sf):
     """One nested JSON frame per date; read back and counted."""
