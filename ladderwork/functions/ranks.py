@@ -64,3 +64,13 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
     for k in [*keys, value]:
         same &= F.col(k).eqNullSafe(F.col(f"{k}_of_"))
     return df.join(ranked, same).drop(*[f"{k}_of_" for k in [*keys, value]])
+
+
+def dense_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str, descending: bool = True) -> DataFrame:
+    """df with the place of value among the distinct values of the keys; value is not null."""
+    places = numbered(df.select(*keys, value).distinct(), keys, [F.desc(value) if descending else F.asc(value)], name)
+    places = places.select(*[F.col(k).alias(f"{k}_of_") for k in [*keys, value]], name)
+    same = F.lit(True)
+    for k in [*keys, value]:
+        same &= F.col(k).eqNullSafe(F.col(f"{k}_of_"))
+    return df.join(places, same).drop(*[f"{k}_of_" for k in [*keys, value]])

@@ -52,8 +52,7 @@ WITH {EVENTS_SQL}, r AS (SELECT e.game_id, e.team_id, e.season, e.player_id, e.r
 SELECT game_id, team_id, round(sum(rating_after * share) / sum(share), 4) AS strength, round(sum(rating_after * share) FILTER (k <= 2) / sum(share) FILTER (k <= 2), 4) AS top2, round(avg(rating_after) FILTER (k <= 3), 4) AS top3 FROM r GROUP BY ALL
 """)
 def team_game_strength(spark, sf):
-    shares = arena.clean(spark, sf).select("game_id", "player_id", "share")
-    rows = events(spark, sf).join(shares, ["game_id", "player_id"])
+    rows = events(spark, sf, "share")
     k = F.row_number().over(Window.partitionBy("game_id", "team_id").orderBy(F.desc("share"), "player_id"))
     rows = rows.withColumn("k", k)
     two = F.when(F.col("k") <= 2, F.col("share"))

@@ -24,12 +24,13 @@ ev AS (
 ending AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY season, player_id ORDER BY game_date DESC, game_id DESC) AS k FROM ev) WHERE k = 1)"""
 
 
-def events(spark, sf) -> DataFrame:
+def events(spark, sf, *carried: str) -> DataFrame:
+    """The surrogate log; further columns of the rows may be carried along."""
     running = Window.partitionBy("player_id").orderBy("game_date", "game_id")
     rows = performed(spark, sf)
     return rows.select(
         F.lit("all").alias("variant"), "game_id", "game_date", "season", "track", "player_id", "team_id",
-        (F.lit(1500.0) + F.sum("perf").over(running)).alias("rating_after"), "perf",
+        (F.lit(1500.0) + F.sum("perf").over(running)).alias("rating_after"), "perf", *carried,
     )
 
 
