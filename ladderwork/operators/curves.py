@@ -2,19 +2,23 @@
 
 Curves are built by windows and array functions; assignment, distances and
 bands too.  Centres are fitted by Lloyd's algorithm as Spark jobs: every
-iteration assigns all curves and averages them by place, so only k centres of
-41 numbers reach the driver.
+iteration assigns all curves and sums them by place, so only sums leave a task
+and only centres reach the driver.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions import selection
 from ladderwork.functions.windows import centred_mean
+from ladderwork.sources.warehouse import written
 
 POINTS = 41
 
@@ -54,72 +58,105 @@ def assigned(curves: DataFrame, centres: list[list[float]]) -> DataFrame:
     return curves.withColumn("cluster", best["k"]).withColumn("distance", F.sqrt(best["d"]))
 
 
+def _cluster_sums(curves: DataFrame, centres: dict[int, np.ndarray]) -> list:
+    """For each start and cluster the curves nearest to its centre: their number, distances, farthest and sums by place.
+
+    Every task assigns its curves to all starts' centres and returns sums, so
+    nothing but starts x clusters x places numbers leaves it.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {}
+        for batch in batches:
+            if batch.empty:
+                continue
+            x, ids = np.stack(batch["curve"].to_list()), batch["player_id"].to_numpy()
+            for s, c in centres.items():
+                d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2) if len(x) * len(c) < 200_000 else np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
+                near = d.argmin(axis=1)
+                least = d[np.arange(len(x)), near]
+                for k in np.unique(near):
+                    mine = near == k
+                    order = np.lexsort((ids[mine], least[mine]))[-1]
+                    far = (float(least[mine][order]), int(ids[mine][order]))
+                    n, total, far_before, sums = held.get((s, int(k)), (0, 0.0, far, 0.0))
+                    held[s, int(k)] = (n + int(mine.sum()), total + float(least[mine].sum()), max(far, far_before), sums + x[mine].sum(axis=0))
+        rows = [(s, k, n, d, *far, sums.tolist()) for (s, k), (n, d, far, sums) in held.items()]
+        yield pd.DataFrame(rows, columns=["start", "cluster", "n", "d", "far_d", "far_id", "sums"])
+
+    parts = curves.select("player_id", "curve").mapInPandas(run, "start int, cluster int, n long, d double, far_d double, far_id long, sums array<double>")
+    each = parts.select("start", "cluster", "n", "d", F.struct("far_d", "far_id").alias("far"), F.posexplode("sums").alias("i", "v"))
+    by_place = each.groupBy("start", "cluster", "i").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("far").alias("far"), F.sum("v").alias("v"))
+    return by_place.groupBy("start", "cluster").agg(
+        F.first("n").alias("n"), F.max("d").alias("d"), F.first("far").alias("far"), F.array_sort(F.collect_list(F.struct("i", "v"))).alias("sums")
+    ).collect()  # starts x clusters rows
+
+
 def kmeans(curves: DataFrame, k: int, seed: int = 42, starts: int = 40, iterations: int = 150) -> list[list[float]]:
     """Centres of least inertia over several starts, in order of their peaks.
 
-    All starts move in one job an iteration: curves meet the small table of
-    (start, cluster, centre), so only centres come back.  A start rests once
-    its inertia stands; an empty cluster starts again from the farthest curve.
+    All starts move in one job an iteration and only sums are exchanged.  A
+    start rests once its inertia stands; an empty cluster starts again from
+    the curve that is farthest from its centre.
     """
-    spark = curves.sparkSession
-    curves = curves.persist()
-    try:
-        ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(k * starts).collect()]
-        rows = {r.player_id: r.curve for r in curves.where(F.col("player_id").isin(ids)).collect()}
-        rng = random.Random(seed)
-        centres = {s: [rows[i] for i in rng.sample(ids, min(k, len(ids)))] for s in range(starts)}
-        inertia, moving = dict.fromkeys(centres, float("inf")), set(centres)
-        for _ in range(iterations):
-            table = spark.createDataFrame([(s, c, centres[s][c]) for s in moving for c in range(len(centres[s]))], "start int, cluster int, centre array<double>")
-            near = curves.join(F.broadcast(table), F.lit(True)).withColumn("d", squared_distance(F.col("curve"), F.col("centre")))
-            best = near.groupBy("start", "player_id").agg(F.min(F.struct("d", "cluster")).alias("best"), F.first("curve").alias("curve"))
-            each = best.select("start", "player_id", "best.*", F.posexplode("curve").alias("i", "v"))
-            means = each.groupBy("start", "cluster", "i").agg(F.avg("v").alias("v"), F.sum("d").alias("d")).collect()
-            far = {r.start: r.far.player_id for r in best.groupBy("start").agg(F.max(F.struct("best.d", "player_id")).alias("far")).collect()} if _has_empty(means, centres, moving) else {}
-            for s in list(moving):
-                mine = [r for r in means if r.start == s]
-                new, seen = [list(c) for c in centres[s]], {r.cluster for r in mine}
-                for r in mine:
-                    new[r.cluster][r.i] = r.v
-                empty = set(range(len(new))) - seen
-                for c in empty:
-                    new[c] = curves.where(F.col("player_id") == far[s]).first().curve
-                total = sum(r.d for r in mine if r.i == 0)
-                if not empty and abs(inertia[s] - total) < 1e-9:
-                    moving.discard(s)
-                centres[s], inertia[s] = new, total
-            if not moving:
-                break
-        best_start = min(centres, key=lambda s: (inertia[s], s))
-        return sorted(centres[best_start], key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
-    finally:
-        curves.unpersist()
-
-
-def _has_empty(means: list, centres: dict[int, list], moving: set[int]) -> bool:
-    seen = {(r.start, r.cluster) for r in means}
-    return any((s, c) not in seen for s in moving for c in range(len(centres[s])))
-
-
-def silhouettes(labelled: DataFrame, block: int = 256) -> DataFrame:
+    curves = written(curves.select("player_id", "curve"), "curves")
+    ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(k * starts).collect()]
+    rows = {r.player_id: r.curve for r in curves.where(F.col("player_id").isin(ids)).collect()}
+    rng = random.Random(seed)
+    centres = {s: np.array([rows[i] for i in rng.sample(ids, min(k, len(ids)))]) for s in range(starts)}
+    inertia, moving = dict.fromkeys(centres, float("inf")), set(centres)
+    for _ in range(iterations):
+        found = _cluster_sums(curves, {s: centres[s] for s in moving})
+        for s in list(moving):
+            mine = [r for r in found if r.start == s]
+            new = centres[s].copy()
+            for r in mine:
+                new[r.cluster] = np.array([x.v for x in r.sums]) / r.n
+            empty = set(range(len(new))) - {r.cluster for r in mine}
+            if empty:
+                far = max(tuple(r.far) for r in mine)[1]
+                new[list(empty)] = curves.where(F.col("player_id") == far).first().curve
+            total = sum(r.d for r in mine)
+            if not empty and abs(inertia[s] - total) < 1e-9:
+                moving.discard(s)
+            centres[s], inertia[s] = new, total
+        if not moving:
+            break
+    best = min(centres, key=lambda s: (inertia[s], s))
+    return sorted(centres[best].tolist(), key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
+
+
+def _block_sums(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+    """For each curve of a block the sums and numbers of distances to another block's clusters."""
+    out = []
+    if not mine.empty and not others.empty:
+        y, kinds, ids = np.stack(others["curve"].to_list()), others["cluster"].to_numpy(), others["player_id"].to_numpy()
+        for k in range(0, len(mine), 32):
+            part = mine.iloc[k : k + 32]
+            d = np.sqrt(((np.stack(part["curve"].to_list())[:, None, :] - y[None]) ** 2).sum(axis=2))
+            other = part["player_id"].to_numpy()[:, None] != ids[None]
+            for c in np.unique(kinds):
+                here = other & (kinds == c)[None]
+                n, s = here.sum(axis=1), (d * here).sum(axis=1)
+                out += [(int(p), int(own), int(c), float(x), int(m)) for p, own, x, m in zip(part["player_id"], part["cluster"], s, n, strict=True) if m]
+    return pd.DataFrame(out, columns=["player_id", "cluster", "c", "s", "n"])
+
+
+def silhouettes(labelled: DataFrame, block: int = 2048) -> DataFrame:
     """Exact Euclidean silhouette of every curve against all others.
 
-    Curves are dealt into blocks of bounded size; a row holds two blocks, so
-    no pair becomes a row.  A cluster of one has inner distance 0.
+    Curves are dealt into blocks of bounded size; two blocks meet in a task
+    and only sums by cluster leave it.  A cluster of one has inner distance 0.
     """
+    labelled = written(labelled.select("player_id", "cluster", "curve"), "labelled")
     blocks = max(1, -(-labelled.count() // block))
-    own = labelled.select(F.pmod(F.xxhash64("player_id"), F.lit(blocks)).alias("own"), F.struct("player_id", "cluster", "curve").alias("m"))
-    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    left = dealt.select(F.col("own").alias("a"), F.col("other").alias("b"), F.col("m").alias("x"), F.lit(None).cast(dealt.schema["m"].dataType).alias("y"))
-    right = dealt.select(F.col("other").alias("a"), F.col("own").alias("b"), F.lit(None).cast(dealt.schema["m"].dataType).alias("x"), F.col("m").alias("y"))
-    held = left.unionByName(right).groupBy("a", "b").agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("others"))
-    rows = held.select(F.explode("xs").alias("x"), "others").select("x.*", "others")
-    other = F.transform(
-        F.filter("others", lambda o: o["player_id"] != F.col("player_id")),
-        lambda o: F.struct(o["cluster"].alias("c"), F.sqrt(squared_distance(F.col("curve"), o["curve"])).alias("d")),
-    )
-    flat = rows.select("player_id", "cluster", F.explode(_by_cluster(other)).alias("part"))
-    sums = flat.groupBy("player_id", "cluster", F.col("part.c").alias("c")).agg((F.sum("part.s") / F.sum("part.n")).alias("mean"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    own = F.pmod(F.xxhash64("player_id"), F.lit(blocks).cast("long"))
+    left = labelled.withColumn("a", own).withColumn("b", every)
+    right = labelled.withColumn("b", own).withColumn("a", every)
+    right = right.toDF(*right.columns)
+    flat = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(_block_sums, "player_id long, cluster int, c int, s double, n long")
+    sums = flat.groupBy("player_id", "cluster", "c").agg((F.sum("s") / F.sum("n")).alias("mean"))
     out = sums.groupBy("player_id", "cluster").agg(
         F.coalesce(F.max(F.when(F.col("c") == F.col("cluster"), F.col("mean"))), F.lit(0.0)).alias("a"),
         F.min(F.when(F.col("c") != F.col("cluster"), F.col("mean"))).alias("b"),
@@ -127,16 +164,6 @@ def silhouettes(labelled: DataFrame, block: int = 256) -> DataFrame:
     return out.withColumn("silhouette", (F.col("b") - F.col("a")) / F.greatest("a", "b"))
 
 
-def _by_cluster(other: Column) -> Column:
-    names = F.array_distinct(F.transform(other, lambda o: o["c"]))
-
-    def part(c: Column) -> Column:
-        mine = F.filter(other, lambda o: o["c"] == c)
-        return F.struct(c.alias("c"), F.aggregate(mine, F.lit(0.0), lambda s, o: s + o["d"]).alias("s"), F.size(mine).alias("n"))
-
-    return F.transform(names, part)
-
-
 def bands(labelled: DataFrame) -> DataFrame:
     """Quartiles of the curves of each cluster at each place."""
     rows = labelled.select("cluster", F.posexplode("curve").alias("place", "v"))

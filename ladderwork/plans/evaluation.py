@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ladderwork.functions import scalar, selection, stats
+from ladderwork.functions import ranks, scalar, selection, stats
 from ladderwork.functions.windows import first_n, latest
 from ladderwork.plans.performance import PERF_SQL, performed
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events, season_ratings
 from ladderwork.sources.arena import read
-from ladderwork.sources.warehouse import written
+from ladderwork.sources.warehouse import maybe_broadcast, written
 
 WINDOW, LEAST = 10, 5
 
@@ -119,10 +119,10 @@ def as_of_team_game(spark, sf):
     """Ratings after a team's 41st game, or its last in a shorter season."""
     log = events(spark, sf)
     club = log.where("track = 'regular'").select("season", "team_id", "game_date", "game_id").distinct()
-    w = Window.partitionBy("season", "team_id")
-    numbered = club.withColumn("j", F.row_number().over(w.orderBy("game_date", "game_id"))).withColumn("n", F.count("*").over(w))
-    cut = numbered.where("j = least(n, 41)").select("season", "team_id", F.struct("game_date", "game_id").alias("cut"))
-    seen = log.join(F.broadcast(cut), ["season", "team_id"]).where(F.struct("game_date", "game_id") <= F.col("cut"))
+    numbered = ranks.numbered(club, ["season", "team_id"], ["game_date", "game_id"], "j")
+    game = F.struct("game_date", "game_id")
+    cut = numbered.where("j <= 41").groupBy("season", "team_id").agg(F.max(game).alias("cut"))
+    seen = log.join(maybe_broadcast(cut), ["season", "team_id"]).where(game <= F.col("cut"))
     last = latest(seen.select("season", "team_id", "player_id", "game_date", "game_id", "rating_after"), ["season", "team_id", "player_id"], ["game_date", "game_id"])
     return last.select("season", "team_id", "player_id", F.round("rating_after", 4).alias("rating"))
 

@@ -15,7 +15,7 @@ from ladderwork.plans.folds import BASE
 from ladderwork.plans.performance import performed
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import as_of, season_ratings
-from ladderwork.sources import warehouse
+from ladderwork.sources import sinks, warehouse
 
 VARIANTS = [replace(BASE, variant="pk0", playoff_multiplier=0.5), replace(BASE, variant="pk2", playoff_multiplier=2.0)]
 
@@ -24,7 +24,7 @@ def log_of(spark, sf, params=(BASE,)) -> DataFrame:
     """The event log of the variants, written to the shared folder by variant and season, and read again."""
     log = fold.rating_updates(performed(spark, sf), list(params))
     path = warehouse.new_path(spark, "event-log")
-    log.write.partitionBy("variant", "season").parquet(path)
+    sinks.write_events(log, path)
     return spark.read.schema(log.schema).parquet(path)
 
 

@@ -16,6 +16,7 @@ from ladderwork.operators import fold
 from ladderwork.plans.folds import BASE
 from ladderwork.plans.performance import PERF_SQL, performed
 from ladderwork.plans.registry import query
+from ladderwork.sources.warehouse import maybe_broadcast, written
 
 EVENTS_SQL = f"""{PERF_SQL},
 ev AS (
@@ -74,20 +75,25 @@ SELECT cut_season, player_id, round(rating_after, 4) AS rating FROM seen WHERE k
 
 
 def snapshots(log: DataFrame, cuts: DataFrame) -> DataFrame:
-    """as_of() for many cutoffs at once: each event counts from the first cutoff after it.
+    """as_of() for many cutoffs at once: each event counts from the first cutoff that is not before it.
 
-    The last event per player between two cutoffs is carried forward over the
-    few cutoffs, so events are not repeated per cutoff.
+    That cutoff is looked up by day, over the few days; a player's last state
+    before a cutoff holds until the cutoff before the player's next one, and
+    is laid out over these numbers only.
     """
-    dates = cuts.select("cut_season", "cut_date")
-    bounds = F.broadcast(dates.withColumn("from_date", F.lag("cut_date").over(Window.orderBy("cut_date"))))
-    day = F.to_date("game_date")
-    inside = log.join(bounds, (day <= F.col("cut_date")) & (F.col("from_date").isNull() | (day > F.col("from_date"))))
-    last = latest(inside.select("cut_season", "player_id", "game_date", "game_id", "rating_after"), ["cut_season", "player_id"], ["game_date", "game_id"])
-    spine = last.select("player_id").distinct().crossJoin(F.broadcast(dates.select("cut_season", "cut_date")))
-    carried = F.last("rating_after", True).over(Window.partitionBy("player_id").orderBy("cut_date").rowsBetween(Window.unboundedPreceding, 0))
-    filled = spine.join(last.select("cut_season", "player_id", "rating_after"), ["cut_season", "player_id"], "left").withColumn("rating", carried)
-    return filled.where("rating is not null").select("cut_season", "player_id", "rating")
+    order = Window.orderBy("cut_date")  # a row a season
+    dates = cuts.select("cut_season", "cut_date", F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy()).alias("of"))
+    dates = written(dates, "cutoffs")
+    days = log.select(F.to_date("game_date").alias("day"), F.lit(None).cast("int").alias("i")).distinct()
+    marks = days.unionByName(dates.select(F.col("cut_date").alias("day"), "i"))
+    following = F.first("i", True).over(Window.orderBy("day", F.col("i").isNotNull()).rowsBetween(0, Window.unboundedFollowing))  # a row a day
+    first_cut = marks.withColumn("first", following).where("i is null and first is not null").select("day", F.col("first").alias("i"))
+    rows = log.select("player_id", "game_date", "game_id", "rating_after", F.to_date("game_date").alias("day")).join(maybe_broadcast(first_cut), "day")
+    last = latest(rows.select("i", "player_id", "game_date", "game_id", "rating_after"), ["i", "player_id"], ["game_date", "game_id"])
+    last = last.join(F.broadcast(dates.select(F.max("of").alias("of"))))  # one row
+    until = F.coalesce(F.lead("i").over(Window.partitionBy("player_id").orderBy("i")) - 1, F.col("of").cast("int"))
+    held = last.withColumn("until", until).withColumn("i", F.explode(F.sequence("i", "until")))
+    return held.join(F.broadcast(dates.select("cut_season", "i")), "i").select("cut_season", "player_id", F.col("rating_after").alias("rating"))
 
 
 def cutoffs(spark, sf, column):
