@@ -170,3 +170,31 @@ def named_value(cell: Column) -> tuple[Column, Column]:
     pattern = r"^(.*) \(([0-9.]+)\)$"
     fits = F.regexp_like(cell, F.lit(pattern))
     return F.when(fits, F.regexp_extract(cell, pattern, 1)), F.when(fits, F.regexp_extract(cell, pattern, 2).try_cast("double"))
+
+
+def lift_kind(peak: Column, high: Column, edge: float = 0.01) -> Column:
+    """Class of a career by the relative lifts of its peak and of its high end."""
+    flat_peak, flat_high = F.abs(peak) < edge, F.abs(high) < edge
+    return (
+        F.when((peak <= -edge) | (high <= -edge), "playoff_penalty").when((peak >= edge) & (high >= edge), "playoff_redefined")
+        .when((peak >= edge) & flat_high, "playoff_spike").when(flat_peak & (high >= edge), "steady_boost").otherwise("playoff_neutral")
+    )
+
+
+def _decades(year: Column, first: str, last: str) -> Column:
+    return cut(year, [-9999, 1980, 1990, 2000, 2010, 2020, 9999], [first, "1980s", "1990s", "2000s", "2010s", last])
+
+
+def period_of_start(season: Column) -> Column:
+    """Period of the year in which a season starts."""
+    return _decades(season, "1976-79", "2020s")
+
+
+def period_of_end(year: Column) -> Column:
+    """Period of the year in which a season ends."""
+    return _decades(year, "1977-79", "2020-26")
+
+
+def fixed_decimals(value: Column, digits: int) -> Column:
+    """A number as text with exactly so many decimals."""
+    return F.format_string(f"%.{digits}f", value)

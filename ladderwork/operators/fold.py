@@ -125,7 +125,12 @@ def rating_updates(rows: DataFrame, params: list[RatingParams], state: DataFrame
     rows = with_games_before(rows, seed, reverse)
 
     def variant(number: int, p: RatingParams) -> Column:
-        first = F.lit(p.init_value) if start is None else F.coalesce(start, F.lit(p.init_value))
+        default = F.lit(p.init_value)
+        if p.init_mode == "draft":
+            if start is None:
+                raise ValueError("init mode draft needs a start_rating")
+            default = F.raise_error(F.concat(F.lit("no draft rating for player "), F.col("player_id").cast("string"))).cast("double")
+        first = default if start is None else F.coalesce(start, default)
         return F.struct(F.lit(number).alias("number"), F.lit(p.variant).alias("variant"), first.alias("start_rating"), step_size(p).alias("k_eff"))
 
     each = F.explode(F.array(*[variant(i, p) for i, p in enumerate(params)])).alias("v")

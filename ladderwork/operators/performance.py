@@ -57,6 +57,13 @@ def with_performance(rows: DataFrame, p: PerformanceParams = PerformanceParams()
     return out.withColumn("perf", F.when(seen, blend).otherwise(F.col("z_score")))
 
 
+def checked(rows: DataFrame) -> DataFrame:
+    """rows; a game whose shares of minutes do not sum to more than 0 is an error."""
+    total = F.sum("share").over(Window.partitionBy("game_id"))
+    fault = F.raise_error(F.concat(F.lit("game without a positive share of minutes: "), F.col("game_id").cast("string"))).cast("double")
+    return rows.withColumn("total_share", total).withColumn("share", F.when(F.col("total_share") > 0, F.col("share")).otherwise(fault)).drop("total_share")
+
+
 def with_games_before(rows: DataFrame, seed_games: Column | int = 0, reverse: bool = False) -> DataFrame:
     """games_before: games played need no fold, they are a row number."""
     order = ["game_date", "game_id"]
@@ -69,6 +76,8 @@ def with_games_before(rows: DataFrame, seed_games: Column | int = 0, reverse: bo
 def step_size(p: RatingParams) -> Column:
     """k_eff of a row with games_before and track."""
     k = k_effective(p.k, F.col("games_before"), p.rookie_boost, p.rookie_tau)
+    if p.rookie_ids is not None:
+        k = F.when(F.col("player_id").isin(*p.rookie_ids), k).otherwise(F.lit(float(p.k)))
     return F.when(F.col("track") == "playoffs", k * p.playoff_multiplier).otherwise(k)
 
 

@@ -40,8 +40,14 @@ class RatingParams:
     fixed_anchor: float = 1500.0
     surprise_scale: float = 285.0
     playoff_multiplier: float = 1.0
+    #: None: every player's first games are boosted; else only these players'
+    rookie_ids: tuple[int, ...] | None = None
+    #: "uniform": players without a start rating begin at init_value; "draft": they are an error
+    init_mode: str = "uniform"
 
     def __post_init__(self) -> None:
+        if self.init_mode not in ("uniform", "draft"):
+            raise ValueError(f"unknown init mode {self.init_mode!r}")
         if self.anchor not in (None, "fixed", "game", "league"):
             raise ValueError(f"unknown anchor {self.anchor!r}")
         if self.surprise_scale <= 0:

@@ -169,3 +169,32 @@ def test_results_on_the_log_equal_pandas(spark, sf):
     for r in QUERIES["rating_feb1_top"](spark, sf).collect():
         assert r.rating == pytest.approx(seen[r.season, r.player_id], abs=1e-3)
         assert r.place == 1 + (seen[r.season].round(6) > round(seen[r.season, r.player_id], 6)).sum()
+
+
+def test_only_rookies_are_boosted(spark):
+    df = spark.createDataFrame(games(), SCHEMA)
+    steps = lambda p: {(r.game_id, r.player_id): r.k_eff for r in fold.rating_updates(df, [p]).select("game_id", "player_id", "k_eff").collect()}
+    everybody, few, none = steps(RatingParams()), steps(RatingParams(rookie_ids=(1, 2))), steps(RatingParams(rookie_ids=()))
+    assert all(few[key] == (everybody[key] if key[1] in (1, 2) else none[key]) for key in few)
+    assert set(none.values()) == {RatingParams().k} and few != none != everybody
+
+
+def test_draft_mode_needs_a_rating_for_everybody(spark):
+    df, p = spark.createDataFrame(games(), SCHEMA), RatingParams(init_mode="draft")
+    with pytest.raises(ValueError):
+        fold.rating_updates(df, [p])
+    with pytest.raises(ValueError):
+        RatingParams(init_mode="other")
+    rated = df.selectExpr("*", "1500.0D + player_id AS start_rating")
+    assert fold.rating_updates(rated, [p]).count() == df.count()
+    with pytest.raises(Exception, match="no draft rating for player 3"):
+        fold.rating_updates(rated.selectExpr("* except (start_rating)", "nullif(start_rating, 1503.0D) AS start_rating"), [p]).collect()
+
+
+def test_a_game_without_shares_is_an_error(spark):
+    from ladderwork.operators.performance import checked
+
+    df = spark.createDataFrame(games(), SCHEMA)
+    assert checked(df).selectExpr("sum(share)").first()[0] == pytest.approx(df.selectExpr("sum(share)").first()[0])
+    with pytest.raises(Exception, match="positive share"):
+        checked(df.selectExpr("* except (share)", "CASE WHEN game_id = 3 THEN 0.0D ELSE share END AS share")).selectExpr("sum(share)").collect()
