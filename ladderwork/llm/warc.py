@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ladderwork.llm.common import maybe_broadcast, written
 from ladderwork.llm.extraction import blocks
 
 RESPONSES = "record_id string, target_uri string, date string, block binary"
@@ -231,52 +232,89 @@ def write_derivatives(derived: DataFrame, path: str, warc_type: str) -> None:
     rows.write.option("lineSep", SEPARATOR).option("compression", "gzip").text(path)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, plain or compressed (also a member per record), by Spark's text reader.
+def _parsed(piece: bytes) -> tuple[dict[str, str], bytes] | None:
+    """Named fields and block of a piece that looks like a record's begin.
 
-    A file is cut where a record begins, so its size does not matter; a plain
-    one is read by many tasks.  A block that itself holds such a place is put
-    together again by its length; `whole` is false where that fails.
+    A block that begins with a version line leaves a piece that is a head alone.
     """
+    head, _, block = piece.partition(b"\r\n\r\n")
+    first, *lines = head.split(b"\r\n")
+    if not lines or not re.fullmatch(rb"(WARC/1\.)?\d", first.strip()):
+        return None
+    return {k.decode("utf-8", "replace").strip(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}, block
 
-    def parsed(piece: bytes) -> tuple[dict[str, str], bytes] | None:
-        head, found, block = piece.partition(b"\r\n\r\n")
-        first, *lines = head.split(b"\r\n")
-        if not found or not re.fullmatch(rb"(WARC/1\.)?\d", first.strip()):
-            return None
-        return {k.decode().strip(): v.decode("utf-8", "replace").strip() for k, _, v in (x.partition(b":") for x in lines)}, block
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["warc_type", "record_id", "target_uri", "date", "headers", "block", "whole"]
-        head, block, out = None, b"", []
+def _length(head: dict[str, str]) -> int:
+    size = head.get("Content-Length", "")
+    return int(size) if size.isdigit() else 0
 
-        def ended() -> None:
-            size = int(head.get("Content-Length", 0))
-            rest = block[size:]
-            row = [head.get("WARC-Type"), head.get("WARC-Record-ID"), head.get("WARC-Target-URI"), head.get("WARC-Date"), head, block[:size]]
-            out.append([*row, len(block) >= size and not rest.strip()])
 
+def _row_of(head: dict[str, str], block: bytes) -> list:
+    size, known = _length(head), head.get("Content-Length", "").isdigit()
+    named_fields = [head.get(k) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Target-URI", "WARC-Date")]
+    return [*named_fields, head, block[:size], known and len(block) >= size and not block[size:].strip()]
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, plain or compressed (also a member per record), by Spark's text reader.
+
+    A plain file is read by many tasks, cut where a record may begin.  Which
+    of these places are in a record's block is told by walking a file's
+    lengths from its begin, over an index of a few numbers a piece; pieces of
+    a block that holds such places are put together again, all others are
+    parsed where they are read.  Empty files have no records; bytes that
+    belong to no record (a file that does not begin with one) are left out.
+    `whole` is false for a record that is shorter or longer than it says.
+    """
+    text = spark.read.option("lineSep", START.decode()).text(path)
+    pieces = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.col("value").cast("binary").alias("value")
+    ).withColumn("piece", F.monotonically_increasing_id())
+
+    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for piece in map(bytes, batch["value"]):
-                found = parsed(piece)
-                if head is not None and (found is None or len(block) < int(head.get("Content-Length", 0))):
-                    block += START + piece
-                    continue
-                if head is not None:
-                    ended()
-                if found is not None:
-                    head, block = found
-            if out:
-                yield pd.DataFrame(out, columns=names)
-                out = []
-        if head is not None:
-            ended()
-            yield pd.DataFrame(out, columns=names)
-
-    pieces = spark.read.option("lineSep", START.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
-    return pieces.mapInPandas(
-        run, "warc_type string, record_id string, target_uri string, date string, headers map<string,string>, block binary, whole boolean"
-    )
+            rows = []
+            for value in map(bytes, batch["value"]):
+                found = _parsed(value)
+                # of a head alone the four bytes that end it are still to come
+                held = None if found is None else len(found[1]) if b"\r\n\r\n" in value else -4
+                rows.append((len(value), held is not None, held or 0, _length(found[0]) if found else 0))
+            sizes = pd.DataFrame(rows, columns=["size", "begins", "held", "length"])
+            yield pd.concat([batch[["file", "at", "piece"]].reset_index(drop=True), sizes], axis=1)
+
+    def walked(group: pd.DataFrame) -> pd.DataFrame:
+        """Pieces that continue another's record (or, with -1, none's)."""
+        out, record, missing = [], -1, 0
+        group = group.sort_values(["at", "piece"])
+        for piece, size, begins, held, length in group[["piece", "size", "begins", "held", "length"]].itertuples(index=False):
+            if missing <= 0 and begins:
+                record, missing = piece, length - held
+            else:
+                out.append((piece, record))
+                missing -= size + len(START)
+        return pd.DataFrame(out, columns=["piece", "record"])
+
+    index = pieces.mapInPandas(measured, "file string, at long, piece long, size long, begins boolean, held long, length long")
+    moved = index.groupBy("file").applyInPandas(walked, "piece long, record long")
+    moved = written(moved, "continued-pieces")
+    shared = moved.where("record >= 0").select(F.col("record").alias("piece"), "record").distinct()
+    places = maybe_broadcast(moved.unionByName(shared).withColumnRenamed("piece", "of_piece"))
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [_parsed(value) for value in map(bytes, batch["value"])]
+            yield pd.DataFrame([_row_of(*x) for x in found if x is not None], columns=names)
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        head, block = _parsed(START.join(map(bytes, group.sort_values(["at", "piece"])["value"])))
+        return pd.DataFrame([_row_of(head, block)], columns=names)
+
+    schema = "warc_type string, record_id string, target_uri string, date string, headers map<string,string>, block binary, whole boolean"
+    names = [c.split()[0] for c in schema.split(", ")]
+    same = F.col("piece") == F.col("of_piece")
+    alone = pieces.join(places, same, "left_anti").select("value").mapInPandas(one, schema)
+    several = pieces.join(places, same).where("record >= 0").groupBy("record").applyInPandas(joined, schema)
+    return alone.unionByName(several)
 
 
 def page_derivatives(pages: DataFrame, p: WarcParams = WarcParams()) -> DataFrame:
