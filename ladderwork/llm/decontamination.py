@@ -105,12 +105,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, p: DecontaminationParams = Decon
 def _met_by_shuffle(docs: DataFrame, texts: DataFrame, prefix: DataFrame, widths: list[int]) -> DataFrame:
     """doc_id, text_key, pos, at, len and window_id of verified occurrences, without a broadcast.
 
-    Two rows with one hash only cost a comparison: the words decide.
+    Two rows with one hash only cost a comparison: the words decide.  Equal
+    rows share one set of places, so k of them meet it k times and not k * k.
     """
     row = F.xxhash64("doc_id", "text")
     places = _shingled(texts.select(row.alias("row"), "words"), widths).select("row", "pos", "shingle")
     met = places.join(prefix.select("shingle", "at", "len", "window_id"), "shingle").where("pos >= at")
-    by_row = met.groupBy("row").agg(F.collect_list(F.struct("pos", "at", "len", "window_id")).alias("met"))
+    by_row = met.groupBy("row").agg(F.collect_set(F.struct("pos", "at", "len", "window_id")).alias("met"))
     rows = docs.select(row.alias("row"), "doc_id", "text").join(by_row, "row").withColumn("words", words(F.col("text")))
     each = rows.select("doc_id", "text", "words", F.explode("met").alias("m")).select("doc_id", "text", "words", "m.*")
     fits = each.where("pos - at + len <= size(words)").withColumn("seen", F.expr("slice(words, pos - at + 1, len)"))
