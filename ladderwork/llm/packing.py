@@ -176,6 +176,7 @@ def packed(docs: DataFrame, p: PackingParams | None = None) -> DataFrame:
                 at += n
         return shard.drop(columns="shard").assign(sequence_id=sequence, offset=offset)
 
-    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    # a running number tells equal rows apart, so that no shard gets them all
+    dealt = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     out = dealt.groupBy("shard").applyInPandas(pack, PIECES + ", sequence_id long, offset long")
     return out.withColumn("doc_id", null_id("doc_id"))
