@@ -5,7 +5,9 @@ block's ancestors and class names, its length, link share and punctuation,
 gives each block a capacity to the content terminal and one to the boilerplate
 terminal.  The weights are set by hand (`ExtractionParams`), not fitted; each
 hint is bounded, names that only lay out a page yield to an article inside,
-and class names of html and body say nothing.  Neighbouring blocks are joined by edges whose capacity grows with
+class names of html and body say nothing, and neither does any class or id
+name that would take most of the page's text.  Where the cut keeps nothing,
+the blocks outside furniture are the text.  Neighbouring blocks are joined by edges whose capacity grows with
 what their DOM paths share.  Maximum flow separates content from boilerplate
 at least cost.  Each page is handled by one call on one row; Spark deals the
 rows out.
@@ -78,6 +80,20 @@ class Block:
     link_chars: int
 
 
+@dataclass(frozen=True)
+class Marks:
+    """What an element's own name, class and id say."""
+
+    article: bool = False
+    heading: bool = False
+    #: an element that always holds furniture; a name that does
+    element: bool = False
+    named: bool = False
+    #: an element or name that may also lay out a page
+    layout: bool = False
+    laid_by_name: bool = False
+
+
 @dataclass
 class Page:
     blocks: list[Block]
@@ -94,41 +110,52 @@ class Page:
         return self.depths[a]
 
 
-@dataclass(frozen=True)
-class _State:
-    """What holds inside an element."""
+def _marks(name: str, named: str) -> Marks:
+    """An element's own hints; class names of html and body say nothing."""
+    named = STATE_NAMES.sub("", "" if name in ("html", "body") else named)
+    other, laid = bool(OTHER_NAMES.search(named)), bool(LAYOUT_NAMES.search(named))
+    article = name in ("article", "main") or bool(named and not laid and not other and name not in FURNITURE and CONTENT_NAMES.search(named))
+    return Marks(article, name in HEADINGS, name in ALWAYS, other, name in FURNITURE and name not in ALWAYS, laid)
 
-    name: str = ""
-    node: int = 0
-    article: bool = False
-    #: strong hints: elements and names of furniture; and weak ones that an article inside takes back
-    furniture: int = 0
-    layout: int = 0
-    heading: bool = False
-    hidden: bool = False
-
-
-def _inside(before: _State, name: str, named: str, node: int) -> _State:
-    """The state inside an element of this name, with these class and id names, below another."""
-    article, furniture, layout = before.article, before.furniture, before.layout
-    if name in ("html", "body"):
-        named = ""
-    named = STATE_NAMES.sub("", named)
-    other = bool(OTHER_NAMES.search(named))
-    laid = bool(LAYOUT_NAMES.search(named)) or (name in FURNITURE and name not in ALWAYS)
-    if laid and article and name == "header":  # an article's own head holds its title
-        laid = False
-    if name in ("article", "main") or (named and not laid and not other and CONTENT_NAMES.search(named)):
-        article, layout = True, 0
-    furniture += other or name in ALWAYS
-    layout += laid
-    return _State(name, node, article, furniture, layout, before.heading or name in HEADINGS, before.hidden or name in HIDDEN)
-
-
-def page_of(html: str) -> Page:
-    """The page's blocks in order, with white space closed up and references decoded."""
+
+def _placed(page: Page, marks: list[Marks], names: list[str], p_share: float) -> Page:
+    """The blocks with the hints of their ancestors.
+
+    A name that would take more than `p_share` of the page's text outside
+    furniture elements says nothing: furniture is the lesser part of a page.
+    """
+    under, always = [0] * len(marks), [False] * len(marks)
+    for k in range(1, len(marks)):
+        always[k] = always[page.parents[k]] or marks[k].element
+    for b in page.blocks:
+        if not always[b.node]:
+            under[b.node] += len(b.text)
+    for k in range(len(marks) - 1, 0, -1):
+        under[page.parents[k]] += under[k]
+    article, furniture, layout, heading = ([0] * len(marks) for _ in range(4))
+    for k in range(1, len(marks)):
+        m, up = marks[k], page.parents[k]
+        heard = under[k] <= p_share * under[0]
+        laid = m.layout or (m.laid_by_name and heard)
+        if laid and article[up] and names[k] == "header":  # an article's own head holds its title
+            laid = False
+        article[k] = article[up] or m.article
+        layout[k] = (0 if m.article else layout[up]) + laid
+        furniture[k] = furniture[up] + (m.element or (m.named and heard))
+        heading[k] = heading[up] or m.heading
+    for b in page.blocks:
+        b.inside_article, b.furniture, b.layout, b.heading = bool(article[b.node]), furniture[b.node], layout[b.node], bool(heading[b.node])
+    return page
+
+
+def page_of(html: str, most: float = 0.6) -> Page:
+    """The page's blocks in order, with white space closed up and references decoded.
+
+    most: the share of the page's text that a name may take for furniture.
+    """
     out, parents, depths = [], [0], [0]
-    stack = [_State()]
+    marks, names = [Marks()], [""]
+    stack = [("", 0, False)]  # name, node and whether what is inside is hidden
     open_names: dict[str, int] = {}
     words: list[str] = []
     links, at = 0, 0
@@ -138,18 +165,17 @@ def page_of(html: str) -> Page:
         text = " ".join(html_lib.unescape("".join(words)).split())
         words.clear()
         if text:
-            now = stack[-1]
-            out.append(Block(text, now.node, now.article, now.furniture, now.layout, now.heading, min(links, len(text))))
+            out.append(Block(text, stack[-1][1], False, 0, 0, False, min(links, len(text))))
         links = 0
 
     def pop() -> None:
-        open_names[stack.pop().name] -= 1
+        open_names[stack.pop()[0]] -= 1
 
     size, last = len(html), html.rfind(">")
     while at < size:
         m = _TOKEN.search(html, at) if at <= last else None
         piece = html[at : m.start()] if m else html[at:].partition("<!--")[0]
-        if piece and not stack[-1].hidden:
+        if piece and not stack[-1][2]:
             words.append(piece)
             if open_names.get("a"):
                 links += len(piece)
@@ -163,26 +189,29 @@ def page_of(html: str) -> Page:
             flush()
         if closing:
             if open_names.get(name):
-                while stack[-1].name != name:
+                while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name in VOID:
             continue
-        if name in ("p", "li") and stack[-1].name == name:  # an open one ends here
+        if name in ("p", "li") and stack[-1][0] == name:  # an open one ends here
             pop()
         named = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] else ""
         if not m[3].endswith("/") or name not in ("svg", "iframe", "object"):
-            parents.append(stack[-1].node)
-            depths.append(depths[stack[-1].node] + 1)
-            stack.append(_inside(stack[-1], name, named, len(parents) - 1))
+            above = stack[-1]
+            parents.append(above[1])
+            depths.append(depths[above[1]] + 1)
+            marks.append(_marks(name, named))
+            names.append(name)
+            stack.append((name, len(parents) - 1, above[2] or name in HIDDEN))
             open_names[name] = open_names.get(name, 0) + 1
         if name in _RAW_END:
             end = _RAW_END[name].search(html, at)
             if name != "textarea":
                 at = end.start() if end else size
     flush()
-    return Page(out, parents, depths)
+    return _placed(Page(out, parents, depths), marks, names, most)
 
 
 def blocks(html: str) -> list[Block]:
@@ -204,6 +233,10 @@ class ExtractionParams:
     shared: float = 0.25
     #: a page with an article element has its text there
     outside: float = -3.5
+    #: a page without one is text but for its furniture
+    unmarked: float = 0.6
+    #: share of a page's text that a class or id name may take for furniture
+    most: float = 0.6
 
 
 def costs(found: list[Block], p: ExtractionParams) -> list[float]:
@@ -213,7 +246,7 @@ def costs(found: list[Block], p: ExtractionParams) -> list[float]:
     for b in found:
         n = len(b.text)
         x = p.bias + p.length * log(1 + n / 20) + p.links * b.link_chars / n + p.sentence * (b.text[-1] in ".!?…:;\"”»)")
-        x += p.heading * b.heading + (p.article if b.inside_article else p.outside if marked else 0.0)
+        x += p.heading * b.heading + (p.article if b.inside_article else p.outside if marked else p.unmarked)
         out.append(x + (p.furniture if b.furniture else p.layout if b.layout else 0.0))
     return out
 
@@ -283,7 +316,7 @@ def min_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[bo
 
 
 def main_text(html: str | None, p: ExtractionParams = ExtractionParams()) -> str:
-    page = page_of(html or "")
+    page = page_of(html or "", p.most)
     found = page.blocks
     if not found:
         return ""
@@ -299,6 +332,8 @@ def main_text(html: str | None, p: ExtractionParams = ExtractionParams()) -> str
             edges.append((j, i, p.shared))
         seen[page.parents[b.node]] = i
     keep = min_cut(costs(found, p), edges)
+    if not any(keep):  # a page has its text outside furniture, if there is any
+        keep = [not b.furniture and not b.layout for b in found]
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
