@@ -91,8 +91,8 @@ def token_blocks(docs: DataFrame, p: HiddenMarkovParams) -> DataFrame:
             words, first, codes = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
             ends = np.concatenate(endings)[first]
             at = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-            parts = (np.array(ids, dtype=np.int64), at, np.array(held, dtype=bool), words, _small(ends, p))
-            row = [block, *(x.tobytes() for x in parts), _packed(codes, len(words))]
+            parts = (np.array(ids, dtype=np.int64), at, np.array(held, dtype=bool))
+            row = [block, *(x.tobytes() for x in parts), _gaps(words), _small(ends, p).tobytes(), _packed(codes, len(words))]
             return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -126,6 +126,17 @@ def _packed(codes: np.ndarray, n_words: int) -> bytes:
     return zstandard.compress(codes.astype(np.uint16 if n_words <= 1 << 16 else np.uint32).tobytes(), 1)
 
 
+def _gaps(words: np.ndarray) -> bytes:
+    """Sorted hashes as gaps, byte planes apart: the high ones are nearly empty and compress away."""
+    gaps = np.diff(words, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _token_mask(at: np.ndarray, held: np.ndarray) -> np.ndarray:
     return np.repeat(~held, np.diff(at))
 
@@ -133,7 +144,7 @@ def _token_mask(at: np.ndarray, held: np.ndarray) -> np.ndarray:
 def _arrays(row) -> tuple[np.ndarray, ...]:
     at, codes = np.frombuffer(row.at, np.int64), zstandard.decompress(row.codes)
     return (
-        np.frombuffer(row.doc_ids, np.int64), at, np.frombuffer(row.held, bool), np.frombuffer(row.words, np.uint64),
+        np.frombuffer(row.doc_ids, np.int64), at, np.frombuffer(row.held, bool), _from_gaps(row.words),
         np.frombuffer(row.endings, np.uint16), np.frombuffer(codes, np.uint16 if len(codes) == 2 * at[-1] else np.uint32),
     )
 
