@@ -27,13 +27,14 @@ training tokens every score is 0.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladderwork.llm import textscan
@@ -392,9 +393,30 @@ def baum_welch(blocks: DataFrame, model: Model, p: HiddenMarkovParams) -> Model:
     return model
 
 
+#: Blocks in one Arrow batch; the default of 10,000 rows would hold a task's blocks all at once.
+BLOCKS_AT_ONCE = 2
+
+
+@contextmanager
+def _few_at_once(spark: SparkSession) -> Iterator[None]:
+    """Jobs that start inside hand few blocks at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, BLOCKS_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text)."""
     blocks = written(token_blocks(docs, p), "token-blocks")
+    with _few_at_once(docs.sparkSession):
+        return _scores(docs, blocks, p)
+
+
+def _scores(docs: DataFrame, blocks: DataFrame, p: HiddenMarkovParams) -> DataFrame:
     words = block_words(blocks)
     counts = written(corpus_counts(words), "word-counts")
     model, train_tokens = _frame(counts, p)
@@ -430,6 +452,6 @@ def scores(docs: DataFrame, p: HiddenMarkovParams = HiddenMarkovParams()) -> Dat
     out = blocks.join(back, "block", "left").mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     )
-    return out.select(
+    return written(out, "scores").select(
         null_id("doc_id"), "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
     )
