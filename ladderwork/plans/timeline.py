@@ -81,6 +81,7 @@ def snapshots(log: DataFrame, cuts: DataFrame) -> DataFrame:
     before a cutoff holds until the cutoff before the player's next one, and
     is laid out over these numbers only.
     """
+    log = written(log.select("player_id", "game_date", "game_id", "rating_after"), "snapshot-log")  # read twice
     order = Window.orderBy("cut_date")  # a row a season
     dates = cuts.select("cut_season", "cut_date", F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy()).alias("of"))
     dates = written(dates, "cutoffs")
