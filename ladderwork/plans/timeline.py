@@ -81,7 +81,6 @@ def snapshots(log: DataFrame, cuts: DataFrame) -> DataFrame:
     before a cutoff holds until the cutoff before the player's next one, and
     is laid out over these numbers only.
     """
-    log = written(log.select("player_id", "game_date", "game_id", "rating_after"), "snapshot-log")  # read twice
     order = Window.orderBy("cut_date")  # a row a season
     dates = cuts.select("cut_season", "cut_date", F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy()).alias("of"))
     dates = written(dates, "cutoffs")
@@ -97,8 +96,11 @@ def snapshots(log: DataFrame, cuts: DataFrame) -> DataFrame:
     return held.join(F.broadcast(dates.select("cut_season", "i")), "i").select("cut_season", "player_id", F.col("rating_after").alias("rating"))
 
 
-def cutoffs(spark, sf, column):
-    return events(spark, sf).select(F.col("season").alias("cut_season")).distinct().withColumn("cut_date", column)
+def seasonal_snapshots(spark, sf, column):
+    """Snapshots at a date of each season; the log is written once, for its seasons, days and rows."""
+    log = written(events(spark, sf).select("season", "player_id", "game_date", "game_id", "rating_after"), "snapshot-log")
+    cuts = log.select(F.col("season").alias("cut_season")).distinct().withColumn("cut_date", column)
+    return _rounded(snapshots(log, cuts))
 
 
 def _rounded(df):
@@ -107,12 +109,12 @@ def _rounded(df):
 
 @query(_snapshot("make_date(season + 1, 2, 1)"))
 def snapshot_feb1(spark, sf):
-    return _rounded(snapshots(events(spark, sf), cutoffs(spark, sf, F.make_date(F.col("cut_season").cast("int") + 1, F.lit(2), F.lit(1)))))
+    return seasonal_snapshots(spark, sf, F.make_date(F.col("cut_season").cast("int") + 1, F.lit(2), F.lit(1)))
 
 
 @query(_snapshot("CASE WHEN season = 1998 THEN DATE '1999-02-14' WHEN season = 2020 THEN DATE '2021-03-01' ELSE make_date(season + 1, 2, 1) END"))
 def snapshot_special_cutoff(spark, sf):
-    return _rounded(snapshots(events(spark, sf), cutoffs(spark, sf, all_star_cutoff(F.col("cut_season")))))
+    return seasonal_snapshots(spark, sf, all_star_cutoff(F.col("cut_season")))
 
 
 @query(f"""
