@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def write_events(updates: DataFrame, path: str) -> None:
-    """The event log by variant and season, so that readers prune both."""
-    updates.repartition("variant", "season").sortWithinPartitions("game_date", "game_id", "player_id").write.mode(
+    """The event log by variant and season, so that readers prune both; a season's games are dealt over all tasks."""
+    tasks = int(updates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    updates.repartition("variant", "season", F.pmod(F.xxhash64("game_id"), F.lit(tasks))).sortWithinPartitions("game_date", "game_id", "player_id").write.mode(
         "overwrite"
     ).partitionBy("variant", "season").parquet(path)
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import pytest
 
-from ladderwork.operators import fold, quality
+from ladderwork.operators import fold, leagues, quality
 from ladderwork.operators.performance import with_performance
 from ladderwork.schema import RatingParams
 
@@ -198,3 +198,53 @@ def test_a_game_without_shares_is_an_error(spark):
     assert checked(df).selectExpr("sum(share)").first()[0] == pytest.approx(df.selectExpr("sum(share)").first()[0])
     with pytest.raises(Exception, match="positive share"):
         checked(df.selectExpr("* except (share)", "CASE WHEN game_id = 3 THEN 0.0D ELSE share END AS share")).selectExpr("sum(share)").collect()
+
+
+@pytest.mark.parametrize("change", [{}, {"anchor": "league"}, {"theta": 0.6}])
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("limit", [1000, 60])
+def test_leagues_fold_side_by_side_and_in_rounds(spark, change, reverse, limit):
+    """Two leagues; with a limit of 60 rows each is folded in several rounds of days."""
+    rows, p = games() + [(g + 1000, d, s, t, 100 + x, *rest) for g, d, s, t, x, *rest in games(30, seed=5)], replace(RatingParams(), **change)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = fold.checkpoint(fold.rating_updates(df, [p], limit=limit)) if not reverse else None
+    if reverse:
+        log = fold.rating_updates(df, [p], reverse=True, limit=limit).collect()
+        last = {}
+        for u in sorted(log, key=lambda u: (u.game_date, u.game_id), reverse=True):
+            last[u.player_id] = (u.rating_after, u.games_before + 1)
+    else:
+        last = {r.player_id: (r.rating, r.games_played) for r in got.collect()}
+    want = brute(rows, p, reverse=reverse)
+    assert last.keys() == want.keys()
+    for x in want:
+        assert last[x] == pytest.approx(want[x], abs=1e-9)
+
+
+def test_a_league_is_a_task_of_its_own(spark):
+    """One sequence for each league, not one for all rows."""
+    rows = games() + [(g + 1000, d, s, t, 100 + x, *rest) for g, d, s, t, x, *rest in games(30, seed=5)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = {r.player_id: r.league for r in leagues.leagues(df).collect()}
+    assert set(found.values()) == {min(x for x in found if x < 100), min(x for x in found if x >= 100)}
+    assert leagues.leagues(df).agg({"n": "sum"}).first()[0] == len(rows)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long").repartition(4)
+    assert {r.u: r.v for r in leagues.stars(chain).collect()} == {i: 0 for i in range(1, 201)} | {501: 500}
+
+
+def test_league_anchor_with_start_ratings(spark):
+    rows, p = games(), RatingParams(anchor="league")
+    state = {x: (1300.0 + 10 * x, 0) for x in range(30)}
+    rated = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1300.0D + 10 * player_id AS start_rating")
+    want = brute(rows, p, state)
+    got = {r.player_id: r.rating for r in fold.checkpoint(fold.rating_updates(rated, [p])).collect()}
+    assert got == pytest.approx({x: r for x, (r, _) in want.items()}, abs=1e-9)
+
+
+def test_team_fold_in_rounds(spark):
+    rng = random.Random(3)
+    rows = [(g, dt.datetime(2000, 1, 1) + dt.timedelta(days=g // 3), *rng.sample("abcde", 2), float(rng.random() < 0.6)) for g in range(60)]
+    df = spark.createDataFrame(rows, "game_id long, game_date timestamp_ntz, home_team string, away_team string, home_won double")
+    key = lambda r: (r.game_id, r.team)
+    one, many = (sorted(fold.team_updates(df, home_advantage=65.0, limit=n).collect(), key=key) for n in (1000, 10))
+    assert one == many and len(one) == 120
