@@ -232,12 +232,17 @@ def entry_exit(spark, sf):
 @query(f"""
 WITH {EVENTS_SQL}, firsts AS (SELECT player_id, min(season) AS season FROM ev GROUP BY 1),
 m AS (SELECT e.*, f.player_id IS NOT NULL AS entry, CASE WHEN n.player_id IS NULL THEN e.rating_after END AS gone FROM ending e LEFT JOIN firsts f ON f.player_id = e.player_id AND f.season = e.season
-  LEFT JOIN ending n ON n.player_id = e.player_id AND n.season = e.season + 1)
-SELECT count(*) AS players, count(*) FILTER (entry) AS entries, count(gone) AS exits, round(median(gone), 4) AS exit_median, round(quantile_cont(gone, 0.25), 4) AS exit_q25 FROM m
+  LEFT JOIN ending n ON n.player_id = e.player_id AND n.season = e.season + 1),
+every AS (SELECT count(*) AS all_players, count(*) FILTER (entry) AS all_entries, count(gone) AS all_exits, round(median(gone), 4) AS all_exit_median, round(quantile_cont(gone, 0.25), 4) AS all_exit_q25 FROM m),
+seasons AS (SELECT season, count(*) AS players, count(*) FILTER (entry) AS entries, count(gone) AS exits, round(median(gone), 4) AS exit_median, round(quantile_cont(gone, 0.25), 4) AS exit_q25 FROM m GROUP BY season)
+SELECT * FROM seasons, every
 """)
 def entry_exit_all(spark, sf):
-    """Entries and exits of all seasons together: one group of any size."""
-    return entries_exits(events(spark, sf), keys=())
+    """Entries and exits of every season, beside those of all seasons together: one group of any size."""
+    log = events(spark, sf)
+    every = entries_exits(log, keys=())
+    every = every.select(*[F.col(c).alias(f"all_{c}") for c in every.columns])
+    return entries_exits(log).join(F.broadcast(every))  # one row
 
 
 _DRAW = "(((((12345 + {a} % 2147483647) * 48271) % 2147483647 + {b} % 2147483647) * 48271) % 2147483647 * 48271) % 2147483647"

@@ -129,3 +129,20 @@ def test_whole_table_queries_use_every_row(spark, sf):
     assert {days.a, days.b} <= {r.day for r in got.collect()}
     sparse = spark.createDataFrame([(1, d) for d in (1, 3, 8, 20, 22)], "season int, d int").selectExpr("season", "date_add(date'2000-01-01', d) AS day")
     assert sorted(r.day.day - 1 for r in leaderboard.greedy_frames(sparse, ["season"], 7).collect()) == [1, 8, 20, 22]
+
+
+def test_whole_scores(spark):
+    """Sums of scores of game 123432 of sf0.1 in three orders; the score is 189."""
+    for total in (188.99999999999997, 189.0, 189.00000000000003):
+        assert one(spark, scalar.whole_score(F.lit(total))) == 189
+    assert one(spark, scalar.whole_score(F.lit(188.99999))) == 188
+
+
+def test_entry_exit_all_has_every_season(spark, sf):
+    from ladderwork.plans.registry import QUERIES
+
+    seasons = {r.season: r.asDict() for r in QUERIES["entry_exit"](spark, sf).collect()}
+    rows = QUERIES["entry_exit_all"](spark, sf).collect()
+    assert {r.season for r in rows} == set(seasons) and len(rows) == len(seasons)
+    for r in rows:
+        assert all(r[c] == v for c, v in seasons[r.season].items()) and r.all_players == sum(s["players"] for s in seasons.values())
