@@ -102,3 +102,17 @@ def test_windows_begin_after_each_players_own_boundary(spark):
 def test_a_shorter_season_counts_whole(spark):
     out = {r.player_id: r.rating for r in sampled(log_of(spark, [(1, 1, 10, 1600.0, 0.0), (1, 2, 20, 1400.0, 0.0)]), (41,)).collect()}
     assert out == {1: 1600.0, 2: 1400.0}
+
+
+def test_ranks_of_values_that_differ_from_run_to_run(spark):
+    """Values that a second run of the plan computes otherwise must not be lost in the join on them."""
+    from pyspark.sql import functions as F
+
+    from ladderwork.functions import ranks, stats
+
+    shaky = F.udf(lambda i: i + __import__("random").random() / 2, "double").asNondeterministic()
+    df = spark.range(200).select("id", shaky("id").alias("v"), (F.col("id") * 2.0).alias("w"))
+    assert sorted((r.id, r.k) for r in ranks.average_ranks(df, [], "v", "k").collect()) == [(i, i + 1.0) for i in range(200)]
+    assert sorted((r.id, r.k) for r in ranks.dense_ranks(df, [], "v", "k", descending=False).collect()) == [(i, i + 1) for i in range(200)]
+    row = stats.spearman(df, [], "v", "w").first()
+    assert row.n == 200 and abs(row.rho - 1) < 1e-12
