@@ -53,8 +53,8 @@ SELECT game_id, player_id, CASE WHEN home THEN 'O' ELSE 'F' END AS opponent,
 def game_context(spark, sf):
     """Opponent and result as text; a guest's loss names the guest's score first."""
     home = F.col("home")
-    home_score = F.floor(F.when(home, F.col("team_score")).otherwise(F.col("other_score")))
-    guest_score = F.floor(F.when(home, F.col("other_score")).otherwise(F.col("team_score")))
+    whole = lambda own, other: scalar.whole_score(F.when(home, F.col(own)).otherwise(F.col(other)))
+    home_score, guest_score = whole("team_score", "other_score"), whole("other_score", "team_score")
     return arena.clean(spark, sf).select("game_id", "player_id", F.when(home, "O").otherwise("F").alias("opponent"), scalar.result_text(home, home_score, guest_score).alias("result"))
 
 
