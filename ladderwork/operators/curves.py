@@ -9,7 +9,7 @@ and only centres reach the driver.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -71,8 +71,9 @@ def _cluster_sums(curves: DataFrame, centres: dict[int, np.ndarray]) -> list:
             if batch.empty:
                 continue
             x, ids = np.stack(batch["curve"].to_list()), batch["player_id"].to_numpy()
+            squares = (x * x).sum(axis=1)
             for s, c in centres.items():
-                d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2) if len(x) * len(c) < 200_000 else np.stack([((x - one) ** 2).sum(axis=1) for one in c], axis=1)
+                d = np.maximum(squares[:, None] - 2 * (x @ c.T) + (c * c).sum(axis=1), 0.0)
                 near = d.argmin(axis=1)
                 least = d[np.arange(len(x)), near]
                 for k in np.unique(near):
@@ -85,45 +86,59 @@ def _cluster_sums(curves: DataFrame, centres: dict[int, np.ndarray]) -> list:
         yield pd.DataFrame(rows, columns=["start", "cluster", "n", "d", "far_d", "far_id", "sums"])
 
     parts = curves.select("player_id", "curve").mapInPandas(run, "start int, cluster int, n long, d double, far_d double, far_id long, sums array<double>")
-    each = parts.select("start", "cluster", "n", "d", F.struct("far_d", "far_id").alias("far"), F.posexplode("sums").alias("i", "v"))
-    by_place = each.groupBy("start", "cluster", "i").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.max("far").alias("far"), F.sum("v").alias("v"))
-    return by_place.groupBy("start", "cluster").agg(
-        F.first("n").alias("n"), F.max("d").alias("d"), F.first("far").alias("far"), F.array_sort(F.collect_list(F.struct("i", "v"))).alias("sums")
+    return parts.groupBy("start", "cluster").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"), F.max(F.struct("far_d", "far_id")).alias("far"), F.array(*[F.sum(F.col("sums")[i]) for i in range(POINTS)]).alias("sums")
     ).collect()  # starts x clusters rows
 
 
 def kmeans(curves: DataFrame, k: int, seed: int = 42, starts: int = 40, iterations: int = 150) -> list[list[float]]:
-    """Centres of least inertia over several starts, in order of their peaks.
+    """Centres of least inertia over several starts, in order of their peaks."""
+    return kmeans_each(curves, [k], seed, starts, iterations)[k]
 
-    All starts move in one job an iteration and only sums are exchanged.  A
-    start rests once its inertia stands; an empty cluster starts again from
-    the curve that is farthest from its centre.
+
+def kmeans_each(curves: DataFrame, ks: Sequence[int], seed: int = 42, starts: int = 40, iterations: int = 150) -> dict[int, list[list[float]]]:
+    """kmeans() for several numbers of centres.
+
+    All starts of all k move in one job an iteration and only sums are
+    exchanged.  A start rests once its inertia stands; an empty cluster starts
+    again from the curve that is farthest from its centre.
     """
     curves = written(curves.select("player_id", "curve"), "curves")
-    ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(k * starts).collect()]
+    ids = [r.player_id for r in curves.select("player_id").orderBy(F.xxhash64("player_id", F.lit(seed))).limit(max(ks) * starts).collect()]
     rows = {r.player_id: r.curve for r in curves.where(F.col("player_id").isin(ids)).collect()}
-    rng = random.Random(seed)
-    centres = {s: np.array([rows[i] for i in rng.sample(ids, min(k, len(ids)))]) for s in range(starts)}
+    centres = {}
+    for i, k in enumerate(ks):
+        rng, some = random.Random(seed), ids[: k * starts]
+        centres |= {i * starts + s: np.array([rows[x] for x in rng.sample(some, min(k, len(some)))]) for s in range(starts)}
     inertia, moving = dict.fromkeys(centres, float("inf")), set(centres)
     for _ in range(iterations):
-        found = _cluster_sums(curves, {s: centres[s] for s in moving})
+        found: dict[int, list] = {}
+        for r in _cluster_sums(curves, {s: centres[s] for s in moving}):
+            found.setdefault(r.start, []).append(r)
         for s in list(moving):
-            mine = [r for r in found if r.start == s]
+            mine = found.get(s, [])
             new = centres[s].copy()
             for r in mine:
-                new[r.cluster] = np.array([x.v for x in r.sums]) / r.n
+                new[r.cluster] = np.array(r.sums) / r.n
             empty = set(range(len(new))) - {r.cluster for r in mine}
             if empty:
                 far = max(tuple(r.far) for r in mine)[1]
                 new[list(empty)] = curves.where(F.col("player_id") == far).first().curve
             total = sum(r.d for r in mine)
-            if not empty and abs(inertia[s] - total) < 1e-9:
+            if not empty and abs(inertia[s] - total) < 1e-9 * max(1.0, total):  # sums of many curves differ by their order
                 moving.discard(s)
             centres[s], inertia[s] = new, total
         if not moving:
             break
-    best = min(centres, key=lambda s: (inertia[s], s))
-    return sorted(centres[best].tolist(), key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
+    out = {}
+    for i, k in enumerate(ks):
+        best = min(range(i * starts, (i + 1) * starts), key=lambda s: (inertia[s], s))
+        out[k] = sorted(centres[best].tolist(), key=lambda c: max(range(len(c)), key=c.__getitem__))  # by the place of the peak
+    return out
+
+
+#: Squared distances under this are taken from differences; products of large numbers would leave noise in them.
+NEAR = 1e-6
 
 
 def _block_sums(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
@@ -131,14 +146,22 @@ def _block_sums(mine: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
     out = []
     if not mine.empty and not others.empty:
         y, kinds, ids = np.stack(others["curve"].to_list()), others["cluster"].to_numpy(), others["player_id"].to_numpy()
-        for k in range(0, len(mine), 32):
-            part = mine.iloc[k : k + 32]
-            d = np.sqrt(((np.stack(part["curve"].to_list())[:, None, :] - y[None]) ** 2).sum(axis=2))
-            other = part["player_id"].to_numpy()[:, None] != ids[None]
-            for c in np.unique(kinds):
-                here = other & (kinds == c)[None]
-                n, s = here.sum(axis=1), (d * here).sum(axis=1)
-                out += [(int(p), int(own), int(c), float(x), int(m)) for p, own, x, m in zip(part["player_id"], part["cluster"], s, n, strict=True) if m]
+        clusters = np.unique(kinds)
+        member, squares = (kinds[:, None] == clusters).astype(float), (y * y).sum(axis=1)
+        for k in range(0, len(mine), 256):
+            part = mine.iloc[k : k + 256]
+            x, who = np.stack(part["curve"].to_list()), part["player_id"].to_numpy()
+            d = (x * x).sum(axis=1)[:, None] - 2 * (x @ y.T) + squares
+            near_x, near_y = np.nonzero(d < NEAR)
+            for j in range(0, len(near_x), 50_000):
+                a, b = near_x[j : j + 50_000], near_y[j : j + 50_000]
+                d[a, b] = ((x[a] - y[b]) ** 2).sum(axis=1)
+            other = who[:, None] != ids[None]
+            d = np.where(other, np.sqrt(d), 0.0)
+            sums, counts = d @ member, other.astype(float) @ member
+            own = part["cluster"].to_numpy()
+            for i, c in zip(*np.nonzero(counts), strict=True):
+                out.append((int(who[i]), int(own[i]), int(clusters[c]), float(sums[i, c]), int(counts[i, c])))
     return pd.DataFrame(out, columns=["player_id", "cluster", "c", "s", "n"])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ladderwork.operators import curves
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events
+from ladderwork.sources.warehouse import written
 
 #: Given centres: rising, falling and arched curves.
 CENTRES = [[(i - 20) / 12.0 for i in range(41)], [(20 - i) / 12.0 for i in range(41)], [1.2 - (i - 20) * (i - 20) / 150.0 for i in range(41)]]
@@ -69,10 +70,10 @@ def kmeans_fit(spark, sf):
 @query()
 def k_selection(spark, sf):
     """Mean silhouette for several k."""
-    rows = all_curves(spark, sf)
+    rows = written(all_curves(spark, sf), "all-curves")
     out = None
-    for k in (3, 4, 5, 6):
-        s = curves.silhouettes(curves.assigned(rows, curves.kmeans(rows, k)))
+    for k, centres in curves.kmeans_each(rows, (3, 4, 5, 6)).items():
+        s = curves.silhouettes(curves.assigned(rows, centres))
         one = s.agg(F.lit(k).alias("k"), F.round(F.avg("silhouette"), 5).alias("mean_silhouette"))
         out = one if out is None else out.unionByName(one)
     return out

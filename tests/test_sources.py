@@ -115,3 +115,37 @@ def test_kmeans_inertia_and_order(spark, sf):
     peaks = [max(range(len(c)), key=c.__getitem__) for c in found[-1]]
     assert peaks == sorted(peaks)
     rows.unpersist()
+
+
+def test_block_sums_of_equal_and_near_curves():
+    """Distances by products must not leave noise between equal curves; equal to differences elsewhere."""
+    import numpy as np
+    import pandas as pd
+
+    from ladderwork.operators import curves
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 41))
+    x[100:200] = x[:100]
+    x[200:250] = x[:50] + 1e-9
+    frame = pd.DataFrame({"player_id": range(300), "cluster": [i % 3 for i in range(300)], "curve": list(x)})
+    got = {(r.player_id, r.c): (r.s, r.n) for r in curves._block_sums(frame, frame).itertuples()}
+    d = np.sqrt(((x[:, None, :] - x[None]) ** 2).sum(axis=2))
+    for i in range(300):
+        for c in range(3):
+            mine = [j for j in range(300) if j % 3 == c and j != i]
+            assert got[i, c][1] == len(mine) and abs(got[i, c][0] - d[i, mine].sum()) < 1e-9
+    pair = frame[frame.player_id.isin([0, 100])].assign(cluster=0)
+    assert set(curves._block_sums(pair, pair).s) == {0.0}
+
+
+def test_several_k_in_one_fit_are_the_single_fits(spark):
+    import numpy as np
+
+    from ladderwork.operators import curves
+
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(size=41).cumsum().tolist()) for i in range(60)], "player_id long, curve array<double>")
+    many = curves.kmeans_each(df, (2, 3), starts=3)
+    for k in (2, 3):
+        assert np.allclose(many[k], curves.kmeans(df, k, starts=3), atol=1e-9)
