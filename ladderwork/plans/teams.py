@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions import ranks
+from ladderwork.operators import leaderboard
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events
 from ladderwork.sources.warehouse import maybe_broadcast, written
@@ -138,26 +139,37 @@ def regular_playoff_gap(spark, sf):
     return side("regular", "regular").join(side("playoffs", "playoff"), ["season", "club"]).withColumn("place_gap", F.col("regular_place") - F.col("playoff_place"))
 
 
-def roster_ratings(log: DataFrame, home: DataFrame) -> DataFrame:
-    """season, club, game_id, j, player_id and rating of everybody on the roster at each of the club's games, present or not.
+#: Blocks into which a club's season is cut to tell its best.
+BLOCKS = 32
+#: Ratings are added up as whole numbers of this part, so that sums of changes are exact.
+PART = 1e12
 
-    The rating is the last one before the game, wherever it was earned.  A
-    membership is an interval of the club's game numbers and is laid out over
-    them, no farther; the as-of lookup is one window over a player's events
-    and questions, questions first at the same game.
+
+def roster_spans(log: DataFrame, home: DataFrame, games: DataFrame) -> DataFrame:
+    """season, club, player_id, rating and the club's game numbers from_j to to_j through which it is the player's last one before the game.
+
+    A membership reaches from a player's first home game to the last.  An
+    event of its season starts to hold with the club's first game after it,
+    looked up by day; so there are as many rows as events and clubs of their
+    players, however many games the members sit out.
     """
-    games = home.select("season", "club", "game_date", "game_id").distinct()
-    games = written(ranks.numbered(games, ["season", "club"], ["game_date", "game_id"], "j"), "club-games")
-    here = home.join(maybe_broadcast(games.select("game_id", "j")), "game_id")
-    members = here.groupBy("season", "club", "player_id").agg(F.min("j").alias("from_j"), F.max("j").alias("to_j"))
-    spread = members.select("season", "club", "player_id", F.explode(F.sequence("from_j", "to_j")).alias("j"))
-    asked = spread.join(maybe_broadcast(games), ["season", "club", "j"])
-    asked = asked.select("player_id", "game_date", "game_id", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("rating"), "season", "club", "j")
-    none = F.lit(None).cast("long")
-    known = log.select("player_id", "game_date", "game_id", F.lit(1).alias("kind"), F.col("rating_after").alias("rating"), none.alias("season"), none.alias("club"), none.alias("j"))
-    w = Window.partitionBy("player_id").orderBy("game_date", "game_id", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = known.unionByName(asked).withColumn("rating", F.coalesce(F.last("rating", True).over(w), F.lit(1500.0)))
-    return rows.where("kind = 0").select("season", "club", "game_id", "j", "player_id", "rating")
+    game = F.struct("game_date", "game_id")
+    before = F.lag("rating_after").over(Window.partitionBy("player_id").orderBy("game_date", "game_id"))
+    rows = written(log.select("season", "player_id", "game_date", "game_id", "rating_after", F.coalesce(before, F.lit(1500.0)).alias("before")), "roster-log")
+    here = home.join(games.select("game_id", "j"), "game_id").join(rows.select("game_id", "player_id", "before"), ["game_id", "player_id"])
+    members = here.groupBy("season", "club", "player_id").agg(F.min("j").alias("first_j"), F.max("j").alias("last_j"), F.min_by("before", "j").alias("before"))
+    members = written(members, "members")
+    days = rows.select("season", F.to_date("game_date").alias("day")).distinct().crossJoin(F.broadcast(games.select("club").distinct()))  # days x clubs
+    own = games.groupBy("season", "club", F.to_date("game_date").alias("day")).agg(F.sort_array(F.collect_list(game)).alias("at"), F.count("*").alias("n"))
+    held = F.coalesce(F.sum("n").over(Window.partitionBy("season", "club").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a day
+    days = days.join(own, ["season", "club", "day"], "left").withColumn("held", held)
+    changes = rows.withColumn("day", F.to_date("game_date")).join(members.drop("before"), ["season", "player_id"]).join(days, ["season", "club", "day"])
+    j = F.col("held") + F.coalesce(F.size(F.filter("at", lambda g: g <= game)), F.lit(0)) + 1
+    changes = changes.withColumn("j", F.when(F.col("at").isNull(), F.col("held") + 1).otherwise(j)).where("j > first_j and j <= last_j")
+    changes = changes.groupBy("season", "club", "player_id", "last_j", "j").agg(F.max_by("rating_after", game).alias("rating"))
+    both = changes.unionByName(members.select("season", "club", "player_id", "last_j", F.col("first_j").alias("j"), F.col("before").alias("rating")))
+    until = F.lead("j").over(Window.partitionBy("season", "club", "player_id").orderBy("j")) - 1
+    return both.select("season", "club", "player_id", "rating", F.col("j").alias("from_j"), F.coalesce(until, "last_j").alias("to_j"))
 
 
 @query(f"""
@@ -172,9 +184,24 @@ SELECT season, club, j AS game_no, game_id, count(*) AS roster, round(avg(rating
 """)
 def roster_strength(spark, sf):
     """What a club could field at each game: the whole roster's ratings as of it, best two, three and five."""
-    log = events(spark, sf, "home", "venue_id")
+    log = written(events(spark, sf, "home", "venue_id"), "roster-events")
     home = log.where("home").select("season", (F.col("venue_id") % 25).alias("club"), "game_date", "game_id", "player_id")
-    order = Window.partitionBy("game_id").orderBy(F.round("rating", 6).desc(), "player_id")
-    rows = roster_ratings(log, home).withColumn("k", F.row_number().over(order))
-    best = [F.round(F.avg(F.when(F.col("k") <= n, F.col("rating"))), 4).alias(f"best{n}") for n in SIZES]
-    return rows.groupBy("season", "club", F.col("j").alias("game_no"), "game_id").agg(F.count("*").alias("roster"), F.round(F.avg("rating"), 4).alias("mean_rating"), *best)
+    games = ranks.numbered(home.select("season", "club", "game_date", "game_id").distinct(), ["season", "club"], ["game_date", "game_id"], "j")
+    games = written(games, "club-games")
+    spans = written(roster_spans(log, home, games), "roster-spans")
+
+    at, part = ["season", "club", "j"], (F.col("rating") * PART).cast("decimal(38,0)")
+    ends = F.array(F.struct(F.col("from_j").alias("j"), F.lit(1).alias("n"), part.alias("s")), F.struct((F.col("to_j") + 1).alias("j"), F.lit(-1).alias("n"), (-part).alias("s")))
+    steps = spans.select("season", "club", F.explode(ends).alias("e")).select("season", "club", "e.*").groupBy(*at).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    running = Window.partitionBy("season", "club").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    sums = games.select(*at, "game_id").join(steps, at, "left").select(*at, "game_id", F.sum("n").over(running).alias("roster"), F.sum("s").over(running).alias("s"))  # a row a game
+
+    width = max(BLOCKS, -(-games.agg(F.max("j")).first()[0] // BLOCKS))
+    held = spans.select("season", "club", "player_id", "rating", F.round("rating", 6).alias("shown"), F.col("from_j").cast("int").alias("from_day"), F.col("to_j").cast("int").alias("to_day"))
+    near = leaderboard.contenders(held, games.select("season", "club", F.col("j").cast("int").alias("day")), max(SIZES), width, ["season", "club"])
+    near = near.withColumn("j", F.explode(F.sequence(F.col("from_day").cast("long"), F.col("to_day").cast("long"))))
+    near = near.withColumn("k", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("shown"), "player_id"))).where(F.col("k") <= max(SIZES))
+    best = near.groupBy(*at).agg(*[F.round(F.avg(F.when(F.col("k") <= n, F.col("rating"))), 4).alias(f"best{n}") for n in SIZES])
+    mean = F.round(F.col("s").cast("double") / PART / F.col("roster"), 4)
+    out = sums.join(best, at)
+    return out.select("season", "club", F.col("j").alias("game_no"), "game_id", "roster", mean.alias("mean_rating"), *[f"best{n}" for n in SIZES])

@@ -46,3 +46,19 @@ def test_few_parts_are_laid_out(spark):
     days = log.select(F.unix_date("day").alias("day")).distinct()
     kept = leaderboard.contenders(leaderboard.spans(log, [], []), days, 10, 16, [])
     assert {r.player_id for r in kept.collect()} == set(range(490, 500))
+
+
+def test_roster_spans_do_not_grow_with_games_sat_out(spark):
+    """A member who plays the first and last of 100 home games has a span for each rating, not a row a game."""
+    import datetime as dt
+
+    from ladderwork.plans import teams
+
+    day = lambda i: dt.datetime(1995, 10, 1) + dt.timedelta(days=i // 2)  # noqa: E731  two games a day
+    plays = [(1, i) for i in (0, 99)] + [(2, i) for i in range(100)]
+    rows = [(1995, p, day(i), i, 1500.0 + p * 10 + i, True, 7) for p, i in plays] + [(1995, 1, day(41), 1041, 1600.0, False, 8), (1994, 1, dt.datetime(1995, 3, 1), 1000, 1450.0, False, 8)]
+    log = spark.createDataFrame(rows, "season long, player_id long, game_date timestamp_ntz, game_id long, rating_after double, home boolean, venue_id long")
+    home = log.where("home").selectExpr("season", "venue_id AS club", "game_date", "game_id", "player_id")
+    games = home.where("player_id = 2").selectExpr("season", "club", "game_date", "game_id", "game_id + 1 AS j")
+    got = sorted((r.from_j, r.to_j, r.rating) for r in teams.roster_spans(log, home, games).where("player_id = 1").collect())
+    assert got == [(1, 1, 1450.0), (2, 42, 1510.0), (43, 100, 1600.0)]
