@@ -248,3 +248,37 @@ def test_team_fold_in_rounds(spark):
     key = lambda r: (r.game_id, r.team)
     one, many = (sorted(fold.team_updates(df, home_advantage=65.0, limit=n).collect(), key=key) for n in (1000, 10))
     assert one == many and len(one) == 120
+
+
+def test_rows_are_computed_once_for_leagues_and_fold(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = games()
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    df = spark.createDataFrame(rows, SCHEMA).mapInPandas(counted, SCHEMA)
+    assert fold.rating_updates(df, [RatingParams()]).count() == len(rows)
+    assert seen.value == len(rows)
+
+
+def test_checkpoint_needs_no_sort_of_the_log(spark):
+    from ladderwork.sources.warehouse import written
+
+    log = written(fold.rating_updates(spark.createDataFrame(games(), SCHEMA), [RatingParams()]), "log")
+    plan = fold.checkpoint(log)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "Sort" not in plan
+
+
+def test_games_cut_by_batches_are_whole(spark):
+    rows, p = games(), replace(RatingParams(), theta=0.6, home_advantage=65.0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r.player_id: (r.rating, r.games_played) for r in fold.checkpoint(fold.rating_updates(spark.createDataFrame(rows, SCHEMA), [p])).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == (want := brute(rows, p)).keys()
+    for x in want:
+        assert got[x] == pytest.approx(want[x], abs=1e-9)
