@@ -24,13 +24,12 @@ from ladderwork.sources.warehouse import written
 class DominanceParams:
     #: points of a range of ratings, on average
     range_points: int = 4096
+    #: ratings of a group and player that a task sorts, on average
+    task_rows: int = 500_000
     #: rows compared with their range at once
     rows: int = 256
 
 
-POINTS = ["grp", "part", "who", "rating", "t", "sign", "asked"]
-
-
 def _compared(points: pd.DataFrame, p: DominanceParams) -> pd.DataFrame:
     """near: for each asked row, the sum over its range's points that lie above it and not after it."""
     rating, who, t, sign = (points[c].to_numpy() for c in ("rating", "who", "t", "sign"))
@@ -62,10 +61,14 @@ def places(states: DataFrame, p: DominanceParams = DominanceParams()) -> DataFra
             )
         ).alias("point"),
     )
-    rows = written(rows.select("grp", "who", "rating", "point.*").where("t is not null"), "points")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // p.range_points))
-    dealt = rows.repartitionByRange(parts, "grp", F.desc("rating"), "who").withColumn("part", F.spark_partition_id())
-    points = written(dealt.select(*POINTS), "ranged-points")
+    states_of = rows.where("point.t is not null").groupBy("grp", "rating", "who").agg(F.collect_list("point").alias("points"))
+    # tasks follow the rows by far fewer than ranges do; a task cuts its sorted rows into ranges
+    rows = written(states_of, "states")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // p.task_rows))
+    order = ("grp", F.desc("rating"), "who")
+    dealt = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    part = F.shiftright("at", 33) * F.lit(1 << 33) + F.floor(F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) * 2 / p.range_points)
+    points = written(dealt.select("grp", part.alias("part"), "who", "rating", F.explode("points").alias("p")).select("grp", "part", "who", "rating", "p.*"), "ranged-points")
 
     cells = points.groupBy("grp", "part", "t").agg(F.sum("sign").alias("s"))
     days = points.where("asked").select("grp", "t").distinct()
@@ -80,6 +83,6 @@ def places(states: DataFrame, p: DominanceParams = DominanceParams()) -> DataFra
     whole = sums.select("grp", "part", "t", F.coalesce(whole, F.lit(0)).alias("whole"))
 
     kind = dict(points.dtypes)
-    near = points.groupBy("grp", "part").applyInPandas(lambda g: _compared(g, p), f"grp {kind['grp']}, part int, who {kind['who']}, t int, near long")
+    near = points.groupBy("grp", "part").applyInPandas(lambda g: _compared(g, p), f"grp {kind['grp']}, part long, who {kind['who']}, t int, near long")
     out = near.join(whole, ["grp", "part", "t"]).join(active, ["grp", "t"])
     return out.select("grp", "who", F.date_from_unix_date("t").alias("t"), "active", (F.col("near") + F.col("whole") + 1).alias("place"))

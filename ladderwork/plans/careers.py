@@ -11,6 +11,7 @@ from ladderwork.operators import curves, dominance
 from ladderwork.plans.curves import ASSIGN_SQL, CENTRES, CURVE_SQL, all_curves
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events
+from ladderwork.sources.warehouse import written
 
 ORDER = ["game_date", "game_id"]
 #: Games after which a career is looked at, and shares of it.
@@ -101,11 +102,11 @@ FROM r JOIN top USING (player_id) GROUP BY 1
 """)
 def peak_rank_levels(spark, sf):
     """Quartiles of the places at the own peak, by the level of the peak."""
-    log = events(spark, sf)
+    log = written(events(spark, sf).select("season", "player_id", *ORDER, "rating_after"), "peak-log")
     tops = log.groupBy("player_id").agg(F.round(F.max("rating_after"), 6).alias("peak"))
     level = scalar.cut(F.col("peak"), [-1e9, 1500, 1505, 1510, 1e9], ["below", "low", "middle", "high"])
     rows = dominance.places(peak_states(log)).join(tops.withColumnRenamed("player_id", "who"), "who").select(level.alias("level"), "place")
-    out = selection.described(rows, ["level"], "place", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    out = selection.described(written(rows, "peak-places"), ["level"], "place", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     return out.select("level", F.col("n").alias("players"), *[F.round(c, 4).alias(c) for c in ("p25", "p50", "p75")], F.col("least").alias("best"), F.col("greatest").alias("worst"))
 
 

@@ -44,3 +44,12 @@ def test_places_of_nothing(spark):
     assert places(spark.createDataFrame([], SCHEMA)).count() == 0
     unasked = spark.createDataFrame([(1, 1, 1.0, DAY, None, False)], SCHEMA)
     assert places(unasked).count() == 0
+
+
+def test_tasks_do_not_grow_with_the_ranges(spark):
+    """Many ranges are cut inside a few tasks, whose files would otherwise be one a range."""
+    df = spark.createDataFrame([(1, w, float(w % 97), DAY, None, w % 50 == 0) for w in range(2000)], SCHEMA)
+    found = places(df, DominanceParams(range_points=8))
+    jobs = [f for f in found.inputFiles() if "ranged-points" in f]
+    assert 0 < len(set(jobs)) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(r.place for r in found.collect()) == sorted(1 + sum((x % 97, -x) > (w % 97, -w) for x in range(2000)) for w in range(0, 2000, 50))
