@@ -199,4 +199,4 @@ def explain_change(spark, sf):
 @query()
 def rating_season_table(spark, sf):
     """Season table of the fold's own log; its log and checkpoint have recursive twins."""
-    return season_ratings(fold.rating_updates(performed(spark, sf), [BASE])).select("season", "player_id", "place", F.round("rating_after", 4).alias("rating"))
+    return season_ratings(fold.rating_updates(performed(spark, sf), [BASE], columns=["season", "game_date", "game_id", *fold.STATE])).select("season", "player_id", "place", F.round("rating_after", 4).alias("rating"))

@@ -6,6 +6,7 @@ import random
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from ladderwork.operators import fold, leagues, quality
 from ladderwork.operators.performance import with_performance
@@ -282,3 +283,74 @@ def test_games_cut_by_batches_are_whole(spark):
     assert got.keys() == (want := brute(rows, p)).keys()
     for x in want:
         assert got[x] == pytest.approx(want[x], abs=1e-9)
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Leagues are dealt over as many tasks as their rows ask for, not over a fixed number."""
+    rows = [(g + 100 * i, d, s, t, 100 * i + x, *rest) for i in range(12) for g, d, s, t, x, *rest in games(12, seed=i)]
+    monkeypatch.setattr(fold, "TASK_ROWS", 20, raising=False)
+    log = fold.rating_updates(spark.createDataFrame(rows, SCHEMA), [RatingParams(), RatingParams(variant="theta", theta=0.6)])
+    parts = log.selectExpr("variant", "player_id div 100 AS league", "spark_partition_id() AS part").distinct().collect()
+    assert len({(r.variant, r.league) for r in parts}) == len(parts) == 24
+    assert len({r.part for r in parts}) > 12 and all(len({r.variant for r in parts if r.part == x}) == 1 for x in {r.part for r in parts})
+    got = {r.player_id: r.rating for r in fold.checkpoint(log).where("variant = 'base'").collect()}
+    assert got == pytest.approx({x: r for x, (r, _) in brute(rows, RatingParams()).items()}, abs=1e-9)
+
+
+@pytest.mark.parametrize("limit", [1000, 60])
+def test_only_wanted_columns_are_made(spark, limit):
+    df, p = spark.createDataFrame(games(), SCHEMA), replace(RatingParams(), anchor="fixed")
+    whole = fold.rating_updates(df, [p], limit=limit)
+    for columns in (fold.STATE, ["game_id", "player_id", "season", "perf_used", "delta"], ["player_id", "game_id", "e_team"]):
+        some = fold.rating_updates(df, [p], limit=limit, columns=columns)
+        assert sorted(some.columns) == sorted(columns)
+        assert sorted(map(tuple, some.select(*columns).collect())) == sorted(map(tuple, whole.select(*columns).collect()))
+
+
+def test_forests_of_many_batches_are_whole(spark, monkeypatch):
+    monkeypatch.setattr(leagues, "FOREST_ROWS", 7, raising=False)
+    rng, links = random.Random(4), []
+    import pyarrow as pa
+
+    batches = []
+    for _ in range(60):
+        pairs = [(c * 1000 + rng.randrange(80), c * 1000 + rng.randrange(80)) for c in (rng.randrange(5) for _ in range(5))]
+        links += pairs
+        batches.append(pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.int64()) for i in (0, 1)], names=["player_id", "hub"]))
+    least = {x: x for pair in links for x in pair}
+    while True:
+        now = dict(least)
+        for u, v in links:
+            now[u] = now[v] = min(now[u], now[v])
+        if now == least:
+            break
+        least = now
+    (out,) = leagues._forest(iter(batches))
+    got = {r["u"]: (r["v"], r["n"]) for r in out.to_pylist()}
+    assert {u: v for u, (v, _) in got.items()} == least
+    assert {u: n for u, (_, n) in got.items()} == {x: sum(u == x for u, _ in links) for x in least}
+    assert list(leagues._forest(iter([])))[0].num_rows == 0
+
+
+def test_lines_move_once(spark, sf):
+    """The sums of lines, the join with games and the windows use one exchange of the lines."""
+    from ladderwork.plans.performance import performed
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = performed(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2  # lines and games
+
+
+def test_checks_need_one_pass_for_chains(spark):
+    from ladderwork.sources.warehouse import written
+
+    log = written(fold.rating_updates(spark.createDataFrame(games(), SCHEMA), [RatingParams()]), "log")
+    plan = quality.log_checks(log)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2
+    bad = log.withColumn("games_before", F.expr("if(game_id = 3, games_before + 1, games_before)")).withColumn("rating_after", F.expr("if(game_id = 5, null, rating_after)"))
+    got = {r.check_name: r.failures for r in quality.log_checks(bad).collect()}
+    assert list(got) == ["zero_sum", "chain", "games_in_steps", "no_nulls", "range"]
+    assert got["games_in_steps"] > 0 and got["no_nulls"] == 8 and got["zero_sum"] == got["chain"] == got["range"] == 0
