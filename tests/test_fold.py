@@ -354,3 +354,19 @@ def test_checks_need_one_pass_for_chains(spark):
     got = {r.check_name: r.failures for r in quality.log_checks(bad).collect()}
     assert list(got) == ["zero_sum", "chain", "games_in_steps", "no_nulls", "range"]
     assert got["games_in_steps"] > 0 and got["no_nulls"] == 8 and got["zero_sum"] == got["chain"] == got["range"] == 0
+
+
+def test_lines_of_a_task_are_bounded(spark, sf, monkeypatch):
+    from ladderwork.sources import arena
+
+    few = arena.clean(spark, sf).select("game_id", "player_id", "team_score")
+    monkeypatch.setattr(arena, "TASK_LINES", 300, raising=False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = arena.clean(spark, sf).select("game_id", "player_id", "team_score")
+        assert many.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+        assert many._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+        shown = lambda df: sorted((r.game_id, r.player_id, round(r.team_score, 6)) for r in df.collect())
+        assert shown(many) == shown(few)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
