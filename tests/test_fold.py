@@ -370,3 +370,22 @@ def test_lines_of_a_task_are_bounded(spark, sf, monkeypatch):
         assert shown(many) == shown(few)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+@pytest.mark.parametrize("limit", [1000, 60])
+def test_a_checkpoint_takes_few_rows_of_the_log(spark, reverse, limit):
+    """For states a batch hands back one row a player, whatever its rows."""
+    df, grid = spark.createDataFrame(games(), SCHEMA), [RatingParams(), RatingParams(variant="theta", theta=0.6)]
+    whole = fold.rating_updates(df, grid, reverse=reverse, limit=limit, columns=fold.STATE)
+    some = fold.rating_updates(df, grid, reverse=reverse, limit=limit, columns=fold.STATE, last=True)
+    assert 30 <= some.count() < 0.7 * whole.count()
+    assert sorted(map(tuple, fold.checkpoint(some).collect())) == sorted(map(tuple, fold.checkpoint(whole).collect()))
+
+
+def test_scores_of_a_game_need_one_window(spark):
+    stats = ["points", "assists", "rebounds", "steals", "blocks", "fouls", "shots_tried", "shots_made", "plus_minus", "minutes"]
+    rows = spark.createDataFrame([(g, "F", 1995, *[float(g * i % 7) for i in range(10)]) for g in range(9)], "game_id long, team_id string, season long, " + ", ".join(f"{c} double" for c in stats))
+    out = with_performance(rows)
+    assert "seen_" not in out.columns
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
