@@ -372,8 +372,7 @@ def test_lines_of_a_task_are_bounded(spark, sf, monkeypatch):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("reverse", [False, True])
-@pytest.mark.parametrize("limit", [1000, 60])
+@pytest.mark.parametrize("reverse, limit", [(False, 150), (True, 1000)])
 def test_a_checkpoint_takes_few_rows_of_the_log(spark, reverse, limit):
     """For states a batch hands back one row a player, whatever its rows."""
     df, grid = spark.createDataFrame(games(), SCHEMA), [RatingParams(), RatingParams(variant="theta", theta=0.6)]
@@ -389,3 +388,17 @@ def test_scores_of_a_game_need_one_window(spark):
     out = with_performance(rows)
     assert "seen_" not in out.columns
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_three_passes_count_games_once(spark, monkeypatch):
+    """The passes equal plain folds, and games are numbered once for all three."""
+    calls, number = [], fold.with_games_before
+    monkeypatch.setattr(fold, "with_games_before", lambda *a, **kw: calls.append(1) or number(*a, **kw))
+    rows, p = games(), RatingParams()
+    got = {r.player_id: (r.rating, r.games_played) for r in fold.checkpoint(fold.three_pass(spark.createDataFrame(rows, SCHEMA), p, fold.STATE, last=True)).collect()}
+    ends = brute(rows, p, brute(rows, p), reverse=True)
+    first = {r[4] for r in rows if r[2] == min(x[2] for x in rows)}
+    want = brute(rows, p, {x: (r, 0) for x, (r, _) in ends.items() if x in first})
+    assert got.keys() == want.keys() and len(calls) == 1
+    for x in want:
+        assert got[x] == pytest.approx(want[x], abs=1e-9)
