@@ -5,13 +5,18 @@ Home rows name a club (a venue); a club's season is its home games.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladderwork.functions import ranks
-from ladderwork.operators import leaderboard
 from ladderwork.plans.registry import query
 from ladderwork.plans.timeline import EVENTS_SQL, events
+from ladderwork.sources import arena
 from ladderwork.sources.warehouse import maybe_broadcast, written
 
 #: Sizes of a core.
@@ -139,10 +144,16 @@ def regular_playoff_gap(spark, sf):
     return side("regular", "regular").join(side("playoffs", "playoff"), ["season", "club"]).withColumn("place_gap", F.col("regular_place") - F.col("playoff_place"))
 
 
-#: Blocks into which a club's season is cut to tell its best.
-BLOCKS = 32
+#: Blocks of days into which a season is cut; a task takes whole blocks.
+BLOCKS = 16
 #: Ratings are added up as whole numbers of this part, so that sums of changes are exact.
 PART = 1e12
+#: A club is a bit of a mask; clubs are remainders by 25, those of negative numbers too.
+_BIT = 24
+#: Members of a club who are kept in sight of its best; four times as many before the rest go.
+NEAR = 64
+_BEST = [f"best{n}" for n in SIZES]
+_FIELD_SCHEMA = f"season long, block int, club long, number long, game_id long, roster long, mean_rating double, {', '.join(f'{c} double' for c in _BEST)}"
 
 
 def roster_spans(log: DataFrame, home: DataFrame, games: DataFrame) -> DataFrame:
@@ -172,6 +183,165 @@ def roster_spans(log: DataFrame, home: DataFrame, games: DataFrame) -> DataFrame
     return both.select("season", "club", "player_id", "rating", F.col("j").alias("from_j"), F.coalesce(until, "last_j").alias("to_j"))
 
 
+def roster_rows(log: DataFrame) -> DataFrame:
+    """A row for each event, and one for each block of days that a member enters with the rating of its last event.
+
+    A membership reaches from a player's first home game of a season to the
+    last; members: the clubs, as bits, that the player is in after the game.
+    club, enters: of a home game, and whether it is the player's first one;
+    rating, place: after the game, before, place_before: before it.
+    """
+    order = ["game_date", "game_id"]
+    career, season = (Window.partitionBy(*keys).orderBy(*order) for keys in (["player_id"], ["player_id", "season"]))
+    own = Window.partitionBy("player_id", "season", "club").orderBy(*order)
+    rows = log.select("season", *order, "player_id", F.col("rating_after").alias("rating"), F.when(F.col("home"), F.col("venue_id") % 25).alias("club"))
+    rows = rows.where("season is not null and player_id is not null").withColumn("place", -F.round("rating", 6))
+    rows = rows.withColumn("before", F.coalesce(F.lag("rating").over(career), F.lit(1500.0))).withColumn("place_before", F.coalesce(F.lag("place").over(career), F.lit(-1500.0)))
+    day = F.datediff("game_date", F.make_date(F.col("season").cast("int"), F.lit(7), F.lit(1)))
+    rows = rows.withColumn("block", F.greatest(F.lit(0), F.least(F.lit(BLOCKS - 1), F.floor(day * BLOCKS / 366).cast("int"))))
+    at_home = F.col("club").isNotNull()
+    rows = rows.withColumn("enters", at_home & F.lag("game_id").over(own).isNull()).withColumn("leaves", at_home & F.lead("game_id").over(own).isNull())
+    bit = F.when(at_home, F.expr(f"shiftleft(1L, int(club + {_BIT}))")).otherwise(0)
+    members = F.sum(F.when(F.col("enters"), bit).otherwise(0) - F.when(F.col("leaves"), bit).otherwise(0)).over(season)
+    rows = rows.withColumn("members", members).withColumn("until", F.lead("block").over(season))
+    until = F.when(F.col("members") != 0, F.coalesce("until", "block")).otherwise(F.col("block"))
+    rows = rows.withColumn("at", F.explode(F.sequence("block", until)))
+    event = F.col("at") == F.col("block")
+    return rows.select(
+        "season", F.col("at").alias("block"), F.when(event, F.col("game_date")).alias("game_date"), "game_id", event.alias("event"), "player_id",
+        F.when(event & at_home, F.col("club")).otherwise(_BIT + 1).alias("club"), "enters", "before", "place_before", "rating", "place", "members",
+    )
+
+
+class _Club:
+    """A club's members: how many, the sum of their ratings, and its best.
+
+    near holds every member whose key (place, player) is under bound.
+    """
+
+    __slots__ = ("bit", "bound", "least", "means", "n", "near", "number", "stale", "top", "total")
+
+    def __init__(self, bit: int) -> None:
+        self.bit, self.n, self.number, self.total, self.near, self.bound = bit, 0, 0, 0, {}, (np.inf, 0)
+        self.top, self.least, self.means, self.stale = (), (np.inf, 0), (), True
+
+    def seen(self, player: int, key: tuple[float, int]) -> None:
+        if key < self.bound:
+            self.near[player] = key
+            if len(self.near) > 4 * NEAR:
+                self.keep(self.near.values())
+        else:
+            self.near.pop(player, None)
+        if key < self.least or player in self.top:
+            self.stale = True
+
+    def gone(self, player: int, part: int) -> None:
+        self.n -= 1
+        self.total -= part
+        self.near.pop(player, None)
+        if player in self.top:
+            self.stale = True
+
+    def keep(self, keys: Iterable[tuple[float, int]]) -> None:
+        first = heapq.nsmallest(NEAR + 1, keys)
+        self.bound = first.pop() if len(first) > NEAR else (np.inf, 0)
+        self.near = {key[1]: key for key in first}
+
+    def best(self, held: dict[int, tuple]) -> tuple[float, ...]:
+        """Means of the ratings of the best, who are looked up again only after an event that touched them."""
+        if self.stale:
+            most = max(SIZES)
+            if len(self.near) < min(most, self.n):
+                self.keep([h[0] for h in held.values() if h[3] & self.bit])
+            best = heapq.nsmallest(most, self.near.values())
+            self.top, self.least, self.stale = {p for _, p in best}, best[-1] if len(best) == most else (np.inf, 0), False
+            ratings = [held[p][1] for _, p in best]
+            self.means = tuple(sum(ratings[:n]) / min(n, len(ratings)) for n in SIZES)
+        return self.means
+
+
+def _fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The roster at each game of a club; number counts its games in the block.
+
+    A block's rows go by in order, first those of the members that enter it.
+    Inside a game players enter, the club is asked, then ratings change and
+    players leave.  Only the block's members are held.
+    """
+    names = ("game_id", "event", "player_id", "club", "enters", "before", "place_before", "rating", "place", "members")
+    at, game, host, waiting = None, None, None, []
+    held: dict[int, tuple] = {}  # player: key, rating, its parts, clubs
+    clubs: dict[int, _Club] = {}
+
+    def enter(player: int, key: tuple[float, int], rating: float, part: int, bits: int) -> None:
+        held[player] = (key, rating, part, (held[player][3] if player in held else 0) | bits)
+        while bits:
+            low = bits & -bits
+            bits ^= low
+            club = clubs.get(low) or clubs.setdefault(low, _Club(low))
+            club.n += 1
+            club.total += part
+            club.seen(player, key)
+
+    def played() -> Iterator[tuple]:
+        if host is not None:
+            club = clubs[1 << (host + _BIT)]
+            club.number += 1
+            yield (*at, host, club.number, game, club.n, float(club.total) / PART / club.n, *club.best(held))
+        for player, rating, place, part, bits in waiting:
+            old = held.get(player)
+            if old is None:
+                continue
+            key, change, gone = (place, player), part - old[2], old[3] & ~bits
+            if bits:
+                held[player] = (key, rating, part, bits)
+            else:
+                del held[player]
+            while bits:
+                low = bits & -bits
+                bits ^= low
+                club = clubs[low]
+                club.total += change
+                if key < club.bound or player in club.near:
+                    club.seen(player, key)
+            while gone:
+                low = gone & -gone
+                gone ^= low
+                clubs[low].gone(player, old[2])
+        waiting.clear()
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind.type) for x, kind in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    fields = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in _FIELD_SCHEMA.split(", "))])
+    for batch in batches:
+        rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("season", "block", *names)}
+        parts = [(rows[c] * PART).astype(np.int64).tolist() for c in ("before", "rating")]
+        blocks = zip(rows["season"].tolist(), rows["block"].tolist(), strict=True)
+        out = []
+        for block, before_part, part, g, event, player, club, enters, before, place_before, rating, place, bits in zip(blocks, *parts, *[rows[c].tolist() for c in names], strict=True):
+            if game is not None and (g != game or block != at):
+                out += played()
+                game, host = None, None
+            if block != at:
+                at = block
+                held.clear()
+                clubs.clear()
+            if not event:
+                enter(player, (place, player), rating, part, bits)
+                continue
+            game = g
+            if club <= _BIT:
+                host = club
+                if enters:
+                    enter(player, (place_before, player), before, before_part, 1 << (club + _BIT))
+            waiting.append((player, rating, place, part, bits))
+        if out:
+            yield made(out)
+    if game is not None and (out := [*played()]):
+        yield made(out)
+
+
 @query(f"""
 WITH {BASE_SQL},
 g AS (SELECT *, row_number() OVER (PARTITION BY season, club ORDER BY game_date, game_id) AS j FROM (SELECT DISTINCT season, club, game_date, game_id FROM base)),
@@ -183,25 +353,22 @@ k AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY round(rating, 6
 SELECT season, club, j AS game_no, game_id, count(*) AS roster, round(avg(rating), 4) AS mean_rating, round(avg(rating) FILTER (k <= 2), 4) AS best2, round(avg(rating) FILTER (k <= 3), 4) AS best3, round(avg(rating) FILTER (k <= 5), 4) AS best5 FROM k GROUP BY ALL
 """)
 def roster_strength(spark, sf):
-    """What a club could field at each game: the whole roster's ratings as of it, best two, three and five."""
-    log = written(events(spark, sf, "home", "venue_id"), "roster-events")
-    home = log.where("home").select("season", (F.col("venue_id") % 25).alias("club"), "game_date", "game_id", "player_id")
-    games = ranks.numbered(home.select("season", "club", "game_date", "game_id").distinct(), ["season", "club"], ["game_date", "game_id"], "j")
-    games = written(games, "club-games")
-    spans = written(roster_spans(log, home, games), "roster-spans")
-
-    at, part = ["season", "club", "j"], (F.col("rating") * PART).cast("decimal(38,0)")
-    ends = F.array(F.struct(F.col("from_j").alias("j"), F.lit(1).alias("n"), part.alias("s")), F.struct((F.col("to_j") + 1).alias("j"), F.lit(-1).alias("n"), (-part).alias("s")))
-    steps = spans.select("season", "club", F.explode(ends).alias("e")).select("season", "club", "e.*").groupBy(*at).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    running = Window.partitionBy("season", "club").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
-    sums = games.select(*at, "game_id").join(steps, at, "left").select(*at, "game_id", F.sum("n").over(running).alias("roster"), F.sum("s").over(running).alias("s"))  # a row a game
-
-    width = max(BLOCKS, -(-games.agg(F.max("j")).first()[0] // BLOCKS))
-    held = spans.select("season", "club", "player_id", "rating", F.round("rating", 6).alias("shown"), F.col("from_j").cast("int").alias("from_day"), F.col("to_j").cast("int").alias("to_day"))
-    near = leaderboard.contenders(held, games.select("season", "club", F.col("j").cast("int").alias("day")), max(SIZES), width, ["season", "club"])
-    near = near.withColumn("j", F.explode(F.sequence(F.col("from_day").cast("long"), F.col("to_day").cast("long"))))
-    near = near.withColumn("k", F.row_number().over(Window.partitionBy(*at).orderBy(F.desc("shown"), "player_id"))).where(F.col("k") <= max(SIZES))
-    best = near.groupBy(*at).agg(*[F.round(F.avg(F.when(F.col("k") <= n, F.col("rating"))), 4).alias(f"best{n}") for n in SIZES])
-    mean = F.round(F.col("s").cast("double") / PART / F.col("roster"), 4)
-    out = sums.join(best, at)
-    return out.select("season", "club", F.col("j").alias("game_no"), "game_id", "roster", mean.alias("mean_rating"), *[f"best{n}" for n in SIZES])
+    """What a club could field at each game: the whole roster's ratings as of it, best two, three and five.
+
+    An event goes to one task, whatever clubs its player is in: a task takes
+    blocks of days of a season with all clubs.
+    """
+    rows = roster_rows(events(spark, sf, "home", "venue_id"))
+    seasons = arena.games(spark, sf).agg(F.min("season"), F.max("season") - F.min("season") + 1).first()
+    lines = arena.read(spark, sf, "lineitem").count()
+    tasks = min((seasons[1] or 1) * BLOCKS, max(lines // arena.TASK_LINES + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    task = F.pmod((F.col("season") - F.lit(seasons[0] or 0)) * BLOCKS + F.col("block"), F.lit(tasks)).cast("int")
+    dealt = rows.withColumn("task", task).repartitionById(tasks, "task")
+    dealt = dealt.sortWithinPartitions("season", "block", F.asc_nulls_first("game_date"), "game_id", "player_id").drop("task", "game_date")
+    fields = written(dealt.mapInArrow(_fields, _FIELD_SCHEMA), "roster-fields")
+
+    held = fields.groupBy("season", "club", "block").agg(F.max("number").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("season", "club").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a block
+    out = fields.join(F.broadcast(held.select("season", "club", "block", earlier.alias("earlier"))), ["season", "club", "block"])  # a row a season, club and block
+    number = (F.col("earlier") + F.col("number")).alias("game_no")
+    return out.select("season", "club", number, "game_id", "roster", *[F.round(c, 4).alias(c) for c in ("mean_rating", *_BEST)])

@@ -62,3 +62,46 @@ def test_roster_spans_do_not_grow_with_games_sat_out(spark):
     games = home.where("player_id = 2").selectExpr("season", "club", "game_date", "game_id", "game_id + 1 AS j")
     got = sorted((r.from_j, r.to_j, r.rating) for r in teams.roster_spans(log, home, games).where("player_id = 1").collect())
     assert got == [(1, 1, 1450.0), (2, 42, 1510.0), (43, 100, 1600.0)]
+
+
+def plays():
+    """Games of 25 players in two seasons: season, day, game_id, player_id, home, venue_id, rating_after."""
+    rng, out, rating = random.Random(5), [], {}
+    for n in range(400):
+        season = 1994 + n // 200
+        day = datetime.datetime(season, 7, 3) + datetime.timedelta(days=(n % 200) // 2 * 3)
+        for i, p in enumerate(rng.sample(range(25), 6)):
+            rating[p] = rating.get(p, 1500.0) + rng.randint(-3, 3)  # ties are frequent
+            out.append((season, day, n, p, i < 3, n % 3 + 25 * (n % 2), rating[p]))
+    return out
+
+
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_rosters_against_a_replay(spark, monkeypatch, size):
+    """Rows that go by in batches, and a bound that few members reach, lose nobody; an event goes by once and once a block, not once a club."""
+    from ladderwork.plans import teams
+
+    monkeypatch.setattr(teams, "NEAR", 5)
+    monkeypatch.setattr(teams, "BLOCKS", 4)
+    log = spark.createDataFrame(plays(), "season long, game_date timestamp_ntz, game_id long, player_id long, home boolean, venue_id long, rating_after double")
+    rows = teams.roster_rows(log).sort("season", "block", F.asc_nulls_first("game_date"), "game_id", "player_id").drop("game_date").toArrow()
+    assert rows.num_rows <= len(plays()) + 25 * 2 * 3
+    got, before = {}, {}
+    for r in (r for b in teams._fields(iter(rows.to_batches(max_chunksize=size))) for r in b.to_pylist()):
+        at = (r["season"], r["club"])
+        before.setdefault(at, {})[r["block"]] = r["number"]
+        got[r["game_id"]] = (*at, r["roster"], round(r["mean_rating"], 6), *[round(r[f"best{n}"], 6) for n in teams.SIZES])
+    assert sum(x for v in before.values() for x in v.values()) == 400
+
+    want, last, games = {}, {}, {}
+    for season, _, n, p, home, venue, _ in plays():
+        if home:
+            games.setdefault((season, venue % 25, p), []).append(n)
+    for n in range(400):
+        here = [r for r in plays() if r[2] == n]
+        season, club = here[0][0], here[0][5] % 25
+        roster = [p for (s, c, p), played in games.items() if (s, c) == (season, club) and played[0] <= n <= played[-1]]
+        best = [x for x, _ in sorted(((last.get(p, 1500.0), p) for p in roster), key=lambda x: (-x[0], x[1]))]
+        want[n] = (season, club, len(best), round(sum(best) / len(best), 6), *[round(sum(best[:k]) / len(best[:k]), 6) for k in teams.SIZES])
+        last |= {r[3]: r[6] for r in here}
+    assert got == want
