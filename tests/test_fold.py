@@ -402,3 +402,37 @@ def test_three_passes_count_games_once(spark, monkeypatch):
     assert got.keys() == want.keys() and len(calls) == 1
     for x in want:
         assert got[x] == pytest.approx(want[x], abs=1e-9)
+
+
+@pytest.mark.parametrize("limit, size, anchor", [(1000, 10_000, "game"), (300, 11, "game"), (300, 10_000, "league"), (1000, 11, None), (1000, 11, "fixed")])
+def test_a_grid_is_its_sets_folds(spark, limit, size, anchor):
+    """Rows go by once for all sets, in rounds and in small batches too; a row a player and season is left."""
+    every = games(100)
+    df, sets = spark.createDataFrame(every, SCHEMA), [RatingParams(variant=f"{k}/{s}", k=k, surprise_scale=s, playoff_multiplier=0.5, anchor=anchor) for k in (20.0, 45.0) for s in (285.0, 400.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = {(r.season, r.player_id): (r.games_played, r.ratings) for r in fold.grid_updates(df, sets, limit=limit).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {(r[2], r[4]) for r in every} and len({s for s, _ in got}) > 1
+    for i, p in enumerate(sets):
+        for season in {s for s, _ in got}:
+            want = brute([r for r in every if r[2] <= season], p)
+            for (s, player), (n, found) in got.items():
+                if s == season:
+                    assert (found[i], n) == pytest.approx(want[player], abs=1e-9)
+
+
+def test_sets_of_a_grid_differ_in_k_and_scale(spark):
+    df = spark.createDataFrame(games(4), SCHEMA)
+    for other in ({"theta": 0.6}, {"rookie_tau": 30.0}, {"init_value": 1500.0}):
+        with pytest.raises(ValueError, match="k and scale"):
+            fold.grid_updates(df, [RatingParams(), RatingParams(variant="other", **other)])
+
+
+def test_the_grid_has_every_pair_of_k_and_scale_and_what_it_foretells(spark, sf):
+    from ladderwork.plans.registry import QUERIES
+
+    rows = QUERIES["rating_grid"](spark, sf).collect()
+    assert {(r.k, r.scale) for r in rows} == {(k, s) for k in (8.0, 10.0, 15.0, 20.0) for s in (300.0, 350.0, 400.0, 500.0)} | {(20.0, 285.0), (45.0, 285.0)}
+    assert all(r.pairs > 0 and r.boundaries > 1 and r.mse > 0 and r.discrimination > 0 for r in rows)
