@@ -436,3 +436,24 @@ def test_the_grid_has_every_pair_of_k_and_scale_and_what_it_foretells(spark, sf)
     rows = QUERIES["rating_grid"](spark, sf).collect()
     assert {(r.k, r.scale) for r in rows} == {(k, s) for k in (8.0, 10.0, 15.0, 20.0) for s in (300.0, 350.0, 400.0, 500.0)} | {(20.0, 285.0), (45.0, 285.0)}
     assert all(r.pairs > 0 and r.boundaries > 1 and r.mse > 0 and r.discrimination > 0 for r in rows)
+
+
+@pytest.mark.parametrize("change, held", [({}, 10**6), ({"theta": 0.6, "home_advantage": 65.0, "playoff_multiplier": 0.5}, 10**6), ({"anchor": None, "rookie_ids": (3, 4)}, 10**6), ({}, 100)])
+def test_three_passes_in_a_task_are_three_folds(spark, monkeypatch, change, held):
+    """Held rows, in several leagues and chunks, or handed from fold to fold: the same states."""
+    every = [(g + 1000 * i, d, s, t, 100 * i + x, *rest) for i in range(3) for g, d, s, t, x, *rest in games(100, seed=i)]
+    every = [r for r in every if r[4] < 100 or r[2] > 1995]  # two leagues open later
+    p, df = replace(RatingParams(), **change), spark.createDataFrame(every, SCHEMA)
+    want = {r.player_id: (r.rating, r.games_played) for r in fold.checkpoint(fold.three_pass(df, p)).collect()}
+    monkeypatch.setattr(fold, "PASS_ROWS", 50)
+    monkeypatch.setattr(fold, "HELD_ROWS", held)
+    got = {r.player_id: (r.rating, r.games_played) for r in fold.three_pass_states(df, p).collect()}
+    assert got.keys() == want.keys()
+    for x in want:
+        assert got[x] == pytest.approx(want[x], abs=1e-9)
+
+
+def test_three_passes_deal_rows_once(spark):
+    df = spark.createDataFrame(games(), SCHEMA)
+    plan = fold.three_pass_states(df, RatingParams())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Window" not in plan
